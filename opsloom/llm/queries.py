@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_read(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {"op4_substring_dedup": op4_substring_dedup}
+    return {"op3_suffix_dedup": op3_suffix_dedup, "op4_substring_dedup": op4_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .phrase_index import contamination
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -20,8 +21,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op5_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    return {"op3_suffix_dedup": op3_suffix_dedup, "op4_substring_dedup": op4_substring_dedup}
+    return {"op3_suffix_dedup": op3_suffix_dedup, "op4_substring_dedup": op4_substring_dedup, "op5_phrase_index": op5_phrase_index}
 
 
 def oracle_sql() -> dict[str, str]:

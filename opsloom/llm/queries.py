@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard_join import shingle_components
 from .phrase_index import contamination
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -25,8 +26,12 @@ def op5_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_components(_read(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op3_suffix_dedup": op3_suffix_dedup, "op4_substring_dedup": op4_substring_dedup, "op5_phrase_index": op5_phrase_index}
+    return {"op3_suffix_dedup": op3_suffix_dedup, "op4_substring_dedup": op4_substring_dedup, "op5_phrase_index": op5_phrase_index, "op9_jaccard_join": op9_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:

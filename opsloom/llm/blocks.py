@@ -40,15 +40,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; then let Spark drop the shuffle files behind it."""
+_STAGED: list[str] = []
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete what ``stage`` has written so far. Only for when every result built on it has been written out."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+
+
+def stage(df: DataFrame, name: str, compression: str = "zstd", release: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; ``release`` lets Spark drop the shuffle files behind it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.option("compression", compression).parquet(path)
     schema = df.schema
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # unreachable shuffles are removed on the executors' disks
+    if release:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # unreachable shuffles are removed on the executors' disks
     return spark.read.schema(schema).parquet(path)
 
 
@@ -137,7 +150,7 @@ def ask(blocks: DataFrame, emit, answer, name: str) -> DataFrame:
         replies, hot = answer(list(frame["data"]))
         return pd.DataFrame({"block": frame["block"].to_numpy(), "shard": frame["shard"].to_numpy(), "reply": replies, "hot": [hot] + [0] * (len(frame) - 1)})
 
-    return stage(blocks.mapInPandas(emitted, ASK_SCHEMA).groupBy("shard").applyInPandas(answered, REPLY_SCHEMA), name)
+    return stage(blocks.mapInPandas(emitted, ASK_SCHEMA).groupBy("shard").applyInPandas(answered, REPLY_SCHEMA), name, release=True)
 
 
 def with_replies(blocks: DataFrame, **asked: DataFrame) -> DataFrame:

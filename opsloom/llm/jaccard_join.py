@@ -98,8 +98,8 @@ def least_overlap(x, y, percent: int):
 
 
 def _bitmap(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Parity bitmap of about ``size`` bits, a power of two."""
-    bits = 1 << max(6, int(size - 1).bit_length())
+    """Parity bitmap of two to four bits a member, a power of two, at least 1024."""
+    bits = 1 << max(10, int(2 * size - 1).bit_length())
     count = np.bincount((hashes & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(count.astype(np.uint8), bitorder="little").view(U)
 

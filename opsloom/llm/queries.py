@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard_join import shingle_components
+from .language_id import identify
 from .phrase_index import contamination
+from .posting_lists import nearest
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .token_counts import token_histogram
+from .weak_labels import classify
+from .wfst_pieces import encode_decode
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_histogram(_read(spark, sf_dir, "documents"))
+
+
+def op2_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_read(spark, sf_dir, "documents"))
 
@@ -26,12 +39,24 @@ def op5_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_read(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_read(spark, sf_dir, "documents"))
+
+
+def op8_wfst_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(_read(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(_read(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {"op3_suffix_dedup": op3_suffix_dedup, "op4_substring_dedup": op4_substring_dedup, "op5_phrase_index": op5_phrase_index, "op9_jaccard_join": op9_jaccard_join}
+    return {f.__name__: f for f in (op1_token_counts, op2_posting_lists, op3_suffix_dedup, op4_substring_dedup, op5_phrase_index, op6_weak_labels, op7_language_id, op8_wfst_pieces, op9_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -270,7 +270,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, key: str = "doc_id", text:
     """Remove each byte that a ``length``-byte string covers which starts anywhere else too.
 
     One row a document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked
-    for, kept_text (null for null; bytes that are no longer UTF-8 after a cut are replaced).
+    for, kept_text (null for null; bytes that are no longer UTF-8 after a cut are left out).
     """
     if length <= K:
         raise ValueError(f"length must be over {K}")
@@ -333,7 +333,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, key: str = "doc_id", text:
         texts = [b.buf[x:y][~gone[x:y]].tobytes() for x, y in zip(b.start.tolist(), end.tolist(), strict=True)]
         frame = pd.DataFrame({"doc_id": pd.array(list(b.ids), "Int64"), "n_bytes": b.lens, "n_removed": before[end] - before[b.start], "n_spans": spans[end] - spans[b.start], "kept_sha256": [hashlib.sha256(t).hexdigest() for t in texts]})
         if with_text:
-            frame["kept_text"] = [None if r < 0 else t.decode("utf-8", "replace") for t, r in zip(texts, b.raw_lens, strict=True)]
+            frame["kept_text"] = [None if r < 0 else t.decode("utf-8", "ignore") for t, r in zip(texts, b.raw_lens, strict=True)]
         return frame
 
     return B.map_blocks(B.with_replies(blocks, **asked), remove, SCHEMA + ", kept_text string" * with_text)

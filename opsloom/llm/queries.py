@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .jaccard_join import shingle_components
 from .language_id import identify
+from .license_scan import scan
 from .phrase_index import contamination
 from .posting_lists import nearest
 from .substring_dedup import substring_dedup
@@ -55,8 +57,14 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(_read(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are taken as files of the directory source/lang."""
+    docs = _read(spark, sf_dir, "documents")
+    return scan(docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_posting_lists, op3_suffix_dedup, op4_substring_dedup, op5_phrase_index, op6_weak_labels, op7_language_id, op8_wfst_pieces, op9_jaccard_join)}
+    return {f.__name__: f for f in (op1_token_counts, op2_posting_lists, op3_suffix_dedup, op4_substring_dedup, op5_phrase_index, op6_weak_labels, op7_language_id, op8_wfst_pieces, op9_jaccard_join, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,7 +22,9 @@ from .language_id import presence
 
 SCHEMA = "doc_id long, votes string, label double, score double, keep boolean"
 SAMPLE, EPOCHS, RATE, DECAY = 3000, 12, 0.5, 1e-4
-NAMES = ("symbols", "capitals", "word_length", "repetition", "sentences", "length")
+#: Share of good documents that a labeller may call bad.
+MAX_ERROR = 0.02
+NAMES = ("symbols", "symbol_words", "letters", "capitals", "word_length", "repetition", "repeated_triples", "sentences", "length")
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#$%&*|@^~<>{}[]\\=_+`", np.uint8))
 _UPPER, _LETTER = B.table([(65, 90)]), B.table([(65, 90), (97, 122), (128, 255)])
@@ -50,8 +52,21 @@ def votes_of(data: np.ndarray, lens: np.ndarray) -> np.ndarray:
     new = np.ones(len(h), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
     distinct = np.bincount(doc[order][new], minlength=n)
+    # triples of words, in documents of a few words at least
+    triple = B.Rolling(h, B.BASES[0]).windows(3)
+    triple_doc = doc[: len(triple)]
+    inside = triple_doc == doc[2 : 2 + len(triple)] if len(triple) else np.zeros(0, bool)
+    triple, triple_doc = triple[inside], triple_doc[inside]
+    order3 = np.lexsort((triple, triple_doc))
+    new3 = np.ones(len(triple), bool)
+    new3[1:] = (triple[order3][1:] != triple[order3][:-1]) | (triple_doc[order3][1:] != triple_doc[order3][:-1])
+    triples = np.bincount(triple_doc, minlength=n)
+    fresh = np.bincount(triple_doc[order3][new3], minlength=n) / np.maximum(triples, 1)
+    odd = np.concatenate(([0], np.cumsum(_SYMBOL[buf])))
+    odd_words = np.bincount(doc, odd[ends] > odd[starts], n)
     size, some, letters = np.maximum(lens, 1), np.maximum(words, 1), np.maximum(share(_LETTER), 1)
     symbols, upper, stops = share(_SYMBOL) / size, share(_UPPER) / letters, share(_STOP) / some
+    odd_words, lettered = odd_words / some, share(_LETTER) / np.maximum(lens - share(B.BLANK), 1)
     mean = np.bincount(doc, ends - starts, n) / some
     varied = distinct / some
 
@@ -61,9 +76,12 @@ def votes_of(data: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.stack(
         [
             vote(symbols < 0.004, symbols > 0.02),
+            vote(odd_words < 0.03, odd_words > 0.15),
+            vote(lettered > 0.93, lettered < 0.88),
             vote(upper < 0.12, upper > 0.4),
             vote((mean > 3.2) & (mean < 10), (mean <= 2) | (mean >= 12)),
             vote((varied > 0.5) | (words < 60), (varied < 0.3) & (words >= 60)),
+            vote((fresh > 0.7) | (triples < 20), (fresh < 0.5) & (triples >= 20)),
             vote((stops > 1 / 60) & (stops < 1 / 4), ((stops == 0) & (words > 30)) | (stops > 0.5)),
             vote(words >= 40, words < 12),
         ],
@@ -71,17 +89,21 @@ def votes_of(data: np.ndarray, lens: np.ndarray) -> np.ndarray:
     ).astype(np.int8)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200):
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, max_error: float = MAX_ERROR):
     """EM over vote patterns: posterior of good for each, the labellers' accuracies on good and bad documents,
-    and the share of good ones. Labellers are taken as independent given the label; votes start as a majority."""
+    and the share of good ones. Labellers are taken as independent given the label. Bad documents are of several
+    kinds, each seen by a few labellers only, so a bad vote starts as a bad label, and no labeller is allowed
+    more than ``MAX_ERROR`` bad votes on good documents; else a rarer kind would be voted down as errors."""
     counts = counts.astype(np.float64)
-    post = 1 / (1 + np.exp(-2.0 * patterns.sum(axis=1)))
+    post = np.where((patterns < 0).any(axis=1), 0.1, 0.9)
     hot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(np.float64)
     for _ in range(rounds):
         chance = []
         for w in (counts * (1 - post), counts * post):
             c = np.einsum("p,pjv->jv", w, hot) + 1.0
             chance.append(c / c.sum(axis=1, keepdims=True))
+        chance[1][:, 0] = np.minimum(chance[1][:, 0], max_error)
+        chance[1] /= chance[1].sum(axis=1, keepdims=True)
         prior = np.clip((counts * post).sum() / max(counts.sum(), 1e-9), 1e-3, 1 - 1e-3)
         log = np.log(prior / (1 - prior)) + np.einsum("pjv,jv->p", hot, np.log(chance[1]) - np.log(chance[0]))
         new = 1 / (1 + np.exp(-np.clip(log, -50, 50)))

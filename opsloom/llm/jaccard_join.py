@@ -196,7 +196,7 @@ class Lists:
 
 
 def _frame(kind, shard, pairs) -> pd.DataFrame:
-    return pd.DataFrame({"kind": kind, "shard": shard, "a": [a for a, _ in pairs], "b": [b for _, b in pairs]})
+    return pd.DataFrame({"kind": kind, "shard": shard, "a": [a for a, _ in pairs], "b": [b for _, b in pairs]}).astype({"a": object, "b": object})
 
 
 def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -171,7 +171,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
 
     def score(_, p, q):
         if not len(p) or not len(q):
-            return pd.DataFrame({"query": [], "name": [], "ids": [], "score": []})
+            return pd.DataFrame({"query": [], "name": [], "ids": [], "score": []}, dtype=object)
         x, y = _matrix(p["raw"]), _matrix(q["raw"])
         m, out = min(len(x), 2 * (k + 1)), []
         for a in range(0, len(y), 256):

@@ -54,6 +54,7 @@ class Transducer:
     split: dict[int, tuple[int, int]]
     merged: dict[tuple[int, int], int]
     by_chunks: bool
+    longest: int
     pairs: dict[int, bool] = field(default_factory=dict)
     known: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
@@ -83,11 +84,51 @@ class Transducer:
 
     def path(self, text: str) -> tuple[int, ...]:
         """Ids along the shortest path for one normalised chunk."""
+        return self._only_path(text) if self.bpe else self._least_path(text)
+
+    def _only_path(self, text: str) -> tuple[int, ...]:
+        """With the merge order composed in, one path is accepted, so the first found is the shortest: arcs are
+        composed on the way, longest piece first, and states that led nowhere are not entered again."""
+        arcs, longest, n = self.arcs, self.longest, len(text)
+        path: list[tuple[int, int]] = []  # (start, piece); piece -1: bytes
+        dead: set[tuple[int, int]] = set()
+        i, size = 0, longest
+        while i < n:
+            last = path[-1][1] if path else -1
+            top = size = min(size, n - i)
+            while size > 0:
+                arc = arcs.get(text[i : i + size])
+                if arc is not None and (last < 0 or self.follows(last, arc[0])) and (not dead or (i + size, arc[0]) not in dead):
+                    path.append((i, arc[0]))
+                    break
+                size -= 1
+            if size == 0:
+                if top and text[i] not in arcs:  # no piece holds this character
+                    path.append((i, -1))
+                    size = 1
+                else:  # back over the last arc, to a shorter piece
+                    at, t = path.pop()
+                    dead.add((i, t))
+                    i, size = at, i - at - 1
+                    continue
+            i, size = i + size, longest
+        out: list[int] = []
+        for at, t in path:
+            if t >= 0:
+                out.append(t)
+            elif self.byte_ids:
+                out += [self.byte_ids[x] for x in text[at].encode()]
+            else:
+                out.append(self.unk)
+        return tuple(out)
+
+    def _least_path(self, text: str) -> tuple[int, ...]:
+        """Relax every arc from every position, in order."""
         n = len(text)
-        # states by position: last piece to (weight, position before, piece before)
-        at: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
-        at[0][-1] = (0.0, -1, -1)
-        arcs, prefixes, bpe = self.arcs, self.prefixes, self.bpe
+        # states by position: -1 start or bytes, 0 piece; each with weight, position and state before, piece
+        at: list[dict[int, tuple[float, int, int, int]]] = [{} for _ in range(n + 1)]
+        at[0][-1] = (0.0, -1, -1, -1)
+        arcs, prefixes = self.arcs, self.prefixes
         for i in range(n):
             if not (states := at[i]):
                 continue
@@ -96,16 +137,14 @@ class Transducer:
                 if (arc := arcs.get(s)) is not None:
                     found = True
                     t, w = arc
-                    key = t if bpe else 0
                     for last, (cost, *_) in states.items():
-                        if not bpe or last < 0 or self.follows(last, t):
-                            old = at[j].get(key)
-                            if old is None or cost + w < old[0]:
-                                at[j][key] = (cost + w, i, last, t)
+                        old = at[j].get(0)
+                        if old is None or cost + w < old[0]:
+                            at[j][0] = (cost + w, i, last, t)
                 j += 1
                 if j > n:
                     break
-            if not found or (not bpe and arcs.get(text[i]) is None):
+            if not found or arcs.get(text[i]) is None:
                 last, (cost, *_) = min(states.items(), key=lambda x: x[1][0])
                 old = at[i + 1].get(-1)
                 if old is None or cost + BYTE_WEIGHT < old[0]:
@@ -244,7 +283,7 @@ def compile_model(path: str) -> Transducer:
         arcs = {p: (i, -scores[i]) for p, i in normal.items()}
     prefixes = frozenset(p[:k] for p in normal for k in range(1, len(p) + 1))
     crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in normal)
-    return Transducer(pieces, bpe, dummy, arcs, prefixes, byte_ids, unk, rank, split, merged, not crossing)
+    return Transducer(pieces, bpe, dummy, arcs, prefixes, byte_ids, unk, rank, split, merged, not crossing, max(map(len, arcs)))
 
 
 def encode_decode(docs: DataFrame, model_path: str | None = None, key: str = "doc_id", text: str = "text", with_output: bool = False) -> DataFrame:

@@ -33,3 +33,34 @@ def test_query_on_fixture_and_edges(spark):
         elif r.doc_id in texts:
             assert r.ids == lib.encode(texts[r.doc_id]), r.doc_id
     assert encode_decode(docs.limit(0)).count() == 0
+
+
+def test_unigram_paths_are_least():
+    """A model file made by hand: unigram pieces with weights, against every segmentation."""
+    import itertools
+    import struct
+    import tempfile
+
+    from opsloom.llm.wfst_pieces import BYTE_WEIGHT
+
+    def field(n, value):
+        return bytes([n << 3 | 2, len(value)]) + value
+
+    pieces = {"a": -1.0, "b": -1.2, "ab": -1.5, "aba": -2.9, "ba": -2.3, "bb": -2.0, SPACE: -1.1, SPACE + "a": -1.3}
+    body = field(1, field(1, b"<unk>") + b"\x18\x02") + b"".join(field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", w)) for p, w in pieces.items())
+    body += field(2, b"\x18\x01") + field(3, b"\x18\x01\x20\x00\x28\x01")
+    with tempfile.NamedTemporaryFile(suffix=".model") as f:
+        f.write(body)
+        f.flush()
+        t = compile_model(f.name)
+    weight = lambda ids: sum(-pieces[t.pieces[i]] if i else BYTE_WEIGHT for i in ids)
+
+    def least(x):
+        if not x:
+            return 0.0
+        return min([w + least(x[len(p) :]) for p, v in pieces.items() if x.startswith(p) for w in [-v]] + ([BYTE_WEIGHT + least(x[1:])] if x[0] not in pieces else []))
+
+    for n in range(1, 8):
+        for x in itertools.product("abc ", repeat=n) if n < 5 else [("a", "b", "b", "a", "b", "a", "c")[:n]]:
+            x = "".join(x)
+            assert abs(weight(t.encode(x)) - least(SPACE + x.replace(" ", SPACE))) < 1e-4, x

@@ -70,7 +70,9 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
 
 
 def token_histogram(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    return suffix_sums(length_counts(docs, text, path, pattern))
+    from .blocks import stage
+
+    return suffix_sums(stage(length_counts(docs, text, path, pattern), "lengths"))  # encoded once, read twice
 
 
 def at_limit(sums: DataFrame, limit: int) -> DataFrame:

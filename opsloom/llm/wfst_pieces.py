@@ -23,6 +23,7 @@ import re
 from array import array
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,7 @@ class Transducer:
     longest: int
     pairs: dict[int, bool] = field(default_factory=dict)
     known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    surface: list[bytes] = field(default_factory=list)
 
     def follows(self, a: int, b: int) -> bool:
         """The merge-order acceptor's arc from piece ``a`` to piece ``b``."""
@@ -180,10 +182,12 @@ class Transducer:
         return out
 
     def decode(self, ids) -> str:
-        raw, first_byte = [], {t: x for x, t in enumerate(self.byte_ids)}
-        for t in ids:
-            raw.append(bytes([first_byte[t]]) if t in first_byte else (" ⁇ " if t == self.unk else self.pieces[t].replace(SPACE, " ")).encode())
-        text = b"".join(raw).decode("utf-8", "replace")
+        if not self.surface:
+            self.surface = [p.replace(SPACE, " ").encode() for p in self.pieces]
+            self.surface[self.unk] = " ⁇ ".encode()
+            for x, t in enumerate(self.byte_ids):
+                self.surface[t] = bytes([x])
+        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
@@ -294,11 +298,11 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, key: str = "do
 
     def run(frames):
         t = shared.value
-        bytes_of = set(t.byte_ids)
+        is_byte = np.isin(np.arange(len(t.pieces)), t.byte_ids)
         for frame in frames:
             ids = [t.encode(x) if x is not None else array("I") for x in frame["text"]]
             back = [t.decode(i) for i in ids]
-            out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_tokens": [len(i) for i in ids], "n_bytes_fallback": [sum(map(bytes_of.__contains__, i)) for i in ids], "ids_sha256": [hashlib.sha256(i.tobytes()).hexdigest() for i in ids], "round_trip": [b == (x or "").replace(SPACE, " ") for b, x in zip(back, frame["text"], strict=True)]})
+            out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_tokens": [len(i) for i in ids], "n_bytes_fallback": [int(is_byte[np.frombuffer(i, np.uint32)].sum()) if len(i) else 0 for i in ids], "ids_sha256": [hashlib.sha256(i.tobytes()).hexdigest() for i in ids], "round_trip": [b == (x or "").replace(SPACE, " ") for b, x in zip(back, frame["text"], strict=True)]})
             if with_output:
                 out["ids"], out["decoded"] = [list(i) for i in ids], [None if x is None else b for b, x in zip(back, frame["text"], strict=True)]
             yield out

@@ -1,11 +1,61 @@
 """Every query of the analytics engine by name, and its SQL twin."""
 
+from __future__ import annotations
+
+from datetime import datetime, timezone
+
+from . import oracle
+from .operators import logs
+from .plans.window import window
+from .sources.tables import from_dir
+
 FLAGSHIP = "q02_usage_day"
 
 
+def _at(day: int, hour: int = 0, minute: int = 0) -> datetime:
+    return datetime(2024, 1, day, hour, minute, tzinfo=timezone.utc)
+
+
+#: The standard windows over the test tables.
+WEEK, THREE_DAYS, DAY = window(_at(8), _at(15), bucket=1440), window(_at(8), _at(11)), window(_at(10), _at(11))
+SIX_HOURS, HOUR, ODD_HOUR = window(_at(10), _at(10, 6)), window(_at(10, 0, 10), _at(10, 1, 10)), window(_at(10, 0, 12), _at(10, 1, 12))
+MONTH = window(_at(1), _at(31), "UTC", 1440)
+USER = "u7"
+
+_LOGS = {
+    "q01_overview": ("overview", WEEK),
+    "q02_usage_day": ("usage", WEEK),
+    "q02_usage_month_utc": ("usage", MONTH),
+    "q03_usage_30min": ("usage", DAY),
+    "q03_usage_60min": ("usage", THREE_DAYS),
+    "q03_usage_15min": ("usage", SIX_HOURS),
+    "q03_usage_5min": ("usage", HOUR),
+    "q03_usage_5min_odd": ("usage", ODD_HOUR),
+    "q04_error_trend_day": ("error_trend", WEEK),
+    "q05_error_trend_30min": ("error_trend", DAY),
+    "q06_top_endpoints": ("top_endpoints", WEEK),
+    "q07_top_errors": ("top_errors", WEEK),
+    "q08_devices": ("devices", WEEK),
+    "q09_qs_stages": ("suggest_stages", WEEK),
+    "q10_qs_fallbacks": ("suggest_fallbacks", WEEK),
+    "q11a_followup_raw": ("followups", WEEK),
+    "q11b_followup_users": ("followup_users", WEEK),
+    "q12_request_users": ("request_users", WEEK),
+    "q13_user_series_day": ("user_series", WEEK, USER),
+    "q14_user_series_30min": ("user_series", DAY, USER),
+    "q28_log_counters": ("log_counters", MONTH),
+}
+
+
 def queries():
-    return {}
+    found = {name: (lambda spark, sf_dir, f=getattr(logs, f), args=args: f(from_dir(spark, sf_dir), *args)) for name, (f, *args) in _LOGS.items()}
+    for letter, name in zip("abc", logs.ALERTS, strict=True):
+        found[f"q29{letter}_alert_{name}"] = lambda spark, sf_dir, name=name: logs.alert(logs.counter_rows(from_dir(spark, sf_dir)), name)
+    return found
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    found = {name: getattr(oracle, f)(*args) for name, (f, *args) in _LOGS.items()}
+    for letter, name in zip("abc", logs.ALERTS, strict=True):
+        found[f"q29{letter}_alert_{name}"] = oracle.alert(name, *logs.ALERTS[name])
+    return found

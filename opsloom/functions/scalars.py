@@ -39,12 +39,18 @@ def is_core(path: Column) -> Column:
     return path.rlike(r"^/v2/(ask|conversations)(/|\z)")
 
 
+#: What names an error in a log line, and what marks a line as one.
+ERROR_NAME = r"([A-Za-z_][A-Za-z0-9_]*(?:Error|Exception|Failed|Timeout|Conflict))"
+ERROR_EVENT = r"([a-z_]+(?:_failed|_error|_timeout|_conflict))"
+ERROR_WORDS = r"(error|exception|failed|timeout|traceback|conflict)"
+
+
 def error_class(line: Column) -> Column:
-    return F.coalesce(extract(line, r"([A-Za-z]+(?:Error|Exception))"), extract(line, r"([a-z_]+_failed)"), F.lit("unknown"))
+    return F.coalesce(extract(line, ERROR_NAME), extract(line, ERROR_EVENT), F.lit("unknown"))
 
 
 def is_error_line(line: Column) -> Column:
-    return F.lower(line).rlike("(error|exception|traceback|failed)")
+    return F.lower(line).rlike(ERROR_WORDS)
 
 
 def boolean(text: Column) -> Column:

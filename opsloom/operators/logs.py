@@ -87,7 +87,7 @@ def overview(src: Sources, w: Window) -> DataFrame:
     q = text_lines(src, w, "query_suggest_result ").select(S.key_value(line, "stage").alias("stage"), S.key_number(line, "latency_ms").alias("l"), S.key_number(line, "suggestion_count").alias("n"))
     q = q.agg(F.count("*").alias("qs_total"), F.count_if(F.col("stage") == "stable").alias("qs_stable_count"), F.count_if(F.col("stage") == "degraded").alias("qs_degraded_count"), F.round(F.avg("l"), 6).alias("qs_avg_latency_ms"), F.round(F.avg("n"), 6).alias("qs_avg_suggestion_count"))
     q = q.withColumn("qs_stable_rate", S.rate(F.col("qs_stable_count"), F.col("qs_total")))
-    t = text_lines(src, w, "chat_sync_telemetry ").select(S.key_value(line, "event").alias("event")).where(F.col("event").startswith("restore_"))
+    t = text_lines(src, w, "chat_sync_telemetry ").where(line.contains("event=restore_")).select(S.key_value(line, "event").alias("event"))
     t = t.agg(F.count("*").alias("restore_total"), F.count_if(F.col("event").isin("restore_success", "restore_empty")).alias("restore_success_count"))
     t = t.withColumn("restore_success_rate", S.rate(F.col("restore_success_count"), F.col("restore_total")))
     return r.crossJoin(q).crossJoin(t)
@@ -129,8 +129,8 @@ def suggest_stages(src: Sources, w: Window) -> DataFrame:
 
 
 def suggest_fallbacks(src: Sources, w: Window) -> DataFrame:
-    line, unknown = F.col("line"), F.lit("unknown")
-    got = text_lines(src, w, "query_suggest_refine_degraded ").groupBy(F.coalesce(S.key_value(line, "fallback"), unknown).alias("fallback_source"), F.coalesce(S.key_value(line, "reason"), unknown).alias("reason"))
+    line = F.col("line")
+    got = text_lines(src, w, "query_suggest_refine_degraded ").groupBy(S.key_value(line, "fallback").alias("fallback_source"), S.key_value(line, "reason").alias("reason"))
     return got.agg(F.count("*").alias("count")).orderBy(F.desc("count"), "fallback_source", "reason")
 
 
@@ -143,8 +143,8 @@ def _json(src: Sources, w: Window, name: str) -> DataFrame:
 def followups(src: Sources, w: Window) -> DataFrame:
     """Follow-up opens by event and user."""
     p = F.col("p")
-    rows = _json(src, w, "followup_open_result").select(F.lower(S.json_scalar(p, "event")).alias("event_name"), F.coalesce(F.nullif(S.json_scalar(p, "user_id"), F.lit("")), F.lit("unknown")).alias("user_id"), F.lower(F.coalesce(S.json_scalar(p, "user_email"), F.lit(""))).alias("user_email"))
-    return rows.where("event_name is not null and event_name <> ''").groupBy("event_name", "user_id", "user_email").agg(F.count("*").alias("event_count"))
+    rows = _json(src, w, "followup_open_result").select(F.lower(F.coalesce(F.nullif(S.json_scalar(p, "event"), F.lit("")), F.lit("unknown"))).alias("event_name"), F.coalesce(F.nullif(S.json_scalar(p, "user_id"), F.lit("")), F.lit("unknown")).alias("user_id"), F.lower(F.coalesce(S.json_scalar(p, "user_email"), F.lit(""))).alias("user_email"))
+    return rows.groupBy("event_name", "user_id", "user_email").agg(F.count("*").alias("event_count"))
 
 
 def followup_users(src: Sources, w: Window) -> DataFrame:
@@ -173,12 +173,11 @@ def user_series(src: Sources, w: Window, user_key: str) -> DataFrame:
     return by_device(src, w).join(got, ["bucket", "device_class"], "left").select(*labels(w), "device_class", *zero("request_count", "core_request_count", "system_request_count"))
 
 
-#: Log counters: which source, and the condition on its rows.
 def counter_rows(src: Sources) -> DataFrame:
     """One row for each log entry that a counter counts: (timestamp, metric)."""
     line = F.col("textPayload")
     req = src.requests.where((F.col("resource.labels.service_name") == SERVICE) & (F.col("httpRequest.status") >= 500)).select("timestamp", F.lit("error_5xx").alias("metric"))
-    hits = F.array_compact(F.array(F.when(line.startswith("query_suggest_result "), "qs_total"), F.when(line.startswith("query_suggest_result ") & line.contains(" stage=degraded "), "qs_degraded"), F.when(line.rlike("^chat_sync_telemetry event=restore_"), "restore_total"), F.when(line.startswith("chat_sync_telemetry event=restore_failed"), "restore_failed")))
+    hits = F.array_compact(F.array(F.when(line.startswith("query_suggest_result "), "qs_total"), F.when(line.rlike("^query_suggest_result .* stage=degraded "), "qs_degraded"), F.when(line.rlike("^chat_sync_telemetry .*event=restore_"), "restore_total"), F.when(line.rlike("^chat_sync_telemetry .*event=restore_failed"), "restore_failed")))
     out = src.stdout.where(F.col("resource.labels.service_name") == SERVICE).select("timestamp", F.explode(hits).alias("metric"))
     return req.unionByName(out)
 

@@ -64,11 +64,11 @@ def overview(w: Window) -> str:
     mean = lambda paths: f"round(avg(latency_ms) filter (status < 500 and path in {paths}), 6)"
     return _requests(w) + f""", a_stdout as ({ctes('a_stdout').split(' as (', 1)[1][:-1]}),
 q as (select {_kv('stage')} as stage, {_num('latency_ms')} as l, {_num('suggestion_count')} as n from ({_lines(w, 'query_suggest_result ')})),
-t as (select {_kv('event')} as event from ({_lines(w, 'chat_sync_telemetry ')}))
+t as (select {_kv('event')} as event from ({_lines(w, 'chat_sync_telemetry ')}) where contains(line, 'event=restore_'))
 select * from (select {_COUNTS}, {_P95} as request_p95_latency_ms, {mean("('/v2/ask', '/v2/ask/stream')")} as first_answer_avg_ms, {mean("('/v2/ask/enhance_full', '/v2/ask/enhance_full/stream')")} as enhance_answer_avg_ms,
  round(count(*) filter (is_5xx) / nullif(count(*), 0), 6) as error_5xx_rate from r),
 (select count(*) as qs_total, count(*) filter (stage = 'stable') as qs_stable_count, count(*) filter (stage = 'degraded') as qs_degraded_count, round(avg(l), 6) as qs_avg_latency_ms, round(avg(n), 6) as qs_avg_suggestion_count, round(count(*) filter (stage = 'stable') / nullif(count(*), 0), 6) as qs_stable_rate from q),
-(select count(*) as restore_total, count(*) filter (event in ('restore_success', 'restore_empty')) as restore_success_count, round(count(*) filter (event in ('restore_success', 'restore_empty')) / nullif(count(*), 0), 6) as restore_success_rate from t where starts_with(event, 'restore_'))"""
+(select count(*) as restore_total, count(*) filter (event in ('restore_success', 'restore_empty')) as restore_success_count, round(count(*) filter (event in ('restore_success', 'restore_empty')) / nullif(count(*), 0), 6) as restore_success_rate from t)"""
 
 
 def usage(w: Window) -> str:
@@ -87,8 +87,8 @@ def top_endpoints(w: Window) -> str:
 
 def top_errors(w: Window) -> str:
     return ctes("a_stdout", "a_stderr") + f""", l as (select textPayload as line from a_stderr where {_in(w)} union all select textPayload from a_stdout where {_in(w)})
-select coalesce(nullif(regexp_extract(line, '([A-Za-z]+(?:Error|Exception))', 1), ''), nullif(regexp_extract(line, '([a-z_]+_failed)', 1), ''), 'unknown') as error_type, count(*) as count
-from l where regexp_matches(lower(line), '(error|exception|traceback|failed)') group by all order by 2 desc, 1 limit 30"""
+select coalesce(nullif(regexp_extract(line, '([A-Za-z_][A-Za-z0-9_]*(?:Error|Exception|Failed|Timeout|Conflict))', 1), ''), nullif(regexp_extract(line, '([a-z_]+(?:_failed|_error|_timeout|_conflict))', 1), ''), 'unknown') as error_type, count(*) as count
+from l where regexp_matches(lower(line), '(error|exception|failed|timeout|traceback|conflict)') group by all order by 2 desc, 1 limit 30"""
 
 
 def devices(w: Window) -> str:
@@ -100,7 +100,7 @@ def suggest_stages(w: Window) -> str:
 
 
 def suggest_fallbacks(w: Window) -> str:
-    return ctes("a_stdout") + f" select coalesce({_kv('fallback')}, 'unknown') as fallback_source, coalesce({_kv('reason')}, 'unknown') as reason, count(*) as count from ({_lines(w, 'query_suggest_refine_degraded ')}) group by 1, 2"
+    return ctes("a_stdout") + f" select {_kv('fallback')} as fallback_source, {_kv('reason')} as reason, count(*) as count from ({_lines(w, 'query_suggest_refine_degraded ')}) group by 1, 2"
 
 
 def _json(w: Window, name: str) -> str:
@@ -113,8 +113,8 @@ def _scalar(key: str) -> str:
 
 
 def followups(w: Window) -> str:
-    return _json(w, "followup_open_result") + f""", f as (select lower({_scalar('event')}) as event_name, coalesce(nullif({_scalar('user_id')}, ''), 'unknown') as user_id, lower(coalesce({_scalar('user_email')}, '')) as user_email from j)
-select event_name, user_id, user_email, count(*) as event_count from f where event_name is not null and event_name <> '' group by all"""
+    return _json(w, "followup_open_result") + f""", f as (select lower(coalesce(nullif({_scalar('event')}, ''), 'unknown')) as event_name, coalesce(nullif({_scalar('user_id')}, ''), 'unknown') as user_id, lower(coalesce({_scalar('user_email')}, '')) as user_email from j)
+select event_name, user_id, user_email, count(*) as event_count from f group by all"""
 
 
 def followup_users(w: Window) -> str:
@@ -141,7 +141,7 @@ def _counter_rows() -> str:
     def one(name, cond):
         return f"select timestamp, '{name}' as metric from a_stdout where service_name = 'source-svc' and {cond}"
 
-    return ctes("a_requests", "a_stdout") + ", c as (" + " union all ".join(["select timestamp, 'error_5xx' as metric from a_requests where service_name = 'source-svc' and status >= 500", one("qs_total", "starts_with(textPayload, 'query_suggest_result ')"), one("qs_degraded", "starts_with(textPayload, 'query_suggest_result ') and contains(textPayload, ' stage=degraded ')"), one("restore_total", "starts_with(textPayload, 'chat_sync_telemetry event=restore_')"), one("restore_failed", "starts_with(textPayload, 'chat_sync_telemetry event=restore_failed')")]) + ")"
+    return ctes("a_requests", "a_stdout") + ", c as (" + " union all ".join(["select timestamp, 'error_5xx' as metric from a_requests where service_name = 'source-svc' and status >= 500", one("qs_total", "starts_with(textPayload, 'query_suggest_result ')"), one("qs_degraded", "regexp_matches(textPayload, '^query_suggest_result .* stage=degraded ')"), one("restore_total", "regexp_matches(textPayload, '^chat_sync_telemetry .*event=restore_')"), one("restore_failed", "regexp_matches(textPayload, '^chat_sync_telemetry .*event=restore_failed')")]) + ")"
 
 
 def log_counters(w: Window) -> str:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from pyspark.sql import functions as F
+
 from . import oracle
-from .operators import logs
+from .operators import logs, views
 from .plans.window import window
 from .sources.tables import from_dir
 
@@ -51,6 +53,8 @@ def queries():
     found = {name: (lambda spark, sf_dir, f=getattr(logs, f), args=args: f(from_dir(spark, sf_dir), *args)) for name, (f, *args) in _LOGS.items()}
     for letter, name in zip("abc", logs.ALERTS, strict=True):
         found[f"q29{letter}_alert_{name}"] = lambda spark, sf_dir, name=name: logs.alert(logs.counter_rows(from_dir(spark, sf_dir)), name)
+    for letter, (name, f) in zip("abcd", views.VIEWS.items(), strict=True):
+        found[f"q27{letter}_{name}"] = lambda spark, sf_dir, f=f: f(from_dir(spark, sf_dir)).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     return found
 
 
@@ -58,4 +62,6 @@ def oracle_sql() -> dict[str, str]:
     found = {name: getattr(oracle, f)(*args) for name, (f, *args) in _LOGS.items()}
     for letter, name in zip("abc", logs.ALERTS, strict=True):
         found[f"q29{letter}_alert_{name}"] = oracle.alert(name, *logs.ALERTS[name])
+    for letter, name in zip("abcd", views.VIEWS, strict=True):
+        found[f"q27{letter}_{name}"] = oracle.view(name)
     return found

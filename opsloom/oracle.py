@@ -150,3 +150,16 @@ def log_counters(w: Window) -> str:
 
 def alert(name: str, metric: str, least: int, seconds: int) -> str:
     return _counter_rows() + f" select '{name}' as alert, cast(floor(epoch(timestamp) / {seconds}) * {seconds} as bigint) as window_start, count(*) as count from c where metric = '{metric}' group by 2 having count(*) >= {least}"
+
+
+def view(name: str) -> str:
+    ts, own = "strftime(timestamp, '%Y-%m-%d %H:%M:%S') as ts", "service_name = 'source-svc' and resource_type = 'cloud_run_revision'"
+    if name == "v_requests":
+        return ctes("a_requests") + f""" select {ts}, cast(status as bigint) as status, 'GET' as method, requestUrl as request_url, try_cast(nullif(regexp_extract(latency, '([0-9.]+)', 1), '') as double) * 1000 as latency_ms, lower(userAgent) as user_agent,
+ case when regexp_matches(lower(userAgent), '(iphone|android|mobile|ipad)') then 'mobile' when userAgent is null or userAgent = '' then 'unknown' else 'desktop' end as device_class, service_name from a_requests where {own}"""
+    prefix, columns = {
+        "v_query_suggest_results": ("query_suggest_result ", ", ".join([f"{_kv(k)} as {k}" for k in ("mode", "conversation_id", "stage", "stable")] + [f"{_num(k)} as {k}" for k in ("latency_ms", "suggestion_count")])),
+        "v_query_suggest_degraded": ("query_suggest_refine_degraded ", f"{_kv('reason')} as reason, {_kv('fallback')} as fallback_source, {_kv('conversation_id')} as conversation_id"),
+        "v_sync_telemetry": ("chat_sync_telemetry ", f"{_kv('event')} as event, {_kv('conversation_id')} as conversation_id, nullif(regexp_extract(line, 'detail=(\\{{.*\\}})$', 1), '') as detail_json"),
+    }[name]
+    return ctes("a_stdout") + f" select {ts}, {columns} from (select timestamp, textPayload as line from a_stdout where {own} and starts_with(textPayload, '{prefix}'))"

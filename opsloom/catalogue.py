@@ -6,8 +6,8 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from . import oracle
-from .operators import logs, views
+from . import oracle, oracle_documents
+from .operators import documents, logs, views
 from .plans.window import window
 from .sources.tables import from_dir
 
@@ -48,9 +48,34 @@ _LOGS = {
     "q28_log_counters": ("log_counters", MONTH),
 }
 
+#: Document queries: a window first, where one is taken.
+_DOCUMENTS = {
+    "q15_users": ("list_users", 2000),
+    "q15_users_keyword": ("list_users", 100, "u11"),
+    "q16_usage": ("usage", MONTH),
+    "q16_usage_week_by_conversation": ("usage", WEEK, True),
+    "q17_suggestion_funnel": ("suggestion_funnel", MONTH),
+    "q18_conversations": ("list_conversations", USER, True),
+    "q18_conversations_keyword": ("list_conversations", USER, False, 200, "title"),
+    "q19_conversation": ("conversation", USER, "c7"),
+    "q19_messages": ("messages", USER, "c7"),
+    "q20_export_user": ("export_messages", USER),
+    "q21_export_conversation": ("export_messages", USER, "c7"),
+    "q22_monitor": ("monitor", MONTH),
+    "q22_monitor_week": ("monitor", WEEK),
+    "q22_monitor_errors": ("monitor_errors", MONTH),
+    "q23_monitor_users": ("monitor_users", MONTH),
+    "q23_monitor_user_errors": ("monitor_user_errors", MONTH),
+    "q24_dashboard_users": ("dashboard_users", WEEK),
+    "q25_selected_user": ("selected_user", WEEK, USER),
+    "q25_selected_series": ("selected_series", WEEK, USER),
+    "q26_dashboard_summary": ("dashboard_summary", WEEK),
+}
+
 
 def queries():
     found = {name: (lambda spark, sf_dir, f=getattr(logs, f), args=args: f(from_dir(spark, sf_dir), *args)) for name, (f, *args) in _LOGS.items()}
+    found |= {name: (lambda spark, sf_dir, f=getattr(documents, f), args=args: f(from_dir(spark, sf_dir), *args)) for name, (f, *args) in _DOCUMENTS.items()}
     for letter, name in zip("abc", logs.ALERTS, strict=True):
         found[f"q29{letter}_alert_{name}"] = lambda spark, sf_dir, name=name: logs.alert(logs.counter_rows(from_dir(spark, sf_dir)), name)
     for letter, (name, f) in zip("abcd", views.VIEWS.items(), strict=True):
@@ -60,6 +85,7 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     found = {name: getattr(oracle, f)(*args) for name, (f, *args) in _LOGS.items()}
+    found |= {name: getattr(oracle_documents, f)(*args) for name, (f, *args) in _DOCUMENTS.items()}
     for letter, name in zip("abc", logs.ALERTS, strict=True):
         found[f"q29{letter}_alert_{name}"] = oracle.alert(name, *logs.ALERTS[name])
     for letter, name in zip("abcd", views.VIEWS, strict=True):

@@ -9,9 +9,10 @@ Index-level skipping: each list is kept by set size and carries positions, so a
 sets too small or too large for it, then those whose positions leave too little overlap, then those whose
 parity bitmaps differ in more bits than the sets may differ in members; all three bounds are exact.
 Answer-level skipping: sets that a list's first set may link with are answered by it (round 1 verifies one
-pair a set and leader, in place of all pairs of a group), and once verified links have made components, only
-pairs across components are left to be probed (round 2); what a set reaches through a highly similar set is
-never computed again. Round 2 covers every pair that shares a list and is not yet joined, so no link is lost.
+pair a set and leader, in place of all pairs of a group). Once verified links have made components, a set left
+outside one is verified against the most similar of its members (round 2), which answers for the others, and
+only pairs still across components are probed one by one (round 3); what a set reaches through a highly similar
+set is never computed again. Round 3 covers every pair that shares a list and is not yet joined, so no link is lost.
 Verification intersects the whole sets of shingles.
 
 Defined results: null texts and texts without words have no shingles, link with nothing and are their own
@@ -98,8 +99,8 @@ def least_overlap(x, y, percent: int):
 
 
 def _bitmap(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Parity bitmap of two to four bits a member, a power of two, at least 1024."""
-    bits = 1 << max(10, int(2 * size - 1).bit_length())
+    """Parity bitmap of four to eight bits a member, a power of two, at least 1024."""
+    bits = 1 << max(10, int(4 * size - 1).bit_length())
     count = np.bincount((hashes & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(count.astype(np.uint8), bitorder="little").view(U)
 
@@ -141,13 +142,14 @@ class Lists:
                     seen.add(name)
                     self.lists.append((owner[a:z], pos[a:z]))
 
-    def may_link(self, x: int, x_pos: int, ys: np.ndarray, y_pos: np.ndarray) -> np.ndarray:
-        """Which of ``ys`` the bounds on size, position and parity leave as partners of ``x``."""
+    def may_link(self, x: int, x_pos: int, ys: np.ndarray, y_pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``ys`` the bounds on size, position and parity leave as partners of ``x``, and the parity bits
+        in which those differ from it."""
         nx, ny = self.size[x], self.size[ys]
         need = least_overlap(nx, ny, self.percent)
         ok = (100 * np.minimum(nx, ny) >= self.percent * np.maximum(nx, ny)) & (1 + np.minimum(nx - x_pos - 1, ny - y_pos - 1) >= need)
         left = np.flatnonzero(ok)
-        mine = self.maps[x]
+        mine, gap = self.maps[x], np.zeros(len(ys), np.int64)
         by_len: dict[int, list[int]] = {}
         for i in left.tolist():
             by_len.setdefault(len(self.maps[ys[i]]), []).append(i)
@@ -159,8 +161,8 @@ class Lists:
                 theirs = theirs[:, : theirs.shape[1] // 2] ^ theirs[:, theirs.shape[1] // 2 :]
             differ = np.bitwise_count(theirs ^ own).sum(axis=1, dtype=np.int64)
             idx = np.array(idx)
-            ok[idx] = differ <= nx + ny[idx] - 2 * need[idx]
-        return ok
+            ok[idx], gap[idx] = differ <= nx + ny[idx] - 2 * need[idx], differ
+        return ok, gap
 
     def leaders(self):
         """Round 1: pairs of each list's leaders with those they may answer."""
@@ -171,28 +173,36 @@ class Lists:
                 ok = np.zeros(len(owner), bool)
                 ok[0] = True
                 if far > 1:
-                    ok[1:far] = self.may_link(int(owner[0]), int(pos[0]), owner[1:far], pos[1:far])
+                    ok[1:far] = self.may_link(int(owner[0]), int(pos[0]), owner[1:far], pos[1:far])[0]
                     pairs.update((int(owner[0]), y) for y in owner[1:][ok[1:]].tolist())
                 owner, pos = owner[~ok], pos[~ok]
         return pairs
 
-    def across(self, label: np.ndarray):
-        """Round 2: every pair of a list whose sets are not in one component yet."""
-        pairs = set()
+    def _apart(self, label: np.ndarray):
+        """Each set with the possible partners of a list that are not in its component yet, as (set, partners,
+        differing parity bits); the sets of a list's largest component are met by the others only."""
         for owner, pos in self.lists:
-            labels = label[owner]
+            labels, size = label[owner], self.size[owner]
             kinds, count = np.unique(labels, return_counts=True)
-            if len(kinds) < 2:
-                continue
-            most = kinds[np.argmax(count)]
-            for i in np.flatnonzero(labels != most).tolist():
-                size = self.size[owner]
+            for i in np.flatnonzero(labels != kinds[np.argmax(count)]).tolist():
                 near = slice(int(np.searchsorted(size, -(-size[i] * self.percent // 100))), int(np.searchsorted(size, size[i] * 100 // self.percent, "right")))
                 other = np.flatnonzero(labels[near] != labels[i]) + near.start
                 if len(other):
-                    ok = self.may_link(int(owner[i]), int(pos[i]), owner[other], pos[other])
-                    pairs.update((min(y, int(owner[i])), max(y, int(owner[i]))) for y in owner[other[ok]].tolist())
-        return pairs
+                    ok, gap = self.may_link(int(owner[i]), int(pos[i]), owner[other], pos[other])
+                    yield int(owner[i]), owner[other[ok]], gap[ok]
+
+    def nearest(self, label: np.ndarray):
+        """Round 2: each set with the most similar set of every other component that it may link with."""
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for x, ys, gap in self._apart(label):
+            for g, y, there in zip(gap.tolist(), ys.tolist(), label[ys].tolist(), strict=True):
+                if (x, there) not in best or (g, y) < best[x, there]:
+                    best[x, there] = (g, y)
+        return {(min(x, y), max(x, y)) for (x, _), (_, y) in best.items()}
+
+    def across(self, label: np.ndarray):
+        """Round 3: every pair of a list whose sets are not in one component yet."""
+        return {(min(x, y), max(x, y)) for x, ys, _ in self._apart(label) for y in ys.tolist()}
 
 
 def _frame(kind, shard, pairs) -> pd.DataFrame:
@@ -260,26 +270,33 @@ def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str
         return pd.concat([_frame(1, shard, pairs), _frame(0, shard, [(x.sids[i], None) for i in here])])
 
     one = B.stage(lists.groupBy("shard").applyInPandas(first_round, PAIRS), "round1")
-    links = _verified(one.where("kind = 1").select("a", "b").distinct(), whole, percent)
-    links = B.stage(links, "links1")
+    links = B.stage(_verified(one.where("kind = 1").select("a", "b").distinct(), whole, percent), "links1")
     labels = B.stage(components(links), "labels")
-
-    def second_round(_, frame, labelled):
-        if not len(frame):
-            return _frame(1, 0, [])
-        x = Lists(list(frame.sort_values("block")["data"]), percent)
-        name = {s: i for i, s in enumerate(x.sids)}
-        label, codes = np.arange(len(x.sids)) + len(labelled), {}
-        for a, lab in zip(labelled["a"], labelled["label"], strict=True):
-            label[name[bytes(a)]] = codes.setdefault(bytes(lab), len(codes))
-        return _frame(1, 0, [tuple(sorted((x.sids[a], x.sids[b]))) for a, b in sorted(x.across(label))])
-
-    here = one.where("kind = 0").select("shard", "a").join(labels.withColumnRenamed("node", "a"), "a")
-    two = lists.groupBy("shard").cogroup(here.select("shard", "a", "label").groupBy("shard")).applyInPandas(second_round, PAIRS)
-    two = B.stage(two.where("kind = 1").select("a", "b").distinct(), "round2")
-    more = B.stage(_verified(two, whole, percent), "links2")
-    if not more.isEmpty():
-        labels = B.stage(components(links.unionByName(more)), "labels")
+    here = one.where("kind = 0").select("shard", F.col("a").alias("node"))
+
+    def probed(probe, labels, name):
+        """Verified links among the pairs that ``probe`` finds in the lists, given the components so far."""
+
+        def of_shard(_, frame, labelled):
+            if not len(frame):
+                return _frame(1, 0, [])
+            x = Lists(list(frame.sort_values("block")["data"]), percent)
+            number = {s: i for i, s in enumerate(x.sids)}
+            label, codes = np.arange(len(x.sids)) + len(labelled), {}
+            for node, lab in zip(labelled["node"], labelled["label"], strict=True):
+                label[number[bytes(node)]] = codes.setdefault(bytes(lab), len(codes))
+            return _frame(1, 0, [tuple(sorted((x.sids[a], x.sids[b]))) for a, b in sorted(probe(x, label))])
+
+        labelled = here.join(labels, "node")
+        pairs = lists.groupBy("shard").cogroup(labelled.groupBy("shard")).applyInPandas(of_shard, PAIRS)
+        pairs = B.stage(pairs.select("a", "b").distinct(), name)
+        return B.stage(_verified(pairs, whole, percent), "links")
+
+    for probe, name in ((Lists.nearest, "round2"), (Lists.across, "round3")):
+        more = probed(probe, labels, name)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = B.stage(components(links), "labels")
 
     def rows_of(frames):
         for frame in frames:

@@ -10,9 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm.blocks import clear_staged, shared_dir
+from opsloom.llm.blocks import clear_staged, shared_dir, stage
 from opsloom.llm.jaccard_join import shingle_components
-from opsloom.llm.language_id import identify
+from opsloom.llm.language_id import fit, predict
 from opsloom.llm.phrase_index import contamination
 from opsloom.llm.suffix_dedup import suffix_dedup
 from opsloom.llm.wfst_pieces import encode_decode
@@ -20,38 +20,61 @@ from opsloom.llm.wfst_pieces import encode_decode
 #: No SQL states a trained classifier or the piece transducer; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
+ROW = "_row"
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less those ids; a null id is never dropped."""
-    return docs.join(dropped.where("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for each row, as ids may be null or repeat, the same whenever it is read.
+
+    Rows read from files are numbered by file and place in it. Any others are written to the shared folder first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    spark = docs.sparkSession
+    files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    numbers = spark.createDataFrame(list(zip(files, range(len(files)))), "_file string, _number long")
+    rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    rows = rows.join(F.broadcast(numbers), "_file")
+    return rows.select(*docs.columns, F.shiftleft("_number", 40).bitwiseOR(F.col("_index")).alias(ROW))
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``rows`` less those row numbers, which operators give back as ``doc_id``."""
+    return rows.join(dropped.select(F.col("doc_id").alias(ROW)), ROW, "left_anti").drop(ROW)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language is recognised (``und``) go."""
     clear_staged(spark)
-    return _without(docs, identify(docs).where("lang_pred = 'und'").select("doc_id"))
+    rows = _keyed(docs)
+    return _without(rows, predict(rows, fit(docs), ROW).where("lang_pred = 'und'"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the least id stays."""
+    """Of each group of near duplicates the document of the least id stays (the first row of it, a null id last)."""
     clear_staged(spark)
-    return _without(docs, shingle_components(docs).where("component_id < doc_id").select("doc_id"))
+    rows = _keyed(docs)
+    groups = shingle_components(rows, key=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    least = rows.select(ROW, "doc_id").join(groups, ROW).groupBy("component_id").agg(F.min(order)[ROW].alias(ROW))
+    return rows.join(least.select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes or more that occur anywhere else are cut out; what has no text left goes."""
     clear_staged(spark)
-    kept = suffix_dedup(docs, with_text=True).where("n_removed = 0 or n_removed < n_bytes").select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_text")).dropDuplicates(["_id"])
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = _keyed(docs)
+    kept = suffix_dedup(rows, key=ROW, with_text=True).where("n_removed = 0 or n_removed < n_bytes").select(F.col("doc_id").alias(ROW), F.col("kept_text").alias("_text"))
     new = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast("long")} if "n_chars" in docs.columns else {})
-    return joined.withColumns(new).select(docs.columns)
+    return rows.join(kept, ROW).withColumns(new).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words in a row of a benchmark item go."""
     clear_staged(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, contamination(docs, items).where("contaminated").select("doc_id"))
+    rows = _keyed(docs)
+    return _without(rows, contamination(rows, items, key=ROW).where("contaminated"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +90,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; what each keeps is written to the shared folder."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+    for k, (_, step) in enumerate(STAGES):
+        step(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-Fit (on a bounded, documented sample): vectors are halved at the median along the line between two means, again
+Fit (on a sample of ``SAMPLE`` vectors, or ``PER_LIST`` a list if more: 131,072 at most): vectors are halved at the median along the line between two means, again
 and again, so that lists come out of equal size; their means are the centroids. Index (every vector): each goes
 to its nearest centroid's list and, if it lies near a boundary, to the next ones whose distance is within a
 ratio of the nearest (``COPIES`` lists at most). Search: a best-first walk over an in-memory neighbour graph of
-the centroids finds the nearest lists; those within a distance ratio of the nearest are read, and their vectors
-are scored exactly. Largest inner product becomes least distance by one more coordinate that fills all vectors
+the centroids finds the nearest lists, ``PROBE`` of them or, if more, the fixed share ``PROBE_SHARE`` of all, so
+that recall does not fall as the index grows; those within a distance ratio of the nearest are read, and their
+vectors are scored exactly. Largest inner product becomes least distance by one more coordinate that fills all vectors
 up to the longest norm.
 
 Equal vectors are one entry with its least ids (as many as an answer can use, cut per task before the
@@ -19,14 +20,16 @@ to the smaller id; an empty table gives an empty result; other columns are not r
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "query_id long, rank int, vec_id long, score double"
-SAMPLE, LIST, MAX_LISTS, CHUNK = 20_000, 128, 4096, 4096
-COPIES, COPY_RATIO, PROBE, PROBE_RATIO, DEGREE = 4, 1.1, 64, 1.6, 16
+SAMPLE, PER_LIST, LIST, MAX_LISTS, CHUNK = 20_000, 32, 128, 4096, 4096
+COPIES, COPY_RATIO, PROBE, PROBE_SHARE, PROBE_RATIO, DEGREE = 4, 1.1, 64, 1 / 6, 1.6, 16
 
 
 def balanced_centroids(x: np.ndarray, n_lists: int, seed: int = 7) -> np.ndarray:
@@ -111,7 +114,7 @@ def _clean(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return v.where(F.size("v") == (most.d if most else 0))
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, probe: int = PROBE, probe_ratio: float = PROBE_RATIO) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, probe: int = PROBE, probe_share: float = PROBE_SHARE, probe_ratio: float = PROBE_RATIO) -> DataFrame:
     """The ``k`` nearest others found for each row whose id is divisible by ``every``: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     rows = _clean(vectors, key, vector)
@@ -129,6 +132,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
     facts = kinds.agg(F.count("*").alias("n"), F.max("norm").alias("norm")).first()
     if not facts.n:
         return spark.createDataFrame([], SCHEMA)
+    n_lists = int(min(MAX_LISTS, max(1, facts.n // LIST)))
+    probe, sample = max(probe, math.ceil(probe_share * n_lists)), max(sample, PER_LIST * n_lists)
     share = min(1.0, sample / facts.n)
     picked = kinds.where(F.pmod(F.xxhash64("name"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("name").limit(2 * sample).select("raw").collect() or kinds.limit(1).select("raw").collect()
     top = facts.norm
@@ -137,7 +142,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
         return np.concatenate((x, np.sqrt(np.maximum(top * top - (x * x).sum(axis=1), 0))[:, None]), axis=1)
 
     x = lift(_matrix([r.raw for r in picked]))
-    graph = spark.sparkContext.broadcast(Graph(balanced_centroids(x, int(min(MAX_LISTS, max(1, facts.n // LIST))))))
+    graph = spark.sparkContext.broadcast(Graph(balanced_centroids(x, n_lists)))
 
     def place(frames):
         g = graph.value

@@ -44,3 +44,20 @@ def test_recall_on_fixture(spark):
     recall = lambda x: np.mean([len({i for i, _ in want[q]} & {i for i, _ in x[q]}) / 20 for q in want])
     print("recall", recall(have), recall(full))
     assert set(full) == set(want) and recall(full) >= 0.9
+
+
+def test_recall_with_a_thousand_lists(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = np.random.default_rng(5).normal(size=(1024 * 128, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float64()))}), tmp_path / "e.parquet")
+    df, ids = spark.read.parquet(str(tmp_path / "e.parquet")), np.arange(0, len(x), 1000)
+    s = x[ids] @ x.T
+    s[np.arange(len(ids)), ids] = -1
+    want = dict(zip(ids.tolist(), np.argpartition(-s, 20, axis=1)[:, :20].tolist(), strict=True))
+    recall = lambda have: np.mean([len(set(want[q]) & {i for i, _ in have.get(q, [])}) / 20 for q in want])
+    found = recall(got(nearest(df, every=1000)))
+    print("recall", found)
+    assert found >= 0.9

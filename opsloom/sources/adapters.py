@@ -54,7 +54,7 @@ select concat('u', cast(c_custkey as string)) as user_id,
   case when c_custkey % 17 = 0 then '' when c_custkey % 19 = 0 then 'garbage'
     else concat('2024-01-', lpad(cast(1 + c_custkey % 30 as string), 2, '0'), 'T03:00:00Z') end as updatedAt,
   '2024-01-10T00:00:00+00:00' as lastSeenAt, 'iap' as identitySource, c_custkey % 2 = 0 as identityVerified
-from customer where c_custkey < 120
+from customer
 """,
     "a_conversations": """
 select distinct concat('u', cast(conv_id % 40 as string)) as user_id, concat('c', cast(conv_id as string)) as conv_id,

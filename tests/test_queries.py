@@ -26,3 +26,11 @@ def test_same_as_sql(spark, name):
     assert sorted(df.columns) == sorted(names)
     got = plain([tuple(r) for r in df.collect()], df.columns)
     assert got == want and (got or name == "q29b_alert_suggest_degraded")  # never fifteen in half an hour here
+
+
+def test_users_are_all_of_customer(spark):
+    from opsloom.sources.adapters import spark_view
+
+    large = "/root/testdata/sf0.1"
+    assert spark_view(spark, large, "a_users").count() == spark.read.parquet(f"{large}/customer.parquet").count()
+    assert catalogue.queries()["q15_users"](spark, large).count() == 2000

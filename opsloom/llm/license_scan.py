@@ -1,7 +1,8 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest licensed directory.
 
 Every line of a whole text that names a licence or a copyright is compared with the templates as a sparse
-TF-IDF vector. Document frequencies of the templates' words are counted over all such lines of the corpus;
+TF-IDF vector, and so are the block of adjacent lines around it (of one comment or paragraph), each sentence of
+the block that names one, and the whole text of a file with a licence file's name. Document frequencies of the templates' words are counted over all such lines of the corpus;
 words of no template weigh as if no line had them. A file's own licence is its best line's template at a
 cosine of ``LEAST`` or more. A file whose licence lines make up at least ``NOTICE`` of its words, or whose name
 is a licence file's, speaks for its directory; a file without a licence of its own takes that of its nearest
@@ -37,11 +38,25 @@ TEMPLATES = {
     "CC-BY-4.0": "Licensed under CC BY 4.0, the Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0, the Creative Commons Attribution-ShareAlike License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "Apache-2.0#header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "Apache-2.0#title": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "GPL-2.0#header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-2.0#title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0#header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-3.0#title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-3.0#header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-3.0#title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "MPL-2.0#header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "MPL-2.0#title": "Mozilla Public License Version 2.0",
+    "MIT#text": "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
 }
 LEAST, NOTICE = 0.6, 0.5
 SCHEMA = "doc_id long, path string, own string, score double, n_lines long, licence_file boolean"
 _CUE = re.compile(r"licen[sc]e|copyright|spdx|creative commons|permission is hereby|redistribution and use", re.I)
+_COMMENT = re.compile(r"\s*(#|//|/?\*|--|;|%|dnl\b|<!--)")
+_BARE = re.compile(r"[\W_]*")
 _WORD = re.compile(r"[a-z0-9.]*[a-z0-9]")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 _NAME = re.compile(r"(?i)^(licen[sc]e|copying|notice)([.-].*)?$")
 
 
@@ -57,6 +72,22 @@ def licence_lines(text: str | None):
     return out
 
 
+def licence_blocks(text: str | None):
+    """The runs of adjacent lines, all of a comment or all not, in which a line names a licence or copyright."""
+    if not text or not _CUE.search(text):
+        return []
+    out, run, last = [], [], None
+    for line in [*text.split("\n"), ""]:
+        kind = None if _BARE.fullmatch(line) else bool(_COMMENT.match(line))
+        if kind != last and run:
+            out.append(run)
+            run = []
+        if kind is not None:
+            run.append(_COMMENT.sub("", line, count=1).strip() if kind else line.strip())
+        last = kind
+    return [b for b in (" ".join(r) for r in out if len(r) > 1) if _CUE.search(b)]
+
+
 def terms(line: str) -> Counter:
     return Counter(_WORD.findall(line.lower()))
 
@@ -72,16 +103,18 @@ class Templates:
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {w: x / norm for w, x in v.items()} if norm else {}
 
-    def best(self, line: str) -> tuple[float, str]:
-        """Score and name of the nearest template; a sentence in a longer line counts as itself too."""
-        found = (0.0, "")
-        for part in {line, *re.split(r"(?<=[.!?])\s+(?=[A-Z])", line)}:
+    def best(self, line: str, block: bool = False) -> tuple[float, str, int]:
+        """Score and name of the nearest template, and words compared; a sentence in a longer line counts as itself
+        too (of a block only one that names a licence)."""
+        found = (0.0, "", 0)
+        parts = _SENTENCE.split(line)
+        for part in {line, *(p for p in parts if not block or _CUE.search(p))}:
             v = self.vector(part)
             for name, t in self.vectors.items():
                 s = sum(x * v[w] for w, x in t.items() if w in v)
                 if s > found[0] + 1e-12 or (abs(s - found[0]) <= 1e-12 and found[1] > name):
-                    found = (s, name)
-        return found[0], found[1].split("#")[0]
+                    found = (s, name, len(part.split()))
+        return found[0], found[1].split("#")[0], found[2]
 
 
 def own_licences(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text") -> DataFrame:
@@ -106,10 +139,13 @@ def own_licences(files: DataFrame, key: str = "doc_id", path: str = "path", text
             out = []
             for d, p, t in zip(f["doc_id"], f["path"], f["text"], strict=True):
                 lines = licence_lines(t)
-                score, name = max((shared.value.best(x) for x in lines), default=(0.0, ""), key=lambda x: (x[0], x[1]))
-                own = name if score >= LEAST else None
-                share = sum(len(x.split()) for x in lines) / max(1, len(t.split())) if own else 0
                 named = bool(p and _NAME.match(p.rsplit("/", 1)[-1]))
+                blocks = [shared.value.best(x, True) for x in licence_blocks(t)]
+                whole = [shared.value.best(" ".join(t.split()), True)] if named and t else []
+                score, name, _ = max((*(shared.value.best(x) for x in lines), *blocks, *whole), default=(0.0, "", 0), key=lambda x: (x[0], x[1]))
+                own = name if score >= LEAST else None
+                notice = max(sum(len(x.split()) for x in lines), sum(n for s, _, n in blocks if s >= LEAST))
+                share = notice / max(1, len(t.split())) if own else 0
                 out.append((d, p, own, round(score, 12), len(lines), bool(own and (named or share >= NOTICE))))
             frame = pd.DataFrame(out, columns=["doc_id", "path", "own", "score", "n_lines", "licence_file"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")

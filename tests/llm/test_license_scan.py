@@ -31,3 +31,30 @@ def test_lines_of_fixture(spark):
     names = {"Apache License": "Apache-2.0", "MIT License": "MIT", "CC BY-NC": "CC-BY-NC-4.0", "GNU General": "GPL-3.0", "": None}
     got = {r.doc_id: r.own for r in scan(docs).collect()}
     assert got == {d: names[x] for d, x in want.items()} and any(got.values())
+
+
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+int main() { return 0; }
+"""
+GPL = """# This program is free software{0} you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation{1} either version {2} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+"""
+TITLE = "                    GNU GENERAL PUBLIC LICENSE\n                       Version {0}\n\n Everyone is permitted to copy and distribute verbatim copies\n of this document, but changing it is not allowed.\n" + "\n some words of the preamble and the terms" * 40
+
+
+def test_wrapped_headers_and_whole_files(spark):
+    rows = [
+        (1, "m/main.c", MPL), (2, "g/two.py", GPL.format(";", ";", 2) + "\nprint(1)\n" * 30), (3, "h/three.py", GPL.format(":", ",", 3) + "\nprint(1)\n" * 30),
+        (4, "two/COPYING", TITLE.format("2, June 1991")), (5, "two/x.txt", "words"), (6, "three/COPYING", TITLE.format("3, 29 June 2007")), (7, "three/a/x.txt", "words"),
+    ]
+    got = {r.doc_id: (r.own, r.licence) for r in scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MPL-2.0",) * 2, 2: ("GPL-2.0",) * 2, 3: ("GPL-3.0",) * 2, 4: ("GPL-2.0",) * 2, 5: (None, "GPL-2.0"), 6: ("GPL-3.0",) * 2, 7: (None, "GPL-3.0")}

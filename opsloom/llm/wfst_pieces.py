@@ -256,6 +256,8 @@ def compile_model(path: str) -> Transducer:
                 charsmap, dummy, strip, escape = p.get(2, b""), bool(p.get(3, 1)), bool(p.get(4, 1)), bool(p.get(5, 1))
     if charsmap or strip or not escape or model_type not in (1, 2):
         raise ValueError("only identity normalisation with the space escape, and unigram or BPE models, are compiled")
+    if 4 in kinds:
+        raise ValueError("user-defined pieces are not compiled")
     bpe = model_type == 2
     normal = {p: i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == 1}
     unk = kinds.index(2)

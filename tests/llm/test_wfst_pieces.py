@@ -64,3 +64,13 @@ def test_unigram_paths_are_least():
         for x in itertools.product("abc ", repeat=n) if n < 5 else [("a", "b", "b", "a", "b", "a", "c")[:n]]:
             x = "".join(x)
             assert abs(weight(t.encode(x)) - least(SPACE + x.replace(" ", SPACE))) < 1e-4, x
+
+
+def test_user_defined_pieces_are_refused(tmp_path):
+    import pytest
+
+    with open(PATH, "rb") as f:
+        model = f.read()
+    (tmp_path / "m.model").write_bytes(model + b"\x0a\x07\x0a\x03<x>\x18\x04")  # one more piece of type 4
+    with pytest.raises(ValueError, match="user-defined"):
+        compile_model(str(tmp_path / "m.model"))

@@ -4,18 +4,25 @@ A *block* is one row that holds a few megabytes of whole texts, compressed. Oper
 time with numpy. What they need to know about the rest of the corpus they *ask*: each block emits, for each
 hash shard, one packed row of sorted distinct hashes (so a passage that a third of all documents share
 costs one entry a block), a shard merges what all blocks sent, and answers each block in the order it
-sent. The number of packed rows never exceeds the number of entries, and no shard or block grows with the
-corpus: both counts are derived from it.
+sent. The number of packed rows never exceeds the number of entries; shards, and the tasks that merge them,
+are counted from the corpus.
 
-Every intermediate that later steps read twice is written under ``spark.checkpoint.dir``, so block numbers
-stay fixed when executors are lost and the lineage is cut there.
+Blocks are a bucketed table: all blocks that one task writes have numbers of one bucket, so writing them takes
+no shuffle and one file a task, and replies are brought to the blocks (by a bucketed join), never blocks to the
+replies.
+
+Every intermediate that later steps read is written under ``spark.checkpoint.dir`` by a ``Scratch``, so block
+numbers stay fixed when executors are lost and the lineage is cut there. A lost executor while it is written
+repeats its tasks only: numbers depend on the task's number and its rows' order alone. Written files do not
+depend on any executor, so a later loss reads them again. Each result has a ``Scratch`` of its own.
 """
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,40 +36,56 @@ BLOCK_ROWS = 16_384
 BLOCK_SCHEMA = "block long, n_bytes long, ids array<bigint>, lens binary, payload binary"
 ASK_SCHEMA = "shard int, block long, data binary"
 REPLY_SCHEMA = "block long, shard int, reply binary, hot long"
+#: Shards that one task merges, one after the other.
+SHARDS_A_TASK = 16
+#: Spark's setting by which a query's shuffle files go as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only if unset (as in tests), a new local one."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset a new local one serves a local master (as in
+    tests); on a cluster that is an error, as executors do not share a machine's folders."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-_STAGED: list[str] = []
-
-
-def clear_staged(spark: SparkSession) -> None:
-    """Delete what ``stage`` has written so far. Only for when every result built on it has been written out."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _STAGED:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(hadoop).delete(path, True)
-
-
-def stage(df: DataFrame, name: str, compression: str = "zstd", release: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; ``release`` lets Spark drop the shuffle files behind it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
-    df.write.option("compression", compression).parquet(path)
-    schema = df.schema
-    if release:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # unreachable shuffles are removed on the executors' disks
-    return spark.read.schema(schema).parquet(path)
+class Scratch:
+    """The intermediates of one result, in one folder of the shared one."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.tables = spark, f"{shared_dir(spark)}/opsloom-{uuid.uuid4().hex}", []
+
+    def write(self, df: DataFrame, name: str, compression: str = "zstd", bucket: tuple[int, str] | None = None, by: str | None = None) -> DataFrame:
+        """Write ``df`` and read it back, if asked for as a table of so many buckets by a column, or in a folder for
+        each value of a column. Its shuffle files go when it is written."""
+        spark, name = self.spark, f"{name}_{uuid.uuid4().hex[:12]}"
+        path, before = f"{self.folder}/{name}", spark.conf.get(CLEANUP, "false")
+        spark.conf.set(CLEANUP, "true")
+        try:
+            writer = df.write.option("compression", compression)
+            if bucket is None:
+                (writer.partitionBy(by) if by else writer).parquet(path)
+                return spark.read.schema(df.schema).parquet(path)
+            writer.format("parquet").bucketBy(*bucket).option("path", path).saveAsTable(f"opsloom_{name}")
+            self.tables.append(f"opsloom_{name}")
+            return spark.table(f"opsloom_{name}")
+        finally:
+            spark.conf.set(CLEANUP, before)
+
+    def clear(self) -> None:
+        """Delete everything. Only for when the result has been written out; else its files stay in the shared
+        folder."""
+        for name in self.tables:
+            self.spark.sql(f"drop table if exists {name}")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.tables = []
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,13 +100,57 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, lens
 
 
-def to_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def bucket_of(numbers: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that Spark's tables put these 64-bit numbers in (its ``hash`` function, remainder ``buckets``)."""
+
+    def turn(x, n):
+        return (x << np.uint32(n)) | (x >> np.uint32(32 - n))
+
+    x = np.asarray(numbers, np.int64).view(np.uint64)
+    h = np.full(len(x), 42, np.uint32)
+    for half in ((x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)):
+        h = turn(h ^ turn(half * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    return np.mod((h ^ (h >> np.uint32(16))).view(np.int32), buckets)
+
+
+def block_numbers(task: int, buckets: int):
+    """Numbers that no other task has, all of one bucket."""
+    for a in range(0, 1 << 32, step := 8 * buckets + 64):
+        some = (task << 32) + np.arange(a, a + step)
+        yield from some[bucket_of(some, buckets) == task % buckets].tolist()
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """A corpus as a bucketed table of blocks."""
+
+    rows: DataFrame
+    buckets: int
+    n_bytes: int
+    scratch: Scratch
+
+    def shards(self, bytes_a_shard: int = 8 << 20, least: int = 64) -> int:
+        """Shards in proportion to the corpus; at least enough for every task slot of a small one."""
+        return max(least, -(-self.n_bytes // bytes_a_shard))
+
+
+def tasks_for(spark: SparkSession, shards: int) -> int:
+    """Tasks that merge so many shards: by the corpus, at least the session's number."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS_A_TASK))
+
+
+def to_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, scratch: Scratch | None = None) -> Blocks:
     """Pack whole texts into blocks; a text longer than a block is a block of its own. Nulls stay nulls."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    buckets = max(1, rows.rdd.getNumPartitions())
 
     def pack(batches):
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 32
+        numbers = block_numbers(TaskContext.get().partitionId(), buckets)
         for batch in batches:
             data, lens = flat(batch.column(1))
             ends = np.concatenate(([0], np.cumsum(np.maximum(lens, 0))))
@@ -94,7 +161,7 @@ def to_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_by
                 raw = data[ends[at] : ends[to]].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([block], pa.int64()),
+                        pa.array([next(numbers)], pa.int64()),
                         pa.array([len(raw)], pa.int64()),
                         pa.array([batch.column(0).slice(at, to - at).to_pylist()], pa.list_(pa.int64())),
                         pa.array([lens[at:to].astype(np.int32).tobytes()], pa.binary()),
@@ -102,17 +169,11 @@ def to_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_by
                     ],
                     ["block", "n_bytes", "ids", "lens", "payload"],
                 )
-                block += 1
                 at = to
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return stage(rows.mapInArrow(pack, BLOCK_SCHEMA), "blocks", "none")
-
-
-def n_shards(blocks: DataFrame, bytes_a_shard: int, least: int = 64) -> int:
-    """Shards in proportion to the corpus; at least enough for every task slot of a small one."""
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(least, -(-total // bytes_a_shard))
+    scratch = scratch or Scratch(docs.sparkSession)
+    table = scratch.write(rows.mapInArrow(pack, BLOCK_SCHEMA), "blocks", "none", (buckets, "block"))
+    return Blocks(table, buckets, table.agg(F.sum("n_bytes")).first()[0] or 0, scratch)
 
 
 class Block:
@@ -133,9 +194,9 @@ class Block:
         return self.buf[self.start[i] : self.start[i] + self.lens[i]].tobytes()
 
 
-def ask(blocks: DataFrame, emit, answer, name: str) -> DataFrame:
+def ask(blocks: Blocks, emit, answer, name: str, shards: int, **asked: DataFrame) -> DataFrame:
     """``emit(block_no, Block, replies)`` yields (shard, bytes); ``answer(list of bytes)`` returns a list of
-    reply bytes in the same order and a number that is added up as ``hot``. Returns staged replies."""
+    reply bytes in the same order and a number that is added up as ``hot``. Returns written replies."""
 
     def emitted(frames):
         for frame in frames:
@@ -150,16 +211,22 @@ def ask(blocks: DataFrame, emit, answer, name: str) -> DataFrame:
         replies, hot = answer(list(frame["data"]))
         return pd.DataFrame({"block": frame["block"].to_numpy(), "shard": frame["shard"].to_numpy(), "reply": replies, "hot": [hot] + [0] * (len(frame) - 1)})
 
-    return stage(blocks.mapInPandas(emitted, ASK_SCHEMA).groupBy("shard").applyInPandas(answered, REPLY_SCHEMA), name, release=True)
+    sent = with_replies(blocks, **asked).mapInPandas(emitted, ASK_SCHEMA)
+    sent = sent.repartition(tasks_for(sent.sparkSession, shards), "shard")
+    return blocks.scratch.write(sent.groupBy("shard").applyInPandas(answered, REPLY_SCHEMA), name)
 
 
-def with_replies(blocks: DataFrame, **asked: DataFrame) -> DataFrame:
-    """Bring each block its replies; what one block gets is bounded by what it sent."""
+def with_replies(blocks: Blocks, **asked: DataFrame) -> DataFrame:
+    """Bring each block its replies; what one block gets is bounded by what it sent. The blocks stay in their
+    buckets."""
     rows = None
     for tag, r in asked.items():
         r = r.select("block", F.struct(F.lit(tag).alias("tag"), "shard", "reply").alias("r"))
         rows = r if rows is None else rows.unionByName(r)
-    return blocks.join(rows.groupBy("block").agg(F.collect_list("r").alias("replies")), "block", "left")
+    if rows is None:
+        return blocks.rows
+    rows = rows.repartition(blocks.buckets, "block").groupBy("block").agg(F.collect_list("r").alias("replies"))
+    return blocks.rows.join(rows, "block", "left")
 
 
 def replies_of(row) -> dict[str, dict[int, bytes]]:
@@ -171,7 +238,7 @@ def replies_of(row) -> dict[str, dict[int, bytes]]:
     return out
 
 
-def map_blocks(blocks: DataFrame, f, schema: str) -> DataFrame:
+def map_blocks(rows: DataFrame, f, schema: str) -> DataFrame:
     """``f(block_no, Block, replies)`` returns a pandas frame of ``schema``."""
 
     def run(frames):
@@ -181,7 +248,7 @@ def map_blocks(blocks: DataFrame, f, schema: str) -> DataFrame:
                 if out is not None and len(out):
                     yield out
 
-    return blocks.mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)
 
 
 # hashes ---------------------------------------------------------------------------------------------------
@@ -215,7 +282,8 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Hashes of any stretch of a sequence of 64-bit numbers, from prefix sums."""
+    """Hashes of any stretch of a sequence of 64-bit numbers, from prefix sums. A linear form modulo 2**64: stretches of
+    some patterns collide, so only for choosing and grouping what is compared afterwards."""
 
     def __init__(self, values: np.ndarray, base: int):
         up, self.down = powers(base, len(values) + 1)
@@ -242,12 +310,47 @@ def find_words(buf: np.ndarray, is_gap: np.ndarray) -> tuple[np.ndarray, np.ndar
     return edge[::2], edge[1::2]
 
 
-def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
+#: Longest word that is hashed eight bytes at a time; longer ones are few, and hashed one by one.
+LONG_WORD = 256
+
+
+def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word, chained by ``mix`` over eight bytes at a time: no linear form of its letters, so
+    that no pattern of letters makes words collide. Different seeds give independent hashes."""
+    size = ends - starts
+    out = mix(np.full(len(starts), BASES[seed % 3] ^ seed, np.uint64) + size.astype(np.uint64) * np.uint64(BASES[0]))
     if not len(starts):
+        return out
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    eights = np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))
+    left = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at, more = starts[left], size[left]
+    while len(left):
+        part = eights[at]
+        short = more < 8
+        part[short] &= (np.uint64(1) << (more[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[left] = mix(out[left] ^ (part * np.uint64(BASES[1])))
+        go = more > 8
+        left, at, more = left[go], at[go] + 8, more[go] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h = hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, key=b"%d" % seed).digest()
+        out[i] = int.from_bytes(h, "little")
+    return out
+
+
+def hash_runs(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of ``n`` words, from the words' hashes: runs of one, two, four... words are mixed pairwise,
+    and two that overlap make up the rest, so this is no linear form either."""
+    if len(h) < n:
         return np.zeros(0, np.uint64)
-    r = Rolling(BYTE_HASH[buf], BASES[2])
-    return mix(r.of(starts, ends - starts) + (ends - starts).astype(np.uint64))
+    size = 1
+    while 2 * size <= n:
+        h = mix(h[: len(h) - size] * np.uint64(BASES[0]) + h[size:])
+        size *= 2
+    if size < n:
+        gap = n - size
+        h = mix(h[: len(h) - gap] * np.uint64(BASES[2]) + h[gap:])
+    return h
 
 
 def table(spans: list[tuple[int, int]]) -> np.ndarray:

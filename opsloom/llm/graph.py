@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: B.Scratch) -> DataFrame:
     """(a, b) links of any orderable type to (node, label): the least node that each linked node reaches.
 
     Alternates large stars (every neighbour above a node moves to the node's least neighbour) and small stars
@@ -16,19 +16,19 @@ def components(links: DataFrame) -> DataFrame:
     longest path. Each round is written to the shared folder, which cuts the lineage. Nodes without links
     and nulls do not appear; an empty table gives an empty result.
     """
-    edges = B.stage(links.select("a", "b").where("a <> b").distinct(), "links")
+    edges = scratch.write(links.select("a", "b").where("a <> b").distinct(), "links")
     before = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = B.stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = B.stage(large, "stars")
-        low = B.stage(large.groupBy(F.greatest("a", "b").alias("u")).agg(F.min(F.least("a", "b")).alias("m")), "least")
+        large = scratch.write(large, "stars")
+        low = scratch.write(large.groupBy(F.greatest("a", "b").alias("u")).agg(F.min(F.least("a", "b")).alias("m")), "least")
         small = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).join(low, "u")
-        edges = B.stage(small.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "stars")
+        edges = scratch.write(small.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "stars")
         now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == before:
             break
         before = now
     # now a star a component: the greater end of each link points to the least node
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
+    return scratch.write(edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct(), "labels")

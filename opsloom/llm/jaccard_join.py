@@ -35,7 +35,9 @@ from . import blocks as B
 from .graph import components
 
 U = np.uint64
-LISTED = "shard int, block long, sid binary, size long, data binary"
+LISTED = "kind int, shard int, block long, sid binary, size long, data binary"
+#: Kinds of rows of LISTED: a block's documents, a set's shingles, a block's part of a shard's lists.
+DOCUMENTS, SETS, LISTS = 0, 1, 2
 PAIRS = "kind int, shard int, a binary, b binary"
 
 
@@ -49,11 +51,12 @@ class Sets:
         doc = np.searchsorted(b.start, starts, "right") - 1
         n_words = np.bincount(doc, minlength=len(b.ids))
         first = np.concatenate(([0], np.cumsum(n_words)))[:-1]
-        roll = B.Rolling(h, B.BASES[0])
         whole = np.flatnonzero(doc[: max(0, len(h) - n + 1)] == doc[n - 1 :]) if len(h) >= n else np.zeros(0, np.int64)
-        short = np.flatnonzero((n_words > 0) & (n_words < n))
-        hashes = np.concatenate((roll.of(whole, n), roll.of(first[short], n_words[short]) if len(short) else np.zeros(0, U)))
-        owner = np.concatenate((doc[whole], short))
+        # documents of fewer words are one run each
+        short = [np.flatnonzero(n_words == k) for k in range(1, n)]
+        runs = [B.mix(B.hash_runs(h, k)[first[d]] + U(k)) for k, d in enumerate(short, 1) if len(d)]
+        hashes = np.concatenate((B.hash_runs(h, n)[whole], *runs))
+        owner = np.concatenate((doc[whole], *short))
         order = np.lexsort((hashes, owner))
         hashes, owner = hashes[order], owner[order]
         new = np.ones(len(hashes), bool)
@@ -209,12 +212,14 @@ def _frame(kind, shard, pairs) -> pd.DataFrame:
     return pd.DataFrame({"kind": kind, "shard": shard, "a": [a for a, _ in pairs], "b": [b for _, b in pairs]}).astype({"a": object, "b": object})
 
 
-def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", scratch: B.Scratch | None = None) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the least doc_id that links reach). Two documents
     link when 100 * intersection >= percent * union of their distinct ``n``-word shingles."""
-    blocks = B.to_blocks(docs, key, text)
-    shards = B.n_shards(blocks, 8 << 20)
-    bits = max(8, min(30, int(np.ceil(np.log2(max(1, (blocks.agg(F.sum("n_bytes")).first()[0] or 0) / shards / 6 * 4))))))
+    blocks = B.to_blocks(docs, key, text, scratch=scratch)
+    scratch, spark = blocks.scratch, docs.sparkSession
+    shards = blocks.shards()
+    tasks = B.tasks_for(spark, shards)
+    bits = max(8, min(30, int(np.ceil(np.log2(max(1, blocks.n_bytes / shards / 6 * 4))))))
 
     def count(_, b, __):
         _, key_, _, times = _cells(Sets(b, n), shards, bits)
@@ -222,11 +227,11 @@ def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str
             k = np.minimum(times[x], 255).astype(np.uint8)
             yield sh, np.uint32(len(k)).tobytes() + k.tobytes() + B.pack_sorted(key_[x] & U(0xFFFFFFFF), np.zeros(len(k), np.int64))
 
-    counts = B.ask(blocks, count, merge_counts, "counts")
+    counts = B.ask(blocks, count, merge_counts, "counts", shards)
 
     def listed(block, b, replies):
         s = Sets(b, n)
-        rows = [(-2, block, b"".join(x or bytes(16) for x in s.sid), 0, pickle.dumps((list(b.ids), s.size.tolist())))]
+        rows = [(DOCUMENTS, 0, block, b"".join(x or bytes(16) for x in s.sid), 0, pickle.dumps((list(b.ids), s.size.tolist())))]
         mine, key_, back, _ = _cells(s, shards, bits)
         power = np.zeros(len(key_), np.uint8)
         for sh, x in B.by_shard((key_ >> U(32)).astype(np.int64)):
@@ -243,7 +248,7 @@ def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str
                 continue
             order = np.argsort(p, kind="stable")[alone:prefix]  # hashes ascend already
             out.append((np.full(len(order), i), h[order], np.arange(alone, prefix)))
-            rows.append((-1, block, s.sid[i], size, h[p > 0].tobytes()))
+            rows.append((SETS, 0, block, s.sid[i], size, h[p > 0].tobytes()))
         if out:
             owner, token, pos = (np.concatenate(x) for x in zip(*out, strict=True))
             shard = B.spread(B.mix(token), shards)
@@ -252,15 +257,15 @@ def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str
             maps = {i: _bitmap(s.hashes[s.at[i] : s.at[i + 1]], int(s.size[i])) for i in np.unique(owner).tolist()}
             for sh, x in B.by_shard(shard):
                 own, local = np.unique(owner[x], return_inverse=True)
-                rows.append((sh, block, b"", 0, pickle.dumps(([s.sid[i] for i in own.tolist()], s.size[own].astype(np.uint32), [maps[i] for i in own.tolist()], local.astype(np.uint32), token[x], pos[x].astype(np.uint32)))))
-        return pd.DataFrame(rows, columns=["shard", "block", "sid", "size", "data"])
+                rows.append((LISTS, sh, block, b"", 0, pickle.dumps(([s.sid[i] for i in own.tolist()], s.size[own].astype(np.uint32), [maps[i] for i in own.tolist()], local.astype(np.uint32), token[x], pos[x].astype(np.uint32)))))
+        return pd.DataFrame(rows, columns=["kind", "shard", "block", "sid", "size", "data"])
 
-    listed_rows = B.stage(B.map_blocks(B.with_replies(blocks, counts=counts), listed, LISTED), "listed")
-    lists = listed_rows.where("shard >= 0").select("shard", "block", "data")
+    # lists and sets are bucketed tables: the rounds below bring pairs and labels to them, and move neither again
+    listed_rows = scratch.write(B.map_blocks(B.with_replies(blocks, counts=counts), listed, LISTED), "listed", by="kind")
+    lists = scratch.write(listed_rows.where(F.col("kind") == LISTS).select("shard", "block", "data").repartition(tasks, "shard"), "lists", bucket=(tasks, "shard"))
     # of the blocks that hold the same set one sends its shingles
-    whole = listed_rows.where("shard = -1").select("sid", "block", "size", "data")
-    chosen = whole.groupBy("sid").agg(F.min("block").alias("chosen"))
-    whole = B.stage(whole.join(chosen, "sid").where("block = chosen").select("sid", "size", "data"), "sets", "none")
+    whole = listed_rows.where(F.col("kind") == SETS).groupBy("sid").agg(F.first("size").alias("size"), F.first("data").alias("data"))
+    whole = scratch.write(whole, "sets", "none", (int(spark.conf.get("spark.sql.shuffle.partitions")), "sid"))
 
     def first_round(frame):
         shard = int(frame["shard"].iloc[0])
@@ -269,9 +274,9 @@ def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str
         pairs = [tuple(sorted((x.sids[a], x.sids[b]))) for a, b in sorted(x.leaders())]
         return pd.concat([_frame(1, shard, pairs), _frame(0, shard, [(x.sids[i], None) for i in here])])
 
-    one = B.stage(lists.groupBy("shard").applyInPandas(first_round, PAIRS), "round1")
-    links = B.stage(_verified(one.where("kind = 1").select("a", "b").distinct(), whole, percent), "links1")
-    labels = B.stage(components(links), "labels")
+    one = scratch.write(lists.groupBy("shard").applyInPandas(first_round, PAIRS), "round1")
+    links = scratch.write(_verified(one.where("kind = 1").select("a", "b").distinct(), whole, percent), "links1")
+    labels = components(links, scratch)
     here = one.where("kind = 0").select("shard", F.col("a").alias("node"))
 
     def probed(probe, labels, name):
@@ -287,16 +292,16 @@ def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str
                 label[number[bytes(node)]] = codes.setdefault(bytes(lab), len(codes))
             return _frame(1, 0, [tuple(sorted((x.sids[a], x.sids[b]))) for a, b in sorted(probe(x, label))])
 
-        labelled = here.join(labels, "node")
+        labelled = here.join(labels, "node").repartition(tasks, "shard")
         pairs = lists.groupBy("shard").cogroup(labelled.groupBy("shard")).applyInPandas(of_shard, PAIRS)
-        pairs = B.stage(pairs.select("a", "b").distinct(), name)
-        return B.stage(_verified(pairs, whole, percent), "links")
+        pairs = scratch.write(pairs.select("a", "b").distinct(), name)
+        return scratch.write(_verified(pairs, whole, percent), "links")
 
     for probe, name in ((Lists.nearest, "round2"), (Lists.across, "round3")):
         more = probed(probe, labels, name)
         if not more.isEmpty():
             links = links.unionByName(more)
-            labels = B.stage(components(links), "labels")
+            labels = components(links, scratch)
 
     def rows_of(frames):
         for frame in frames:
@@ -304,12 +309,12 @@ def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str
                 ids, size = pickle.loads(data)
                 yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_shingles": size, "sid": [bytes(sids[16 * i : 16 * i + 16]) if z else None for i, z in enumerate(size)]})
 
-    rows = listed_rows.where("shard = -2").select("sid", "data").mapInPandas(rows_of, "doc_id long, n_shingles long, sid binary")
+    rows = listed_rows.where(F.col("kind") == DOCUMENTS).select("sid", "data").mapInPandas(rows_of, "doc_id long, n_shingles long, sid binary")
     kinds = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     kinds = kinds.join(labels.withColumnRenamed("node", "sid"), "sid", "left").where("n > 1 or label is not null").select("sid", "least", F.coalesce("label", "sid").alias("label"))
-    kinds = B.stage(kinds, "kinds")
-    least = B.stage(kinds.groupBy("label").agg(F.min("least").alias("component_id")), "components")
-    named = B.stage(kinds.select("sid", "label").join(least, "label").select("sid", "component_id"), "named")
+    kinds = scratch.write(kinds, "kinds")
+    least = scratch.write(kinds.groupBy("label").agg(F.min("least").alias("component_id")), "components")
+    named = scratch.write(kinds.select("sid", "label").join(least, "label").select("sid", "component_id"), "named")
     return rows.join(named, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import Scratch
+
 #: Short notices and headers by SPDX identifier.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
@@ -154,17 +156,16 @@ def own_licences(files: DataFrame, key: str = "doc_id", path: str = "path", text
     return rows.mapInPandas(scan, SCHEMA)
 
 
-def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text") -> DataFrame:
+def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row a file: doc_id, path, own, score, n_lines, licence (own or inherited), from_dir (null if own)."""
-    from .blocks import stage
-
-    own = stage(own_licences(files, key, path, text).withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), F.lit(""))), "licences")
+    scratch = scratch or Scratch(files.sparkSession)
+    own = scratch.write(own_licences(files, key, path, text).withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), F.lit(""))), "licences")
     licensed = own.where("licence_file and dir is not null").groupBy("dir").agg(F.max_by("own", F.struct("score", F.expr("-doc_id"))).alias("licence"))
     steps = F.split("dir", "/")
     dirs = own.where("own is null and dir is not null").select("dir").distinct()
     # "a/b/c" has the ancestors "", "a", "a/b" and itself
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))).alias("above"))
     near = above.join(licensed.withColumnRenamed("dir", "above"), "above").groupBy("dir").agg(F.max_by(F.struct("above", "licence"), F.length("above")).alias("near"))
-    near = stage(near, "near")
+    near = scratch.write(near, "near")
     joined = own.join(near, "dir", "left")
     return joined.select("doc_id", "path", "own", "score", "n_lines", F.coalesce("own", "near.licence").alias("licence"), F.when(F.col("own").isNull(), F.col("near.above")).alias("from_dir"))

@@ -6,17 +6,20 @@ and the positions (block-wide word numbers with a gap between documents). A test
 block by intersecting lists from its rarest term on: the positions of the rarest term, less the term's offset
 in the phrase, are the candidate starts, and the offset-adjusted list of the next rarest term strikes out what
 it lacks. Rarity is counted over the whole corpus. Nothing is shuffled but term counts, a third of all
-documents may hold one passage. Phrases are broadcast in slices of a fixed number of items; a test set of more
-than one slice takes one pass over the index for each, whose findings meet again by block.
+documents may hold one passage. Phrases are broadcast in slices of a fixed number of windows, one slice at a time
+(a long item is split over slices); a test set of more than one slice takes one pass over the index for each, whose
+findings are written and meet again by block.
 
-Defined results: null and empty texts have no words and no hits; a test item without words is never found;
-repeated rows and ids are separate; empty tables give empty results or no hits; other columns are not read.
+Defined results: null and empty texts have no words and no hits; a test item without words is never found; words of
+a test item without an id are hit, but it is not counted or named among the items; rows of one item id are one item;
+repeated documents are separate; empty tables give empty results or no hits; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,8 +33,8 @@ INDEX = "block long, ids array<bigint>, first binary, n_words binary, terms bina
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 #: Words of nothing between two documents, so that no phrase or span runs across.
 GAP = 64
-#: Test items in one broadcast (about 9 KB each once compiled).
-SLICE = 4_000
+#: Windows of test items in one broadcast (about 240 bytes each once compiled).
+SLICE = 200_000
 U = np.uint64
 
 
@@ -41,7 +44,7 @@ def words_of(buf: np.ndarray):
     return B.hash_words(low, starts, ends), starts
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = GAP) -> DataFrame:
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = GAP, scratch: B.Scratch | None = None) -> DataFrame:
     """The positional index of whole texts, one row a block, written to the shared folder."""
 
     def rows(batches):
@@ -88,7 +91,8 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: i
                 at = to
 
     rows_in = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return B.stage(rows_in.mapInArrow(rows, INDEX), "index", "none")
+    scratch = scratch or B.Scratch(docs.sparkSession)
+    return scratch.write(rows_in.mapInArrow(rows, INDEX), "index", "none")
 
 
 class Postings:
@@ -160,17 +164,9 @@ class Postings:
         return np.searchsorted(self.first, position, "right") - 1
 
 
-def phrase_windows(texts: list[str | None], width: int):
-    """Windows of each text's words: (item number, list of term hashes)."""
-    for i, t in enumerate(texts):
-        h, _ = words_of(np.frombuffer((t or "").encode(), np.uint8))
-        for a in range(max(1, len(h) - width + 1) if len(h) else 0):
-            yield i, h[a : a + width]
-
-
-def _frequencies(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
-    """How often each of these terms occurs in the whole corpus."""
-    wanted = index.sparkSession.sparkContext.broadcast(np.unique(terms))
+def _frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """How often each of these distinct, sorted terms occurs in the whole corpus."""
+    wanted = index.sparkSession.sparkContext.broadcast(terms)
 
     def count(frames):
         total = np.zeros(len(wanted.value), np.int64)
@@ -185,69 +181,79 @@ def _frequencies(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
         yield pd.DataFrame({"term": some, "n": total[some]})
 
     rows = index.select("terms", "starts").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    return {int(wanted.value[r.term]): r.n for r in rows}
+    out = np.zeros(len(terms), np.int64)
+    for r in rows:
+        out[r.term] = r.n
+    return out
 
 
-def _slices(items: DataFrame, key: str, text: str, size: int):
-    """Test items in slices of at most ``size``, as lists of (id, text)."""
+def _slices(items: DataFrame, key: str, text: str, width: int, size: int):
+    """Test items in slices of at most ``size`` windows, as lists of (id, word hashes); an item that is split repeats
+    the words that windows on both sides of the cut share."""
     rows = items.select(F.col(key).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("text is not null")
     have: list = []
+    room = size
     for r in rows.toLocalIterator():
-        have.append((r.item, r.text))
-        if len(have) == size:
-            yield have
-            have = []
+        h, _ = words_of(np.frombuffer(r.text.encode(), np.uint8))
+        at, left = 0, max(1, len(h) - width + 1) if len(h) else 0
+        while left:
+            n = min(left, room)
+            have.append((r.item, h[at : at + n + width - 1]))
+            at, left, room = at + n, left - n, room - n
+            if not room:
+                yield have
+                have, room = [], size
     if have:
         yield have
 
 
 def _compiled(index: DataFrame, have: list, width: int):
-    """Distinct phrases of a slice with rarest terms first, and the items of each phrase."""
-    number: dict[bytes, int] = {}
-    owners: list[set[int]] = []
-    phrases = []
-    for i, h in phrase_windows([t for _, t in have], width):
-        n = number.setdefault(h.tobytes(), len(phrases))
-        if n == len(phrases):
-            phrases.append(h)
-            owners.append(set())
-        owners[n].add(i)
-    if not phrases:
-        return None
-    df = _frequencies(index, np.concatenate(phrases))
-    phrase, offset, term = [], [], []
-    for n, h in enumerate(phrases):
-        for k in sorted(range(len(h)), key=lambda k: (df.get(int(h[k]), 0), k)):
-            phrase.append(n)
-            offset.append(k)
-            term.append(h[k])
-    sizes = np.array([len(h) for h in phrases])
-    pairs = [(n, i) for n, own in enumerate(owners) for i in sorted(own)]
-    return np.array(phrase), np.array(offset), np.array(term, U), sizes, np.array(pairs)
-
-
-def contamination(docs: DataFrame, items: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", slice_items: int = SLICE) -> DataFrame:
+    """Distinct phrases of a slice with rarest terms first, their sizes, and the items of each phrase."""
+    sizes, rows, owners = [], [], []
+    for n in sorted({min(width, len(h)) for _, h in have}):
+        own = [(i, h) for i, (_, h) in enumerate(have) if min(width, len(h)) == n]
+        rows.append(np.concatenate([np.lib.stride_tricks.sliding_window_view(h, n) for _, h in own]))
+        owners.append(np.concatenate([np.full(len(h) - n + 1, i) for i, h in own]))
+        sizes.append(n)
+    terms, back = np.unique(np.concatenate([r.ravel() for r in rows]), return_inverse=True)
+    often, term_of = _frequencies(index, terms), np.split(back.ravel(), np.cumsum([r.size for r in rows])[:-1])
+    phrase, offset, term, size, pairs, base = [], [], [], [], [], 0
+    for n, r, who, t in zip(sizes, rows, owners, term_of, strict=True):
+        kinds, number = np.unique(t.reshape(r.shape), axis=0, return_inverse=True)
+        order = np.argsort(often[kinds], axis=1, kind="stable")
+        phrase.append(np.repeat(np.arange(len(kinds)) + base, n))
+        offset.append(order.ravel())
+        term.append(terms[np.take_along_axis(kinds, order, axis=1)].ravel())
+        size.append(np.full(len(kinds), n))
+        pairs.append(np.stack((number.ravel() + base, who), axis=1))
+        base += len(kinds)
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    return np.concatenate(phrase), np.concatenate(offset), np.concatenate(term), np.concatenate(size), pairs, [i for i, _ in have]
+
+
+def contamination(docs: DataFrame, items: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", slice_windows: int = SLICE, scratch: B.Scratch | None = None) -> DataFrame:
     """Hit words and items of each document: see the module's text for the method.
 
     A window is ``width`` consecutive item words; an item of fewer words, but not none, is one window. A
     document word inside any occurrence of a window is hit. One row a document: doc_id, n_words, n_hit,
     n_items, items_sha256 (of the item ids sorted as strings and joined by commas), contaminated.
     """
-    index = build_index(docs, key, text)
-    slices = []
-    for have in _slices(items, item_key, item_text, slice_items):
-        if (c := _compiled(index, have, width)) is not None:
-            slices.append(docs.sparkSession.sparkContext.broadcast((*c, [i for i, _ in have])))
-    if len(slices) <= 1:
+    scratch = scratch or B.Scratch(docs.sparkSession)
+    index = build_index(docs, key, text, scratch=scratch)
+    share = docs.sparkSession.sparkContext.broadcast
+    slices = _slices(items, item_key, item_text, width, slice_windows)
+    first, second = next(slices, None), next(slices, None)
+    if second is None:
+        only = share(_compiled(index, first, width) if first else None)
 
         def whole(frames):
             for row in (r for f in frames for r in f.to_dict("records")):
                 p = Postings(row)
-                yield _finish(p.ids, p.first, p.n_words, *_look(p, slices[0].value if slices else None))
+                yield _finish(p.ids, p.first, p.n_words, *_look(p, only.value))
 
         return index.mapInPandas(whole, SCHEMA)
 
-    # one pass a slice; what each slice found in a block meets again by block
+    # one pass a slice; what each slice found in a block is written and meets again by block
     def part(one):
         def run(frames):
             for row in (r for f in frames for r in f.to_dict("records")):
@@ -268,10 +274,12 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, key: str =
                 found.setdefault(int(d), set()).update(x)
         return _finish(frame["ids"].iloc[0], first, n_words, np.unpackbits(hit).astype(bool), found)
 
-    parts = [index.mapInPandas(part(one), "block long, ids array<bigint>, first binary, n_words binary, hit binary, found string") for one in slices]
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionByName(more)
+    rows = None
+    for have in chain((first, second), slices):
+        one = share(_compiled(index, have, width))
+        found = scratch.write(index.mapInPandas(part(one), "block long, ids array<bigint>, first binary, n_words binary, hit binary, found string"), "found")
+        one.destroy()
+        rows = found if rows is None else rows.unionByName(found)
     return rows.groupBy("block").applyInPandas(merge, SCHEMA)
 
 
@@ -289,8 +297,8 @@ def _look(p: Postings, compiled):
             dw = np.unique(np.stack((p.doc_of(start), which), axis=1), axis=0)
             lo, hi = np.searchsorted(pairs[:, 0], dw[:, 1]), np.searchsorted(pairs[:, 0], dw[:, 1], "right")
             for d, a, z in zip(dw[:, 0].tolist(), lo.tolist(), hi.tolist(), strict=True):
-                found.setdefault(d, set()).update(names[i] for i in pairs[a:z, 1].tolist())
-    return np.cumsum(hit) > 0, found
+                found.setdefault(d, set()).update(names[i] for i in pairs[a:z, 1].tolist() if names[i] is not None)
+    return np.cumsum(hit) > 0, {d: x for d, x in found.items() if x}
 
 
 def _finish(ids, first, n_words, hit, found) -> pd.DataFrame:

@@ -3,8 +3,10 @@
 Pass 1: every block sketches its windows of ``width`` consecutive words in two hash rows; the partition
 sketches are merged shard by shard (a shard is a range of counters). A window's estimate, the lesser of its
 two counters, is never below its true count. Pass 2: only windows estimated to occur twice or more send
-their 96-bit digest and are grouped exactly. Nothing that repeats is lost; what the sketch overestimates is
-sorted out by pass 2. The counters grow with the corpus (about four a window and row), spread over shards.
+their digest and are grouped exactly. The digest has 128 bits, from two hashes of each word's bytes that share
+nothing, and no part of it is a linear form of letters or words. Nothing that repeats is lost; what the sketch
+overestimates is sorted out by pass 2. The counters grow with the corpus (about four a window and row), spread
+over shards.
 
 Defined results: a null or empty text has no words (n_words 0, hash of the empty string); a text shorter
 than a window loses nothing; repeated rows and repeated ids are separate documents; an empty table gives an
@@ -29,13 +31,12 @@ def _windows(b: B.Block, width: int):
     """Word starts and ends, document of each word, window starts (word numbers) and two hashes of each."""
     starts, ends = B.find_words(b.buf, B.BLANK)
     doc = np.searchsorted(b.start, starts, "right") - 1
-    h = B.hash_words(b.buf, starts, ends)
-    n = len(h) - width + 1
+    n = len(starts) - width + 1
     if n <= 0:
         none = np.zeros(0, np.uint64)
         return starts, ends, doc, np.zeros(0, np.int64), none, none
     whole = np.flatnonzero(doc[:n] == doc[width - 1 :])
-    return starts, ends, doc, whole, B.Rolling(h, B.BASES[0]).windows(width)[whole], B.Rolling(h, B.BASES[1]).windows(width)[whole]
+    return starts, ends, doc, whole, *(B.hash_runs(B.hash_words(b.buf, starts, ends, seed), width)[whole] for seed in (0, 1))
 
 
 def _cells(h: np.ndarray, row: int, shards: int, bits: int):
@@ -58,11 +59,10 @@ def merge_sketches(parts: list[bytes]) -> tuple[list[bytes], int]:
 
 
 def group_digests(parts: list[bytes]) -> tuple[list[bytes], int]:
-    """Group 96-bit digests exactly; answer with a bit for each: it occurs more than once."""
-    sizes = [len(p) // 13 for p in parts]
-    a = np.concatenate([np.frombuffer(p, U, n) for p, n in zip(parts, sizes, strict=True)])
-    c = np.concatenate([np.frombuffer(p, np.uint32, n, 8 * n) for p, n in zip(parts, sizes, strict=True)])
-    many = np.concatenate([np.frombuffer(p, np.uint8, n, 12 * n) for p, n in zip(parts, sizes, strict=True)])
+    """Group 128-bit digests exactly; answer with a bit for each: it occurs more than once."""
+    sizes = [len(p) // 17 for p in parts]
+    a, c = (np.concatenate([np.frombuffer(p, U, n, 8 * n * k) for p, n in zip(parts, sizes, strict=True)]) for k in (0, 1))
+    many = np.concatenate([np.frombuffer(p, np.uint8, n, 16 * n) for p, n in zip(parts, sizes, strict=True)])
     order = np.lexsort((c, a))
     a, c = a[order], c[order]
     new = np.ones(len(a), bool)
@@ -79,10 +79,9 @@ def group_digests(parts: list[bytes]) -> tuple[list[bytes], int]:
 
 def digest_keys(h1: np.ndarray, h2: np.ndarray, shards: int):
     """Distinct digests of a block in order of shard; each window's place among them; whether it came twice."""
-    c = (h2 >> U(32)).astype(np.uint32)
     shard = B.spread(h1, shards)
-    order = np.lexsort((c, h1, shard))
-    s, a, c = shard[order], h1[order], c[order]
+    order = np.lexsort((h2, h1, shard))
+    s, a, c = shard[order], h1[order], h2[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
     group = np.cumsum(new) - 1
@@ -118,11 +117,11 @@ def _estimated(hs, replies, shards: int, bits: int) -> np.ndarray:
     return out
 
 
-def repeated_windows(blocks: DataFrame, width: int, bytes_a_shard: int = 8 << 20):
-    """Staged answers from which ``_repeats`` tells each block its repeated windows."""
-    shards = B.n_shards(blocks, bytes_a_shard)
+def repeated_windows(blocks: B.Blocks, width: int):
+    """Written answers from which each block knows its repeated windows, the number of shards and of counter bits."""
+    shards = blocks.shards()
     # about a window for every six bytes; four counters a window, in powers of two
-    bits = max(8, min(31, int(np.ceil(np.log2(max(1, (blocks.agg({"n_bytes": "sum"}).first()[0] or 0) / shards / 6 * 4))))))
+    bits = max(8, min(31, int(np.ceil(np.log2(max(1, blocks.n_bytes / shards / 6 * 4))))))
 
     def sketch(_, b, __):
         *_, h1, h2 = _windows(b, width)
@@ -137,18 +136,18 @@ def repeated_windows(blocks: DataFrame, width: int, bytes_a_shard: int = 8 << 20
             est = _estimated((h1, h2), replies["cell"], shards, bits)
             yield from send_digests(h1[est], h2[est], shards)
 
-    cells = B.ask(blocks, sketch, merge_sketches, "sketch")
-    exact = B.ask(B.with_replies(blocks, cell=cells), digests, group_digests, "exact")
+    cells = B.ask(blocks, sketch, merge_sketches, "sketch", 2 * shards)
+    exact = B.ask(blocks, digests, group_digests, "exact", shards, cell=cells)
     return cells, exact, shards, bits
 
 
-def substring_dedup(docs: DataFrame, width: int = 35, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 35, key: str = "doc_id", text: str = "text", with_text: bool = False, scratch: B.Scratch | None = None) -> DataFrame:
     """Remove each word that a window of ``width`` words covers whose word sequence starts anywhere else too.
 
     One row a document: doc_id, n_words, n_removed, n_spans, kept_sha256 and, if asked for, kept_text (the
     kept words joined by one space; null for null).
     """
-    blocks = B.to_blocks(docs, key, text)
+    blocks = B.to_blocks(docs, key, text, scratch=scratch)
     cells, exact, shards, bits = repeated_windows(blocks, width)
 
     def remove(_, b, replies):

@@ -12,10 +12,11 @@ most two windows whatever the length of a document. The column files are sequent
 packed shuffle rows, and earlier columns are final as soon as they are written. A window is repeated exactly
 if its suffix shares ``length`` bytes with a neighbour in that order, or its segment came more than once.
 
-Two exchanges come before, so that only text that may repeat is moved: anchors that occur once drop out, and
-for an anchor that very many different segments share (a line common to a third of all documents with other
-text around it) windows whose digest occurs once drop out, and what is left is split by a hash of the
-bytes that all windows of a quarter of the offsets share (157 of 200).
+Two exchanges come before, at every size, so that only text that may repeat is moved: anchors that occur once drop
+out, and for an anchor that over ``HOT`` different segments share (a line common to a third of all documents with
+other text around it) windows whose digest occurs once drop out, and what is left is split by a hash of the
+bytes that all windows of a quarter of the offsets share (157 of 200). ``HOT`` bounds what one anchor brings to a
+task; no result depends on it.
 
 Defined results: a null or empty text has 0 bytes and the hash of the empty string; texts shorter than
 ``length`` lose nothing; repeated rows and ids are separate documents; an empty table gives an empty result;
@@ -30,7 +31,6 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import blocks as B
 from .substring_dedup import group_digests, read_digests, send_digests
@@ -266,7 +266,7 @@ def _sorted_candidates(s: Segments, shards: int, replies):
     return a, z, place[back], at, shard[order], key[at], (p - a)[at], (count > 1)[order], number, texts
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", with_text: bool = False, hot: int = HOT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", with_text: bool = False, hot: int = HOT, scratch: B.Scratch | None = None) -> DataFrame:
     """Remove each byte that a ``length``-byte string covers which starts anywhere else too.
 
     One row a document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked
@@ -274,8 +274,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, key: str = "doc_id", text:
     """
     if length <= K:
         raise ValueError(f"length must be over {K}")
-    blocks = B.to_blocks(docs, key, text)
-    shards = B.n_shards(blocks, 8 << 20)
+    blocks = B.to_blocks(docs, key, text, scratch=scratch)
+    shards = blocks.shards()
 
     def anchors(_, b, __):
         s = Segments(b, length)
@@ -306,10 +306,9 @@ def suffix_dedup(docs: DataFrame, length: int = 200, key: str = "doc_id", text:
             head = [np.uint32(len(own)).tobytes(), key[x].tobytes(), rel[x].astype(np.uint16).tobytes(), np.array([len(t) for t in own], np.uint16).tobytes(), many[x].astype(np.uint8).tobytes()]
             yield sh, zstandard.ZstdCompressor(level=1).compress(b"".join(head + own))
 
-    asked = {"anchor": B.ask(blocks, anchors, lambda parts: count_anchors(parts, hot), "anchors")}
-    if asked["anchor"].agg(F.sum("hot")).first()[0]:
-        asked["hot"] = B.ask(B.with_replies(blocks, **asked), hot_windows, group_digests, "hot")
-    asked["columns"] = B.ask(B.with_replies(blocks, **asked), segments, lambda parts: repeated_columns(parts, length), "columns")
+    asked = {"anchor": B.ask(blocks, anchors, lambda parts: count_anchors(parts, hot), "anchors", shards)}
+    asked["hot"] = B.ask(blocks, hot_windows, group_digests, "hot", shards, **asked)
+    asked["columns"] = B.ask(blocks, segments, lambda parts: repeated_columns(parts, length), "columns", shards, **asked)
 
     def remove(_, b, replies):
         s = Segments(b, length)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import Scratch
+
 STRETCH = 1024
 
 
@@ -69,10 +71,10 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
     return out.select("n_tokens", "n_docs", "docs_at_least", "tokens_at_least", "docs_up_to", "tokens_up_to", "truncated_total", "quantile", F.col("d_all").alias("total_docs"), F.col("t_all").alias("total_tokens"))
 
 
-def token_histogram(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    from .blocks import stage
-
-    return suffix_sums(stage(length_counts(docs, text, path, pattern), "lengths"))  # encoded once, read twice
+def token_histogram(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """The sums over all documents; lengths are written once and read twice."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    return suffix_sums(scratch.write(length_counts(docs, text, path, pattern), "lengths"))
 
 
 def at_limit(sums: DataFrame, limit: int) -> DataFrame:

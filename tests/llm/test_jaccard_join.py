@@ -72,3 +72,58 @@ def test_whole_fixture(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     got = run(spark, rows)
     assert got == brute(rows, 4, 85) and sum(d != c for d, _, c in got) > 10
+
+
+def test_words_that_defeat_linear_hashes(spark):
+    """Thue-Morse words and their complements collide under any polynomial hash modulo 2**64."""
+    from opsloom.llm.substring_dedup import substring_dedup
+
+    t = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    u = t.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"x {t} y z w v"), (2, f"x {u} y z w v"), (3, " ".join(f"{t}{k}" for k in range(35))), (4, " ".join(f"{u}{k}" for k in range(35)))]
+    rows += [(5, " ".join("ab"[bin(i).count("1") % 2] for i in range(2048))), (6, " ".join("ba"[bin(i).count("1") % 2] for i in range(2048)))]
+    assert run(spark, rows) == brute(rows, 4, 85)
+    docs = spark.createDataFrame(rows[:4], "doc_id long, text string")
+    assert sum(r.n_removed for r in substring_dedup(docs).collect()) == 0
+    assert sum(r.n_removed for r in substring_dedup(spark.createDataFrame(rows[4:], "doc_id long, text string"), 1025).collect()) == 0
+
+
+def test_hashes_of_words_and_runs():
+    import numpy as np
+
+    from opsloom.llm import blocks as B
+
+    words = [b"", b"a", b"a\0", b"b", b"abcdefgh", b"abcdefg", b"abcdefghi", b"x" * 256, b"x" * 257, b"y" + b"x" * 256, b"a"]
+    buf = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    h = B.hash_words(buf, ends - [len(w) for w in words], ends)
+    assert len(set(h.tolist())) == len(words) - 1 and h[1] == h[-1]
+    other = B.hash_words(buf, ends - [len(w) for w in words], ends, 1)
+    assert not set(h.tolist()) & set(other.tolist())
+    r = np.random.default_rng(1).integers(0, 3, 500).astype(np.uint64)
+    for n in (1, 2, 3, 4, 5, 7, 8, 35):
+        runs, seen = B.hash_runs(B.mix(r), n), {}
+        assert len(runs) == 500 - n + 1
+        for i, x in enumerate(runs.tolist()):
+            assert seen.setdefault(x, tuple(r[i : i + n])) == tuple(r[i : i + n])
+        assert len(seen) == len({tuple(r[i : i + n]) for i in range(500 - n + 1)})
+
+
+def test_blocks_of_a_task_are_of_one_bucket(spark):
+    import numpy as np
+
+    from opsloom.llm import blocks as B
+
+    some = [-5, 0, 1, 2**40, 2**63 - 1]
+    want = [r[0] for r in spark.createDataFrame([(x,) for x in some], "x long").selectExpr("pmod(hash(x), 7)").collect()]
+    assert B.bucket_of(np.array(some), 7).tolist() == want
+    blocks = B.to_blocks(spark.range(3000, numPartitions=6).selectExpr("id as doc_id", "repeat('word ', 50) as text"), block_bytes=20_000)
+    files = blocks.rows.selectExpr("_metadata.file_name as f", "block").collect()
+    assert len({r.f for r in files}) == 6 < len(files) and len({r.block for r in files}) == len(files)
+    replies = spark.range(1).selectExpr("0L as block", "0 as shard", "binary('x') as reply").unionByName(blocks.rows.selectExpr("block", "1", "binary('y')").toDF("block", "shard", "reply"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    joined = B.with_replies(blocks, t=replies)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1 and joined.count() == len(files)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

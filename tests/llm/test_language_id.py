@@ -36,3 +36,29 @@ def test_presence_in_stretches(monkeypatch):
     whole = presence(data, lens)
     monkeypatch.setattr(language_id, "STRETCH", 7)
     assert (presence(data, lens) == whole).all() and whole.sum(axis=1)[1] == 0
+
+
+def test_every_language_is_learned(spark):
+    """Far more languages than landmarks, one of a single row, one of many copies of a row; no shuffle of texts."""
+    import random
+
+    r = random.Random(4)
+    rows, letters = [], "abcdefghijklmnopqrstuvwxyz"
+    for k in range(260):
+        own = [c + d for c, d in zip(r.sample(letters, 8), r.sample(letters, 8))]
+        rows += [(1000 * k + i, " ".join("".join(r.choices(own, k=3)) for _ in range(60)), f"l{k}") for i in range(12)]
+    single = next(i for i in range(10**6, 10**6 + 50) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows += [(single, "жзийк лмноп", "one"), *[(single, "кириллица только здесь", "copies")] * 500]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(docs)
+    assert set(model.languages) == {f"l{k}" for k in range(260)} | {"one", "copies"}
+    out = predict(docs, model).collect()
+    truth = {(d, lang) for d, _, lang in rows if lang[0] == "l"}
+    held = [x for x in out if x.held_out]
+    assert sum((x.doc_id, x.lang_pred) in truth for x in held) / len(held) > 0.8
+    from opsloom.llm.language_id import recognised
+
+    odd = docs.limit(5).unionByName(spark.createDataFrame([(1, None, None), (2, "12 !", "x"), (None, "words", None)], docs.schema)).selectExpr("*", "array(1) as _x", "text as score")
+    kept = recognised(odd, model)
+    assert kept.schema == odd.schema and sorted(str(x.doc_id) for x in kept.collect()) == sorted([*(str(x.doc_id) for x in odd.limit(5).collect()), "None"])
+    assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()

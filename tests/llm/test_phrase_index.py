@@ -15,7 +15,7 @@ def brute(docs, items, width):
     for i, t in items:
         w = words(t)
         for a in range(max(1, len(w) - width + 1) if w else 0):
-            windows.setdefault(tuple(w[a : a + width]), set()).add(str(i))
+            windows.setdefault(tuple(w[a : a + width]), set()).update([] if i is None else [str(i)])
     sizes = {len(x) for x in windows}
     for d, t in docs:
         w, hit, found = words(t), set(), set()
@@ -34,13 +34,23 @@ def run(spark, docs, items, width, **more):
 
 
 DOCS = [(1, None), (2, ""), (3, "A b, C d-e f g"), (4, "a b c a b c d e f"), (4, "a b c a b c d e f"), (None, "zé É zé"), (5, "... !"), (6, "g f e d c b a"), (7, "a")]
-ITEMS = [(1, "a b c"), (10, "B C D e f"), (2, None), (3, ""), (4, "ZÉ é zé"), (5, "zÉ É zé"), (9, "a b c"), (9, "a b c"), (11, "b c d")]
+ITEMS = [(1, "a b c"), (10, "B C D e f"), (2, None), (3, ""), (4, "ZÉ é zé"), (5, "zÉ É zé"), (9, "a b c"), (9, "a b c"), (11, "b c d"), (None, "f g"), (None, "c d e"), (12, "x a b c a b c d e f y")]
 
 
 @pytest.mark.parametrize("width", [1, 3, 10])
-@pytest.mark.parametrize("slice_items", [4000, 3])
-def test_edges(spark, width, slice_items):
-    assert run(spark, DOCS, ITEMS, width, slice_items=slice_items) == brute(DOCS, ITEMS, width)
+@pytest.mark.parametrize("slice_windows", [4000, 3])
+def test_edges(spark, width, slice_windows):
+    assert run(spark, DOCS, ITEMS, width, slice_windows=slice_windows) == brute(DOCS, ITEMS, width)
+
+
+def test_long_texts_words_and_items(spark):
+    """Texts of more than a block, words of more than a kilobyte that linear hashes confuse, items of many windows."""
+    t = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    u = t.translate(str.maketrans("ab", "ba"))
+    long = " ".join(f"w{i % 997}x{i % 89}" for i in range(300_000))
+    docs = [(1, f"{t} one two"), (2, f"{u} one two"), (3, long), (4, " ".join(long.split()[5000:5020]))]
+    items = [(1, f"{t} one two"), (2, " ".join(long.split()[4990:5400])), (3, " ".join(long.split()[5010:5013]))]
+    assert run(spark, docs, items, 3, slice_windows=150) == brute(docs, items, 3)
 
 
 def test_empty(spark):

@@ -5,13 +5,13 @@ from opsloom.llm.posting_lists import nearest
 
 def brute(rows, k, every):
     ok = [(i, np.array(v, float)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    x = np.stack([v for _, v in ok])
+    x = [v for _, v in ok]
     ids = np.array([i for i, _ in ok])
     out = {}
     for q, v in ok:
         if q % every == 0:
-            s = np.cumsum(x * v, axis=1)[:, -1]
-            best = sorted((-s[i], ids[i]) for i in range(len(ids)) if ids[i] != q)[:k]
+            s = [np.cumsum(y * v)[-1] if len(y) == len(v) else None for y in x]
+            best = sorted((-s[i], ids[i]) for i in range(len(ids)) if ids[i] != q and s[i] is not None)[:k]
             out[q] = [(int(i), -s) for s, i in best]
     return out
 
@@ -61,3 +61,45 @@ def test_recall_with_a_thousand_lists(spark, tmp_path):
     found = recall(got(nearest(df, every=1000)))
     print("recall", found)
     assert found >= 0.9
+
+
+def test_ties_between_different_vectors(spark):
+    """Eighty-six different vectors of one score, across lists; the smaller ids win. A vector far longer than the rest."""
+    import itertools
+
+    signs = list(itertools.product((-1.0, 1.0), repeat=7))[:86]
+    rows = [(20, [1.0] + [0.0] * 7)] + [(21 + i, [0.5, *s]) for i, s in enumerate(signs)] + [(i, [-1.0] + [0.0] * 7) for i in range(1, 20)]
+    want = brute(rows, 20, 20)
+    assert [i for i, _ in want[20]] == list(range(21, 41))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert got(nearest(df)) == want
+    more = rows + [(300, [1000.0] + [0.0] * 7)]
+    assert got(nearest(spark.createDataFrame(more, df.schema))) == brute(more, 20, 20)
+
+
+def test_dimensions_apart(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=3 + 2 * (i % 3 == 0)).tolist()) for i in range(130)]
+    assert got(nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == brute(rows, 20, 20)
+
+
+def test_best_of_against_sorting():
+    from opsloom.llm.posting_lists import best_of
+
+    r = np.random.default_rng(8)
+    x, z, least = r.integers(-2, 3, (500, 6)).astype(float), r.integers(-2, 3, (70, 6)).astype(float), r.permutation(500)
+    row, col, score = best_of(x, least, z, 21)
+    for i in range(70):
+        want = sorted((-float(x[j] @ z[i]), int(least[j]), j) for j in range(500))[:21]
+        assert [(-s, int(least[c]), c) for c, s in zip(col[row == i].tolist(), score[row == i].tolist())] == want
+
+
+def test_graph_finds_the_nearest_without_meeting_all():
+    from opsloom.llm.posting_lists import Graph
+
+    c = np.random.default_rng(2).normal(size=(4000, 6))
+    g, q = Graph(c), np.random.default_rng(9).normal(size=(50, 6))
+    near, d = g.search(q, 40)
+    want = np.argsort(((q[:, None] - c[None]) ** 2).sum(axis=2), axis=1)[:, :40]
+    assert np.mean([len(set(a) & set(b)) / 40 for a, b in zip(near.tolist(), want.tolist())]) > 0.97
+    assert (np.diff(d, axis=1) >= 0).all() and g.links.shape[1] == 33

@@ -10,9 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm.blocks import clear_staged, shared_dir, stage
+from opsloom.llm.blocks import Scratch, shared_dir
 from opsloom.llm.jaccard_join import shingle_components
-from opsloom.llm.language_id import fit, predict
+from opsloom.llm.language_id import fit, recognised
 from opsloom.llm.phrase_index import contamination
 from opsloom.llm.suffix_dedup import suffix_dedup
 from opsloom.llm.wfst_pieces import encode_decode
@@ -21,15 +21,26 @@ from opsloom.llm.wfst_pieces import encode_decode
 ORACLE_SQL = None
 
 ROW = "_row"
+#: Intermediates of stages by their place; a stage's are of no more use once the next one reads what it has written.
+_OPEN: dict[int, list[Scratch]] = {}
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _scratch(spark: SparkSession, place: int) -> Scratch:
+    """A folder for a stage, after deleting those of the stages before it."""
+    for k in [k for k in _OPEN if k < place]:
+        for old in _OPEN.pop(k):
+            old.clear()
+    _OPEN.setdefault(place, []).append(new := Scratch(spark))
+    return new
+
+
+def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` with a number of its own for each row, as ids may be null or repeat, the same whenever it is read.
 
     Rows read from files are numbered by file and place in it. Any others are written to the shared folder first.
     """
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+        return scratch.write(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
     spark = docs.sparkSession
     files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
     numbers = spark.createDataFrame(list(zip(files, range(len(files)))), "_file string, _number long")
@@ -38,48 +49,47 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.select(*docs.columns, F.shiftleft("_number", 40).bitwiseOR(F.col("_index")).alias(ROW))
 
 
-def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``rows`` less those row numbers, which operators give back as ``doc_id``."""
-    return rows.join(dropped.select(F.col("doc_id").alias(ROW)), ROW, "left_anti").drop(ROW)
+def _without(rows: DataFrame, dropped: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows`` less those row numbers, which operators give back as ``doc_id``. They are written first, so that Spark
+    knows their size: below its broadcast threshold texts are not shuffled, else both sides are."""
+    return rows.join(scratch.write(dropped.select(F.col("doc_id").alias(ROW)), "dropped"), ROW, "left_anti").drop(ROW)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language is recognised (``und``) go."""
-    clear_staged(spark)
-    rows = _keyed(docs)
-    return _without(rows, predict(rows, fit(docs), ROW).where("lang_pred = 'und'"))
+    return recognised(docs, fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the least id stays (the first row of it, a null id last)."""
-    clear_staged(spark)
-    rows = _keyed(docs)
-    groups = shingle_components(rows, key=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    scratch = _scratch(spark, 1)
+    rows = _keyed(docs, scratch)
+    groups = scratch.write(shingle_components(rows, key=ROW, scratch=scratch).select(F.col("doc_id").alias(ROW), "component_id"), "groups")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
-    least = rows.select(ROW, "doc_id").join(groups, ROW).groupBy("component_id").agg(F.min(order)[ROW].alias(ROW))
-    return rows.join(least.select(ROW), ROW, "left_semi").drop(ROW)
+    least = rows.select(ROW, "doc_id").join(groups, ROW).groupBy("component_id").agg(F.min(order)[ROW].alias("least"), F.count("*").alias("n")).where("n > 1")
+    return _without(rows, groups.join(least, "component_id").where(F.col(ROW) != F.col("least")).select(F.col(ROW).alias("doc_id")), scratch)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes or more that occur anywhere else are cut out; what has no text left goes."""
-    clear_staged(spark)
-    rows = _keyed(docs)
-    kept = suffix_dedup(rows, key=ROW, with_text=True).where("n_removed = 0 or n_removed < n_bytes").select(F.col("doc_id").alias(ROW), F.col("kept_text").alias("_text"))
+    scratch = _scratch(spark, 2)
+    rows = _keyed(docs, scratch)
+    kept = suffix_dedup(rows, key=ROW, with_text=True, scratch=scratch).where("n_removed = 0 or n_removed < n_bytes").select(F.col("doc_id").alias(ROW), F.col("kept_text").alias("_text"))
     new = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast("long")} if "n_chars" in docs.columns else {})
     return rows.join(kept, ROW).withColumns(new).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words in a row of a benchmark item go."""
-    clear_staged(spark)
+    scratch = _scratch(spark, 3)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = _keyed(docs)
-    return _without(rows, contamination(rows, items, key=ROW).where("contaminated"))
+    rows = _keyed(docs, scratch)
+    return _without(rows, contamination(rows, items, key=ROW, scratch=scratch).where("contaminated"), scratch)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left, and whether it decodes to itself."""
-    clear_staged(spark)
+    _scratch(spark, 4)
     return encode_decode(docs)
 
 

@@ -1,28 +1,36 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-``compile_model`` turns a model file into one transducer: the normaliser (dummy prefix and the space escape),
-one arc path per piece, and byte fallback for characters that no piece has. Encoding composes it with the
-input and takes the shortest path in the tropical semiring (weights add along a path, the least sum wins).
-
-For unigram models a piece weighs its negative score. For BPE models the weights alone cannot tell which
-merges come first, so the lexicon is composed with the acceptor of merge order, whose states are pieces: it
-has an arc from piece to piece exactly if merging their characters would give these two again. Paths of that
-product are the BPE encodings, so the shortest is the one encoding of the library. The pair condition is
-found by undoing merges on both sides of the cut, latest first. Chunks that start at an escaped space after
-another character are composed separately, since no piece crosses such a place (checked when compiled).
-
-Defined results: null and empty texts have no tokens and decode to the empty string (null for null); decoding
-gives the text back but for U+2581, which is the escape itself and comes back as a space; repeated rows are
-encoded alike; an empty table gives an empty result; other columns are not read.
+``compile_model`` turns a model file into one transducer, a chain of three machines that are composed with each input:
+
+- the normaliser: the model's normalisation map as longest-match rewriting arcs, the states of white space (leading,
+  repeated, trailing), the dummy prefix and the space escape; user-defined pieces pass it as they are,
+- the lexicon: one arc path a piece, with the piece's weight, and byte fallback for characters that no piece has,
+- for BPE models, the acceptor of merge order. Its states are pieces and it has an arc from piece to piece exactly if
+  merging their characters would give these two again (found by undoing merges on both sides of the cut, latest
+  first), since no sums of weights can tell which merges come first.
+
+Encoding takes the shortest path through the composition in the tropical semiring: weights add along a path, the
+least sum wins, for unigram and BPE models alike. A piece weighs its negative score. The composition is made while it is
+read: an Aho-Corasick machine gives the lexicon's arcs by the position where they end, and each arc that the acceptor
+lets follow the state of its start is relaxed. One state a position is enough: a unigram model's acceptor has one, and in
+merge order the pieces of each prefix of a text are determined, so only its last piece can be alive there. Chunks that
+start at an escaped space after another character are composed separately, since no piece crosses such a place (checked
+when compiled).
+
+Defined results: null and empty texts have no tokens and decode to the empty string (null for null); decoding gives the
+normalised text back, which for an identity normaliser is the text itself but for U+2581 (the escape, which comes back
+as a space); repeated rows are encoded alike; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from array import array
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,8 +40,10 @@ SPACE = "▁"
 SCHEMA = "doc_id long, n_tokens long, n_bytes_fallback long, ids_sha256 string, round_trip boolean"
 #: Weight of a byte arc; above any piece's, so that bytes serve only what no piece has.
 BYTE_WEIGHT = 1e6
-#: Chunks remembered by a worker.
-REMEMBERED = 300_000
+#: Chunks remembered by a worker, and the longest that is.
+REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
+#: Characters of a chunk from which costs are kept in arrays; no sum of weights.
+LONG_CHUNK, INFINITE = 4096, float("inf")
 
 
 def default_model() -> str:
@@ -42,23 +52,79 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@dataclass
+class Normaliser:
+    """Rewriting arcs and the states of white space. ``rules``: text to its rewriting; ``keep``: user-defined pieces."""
+
+    rules: dict[str, str]
+    keep: tuple[str, ...]
+    dummy_prefix: bool
+    strip: bool
+    space: str
+
+    def __post_init__(self):
+        self.longest = max(map(len, self.rules), default=0)
+        firsts = "".join(sorted({r[0] for r in self.rules}))
+        known = "|".join(map(re.escape, sorted(self.keep, key=len, reverse=True)))
+        self.stop = re.compile("|".join(x for x in (known and f"({known})", firsts and f"[{re.escape(firsts)}]") if x)) if known or firsts else None
+
+    def rewritten(self, text: str) -> str:
+        """The longest rule at each place, from the left."""
+        if self.stop is None:
+            return text
+        out, at = [], 0
+        while (m := self.stop.search(text, at)) is not None:
+            out.append(text[at : m.start()])
+            at = m.start()
+            if self.keep and m.group(1):
+                out.append(m.group(1))
+                at = m.end()
+                continue
+            for n in range(min(self.longest, len(text) - at), 0, -1):
+                if (new := self.rules.get(text[at : at + n])) is not None:
+                    out.append(new)
+                    at += n
+                    break
+            else:
+                out.append(text[at])
+                at += 1
+        return "".join(out) + text[at:]
+
+    def __call__(self, text: str) -> str:
+        """The machine's output, spaces escaped."""
+        if not text:
+            return ""
+        text = self.rewritten(text)
+        if self.strip:
+            if text and not text.strip(" "):
+                return ""
+            text = re.sub(" {2,}", " ", text).strip(" ")
+            if not text:
+                return ""
+        return ((" " if self.dummy_prefix else "") + text).replace(" ", self.space)
+
+
 @dataclass
 class Transducer:
     pieces: list[str]
     bpe: bool
-    dummy_prefix: bool
+    normal: Normaliser
     arcs: dict[str, tuple[int, float]]  # piece to id and weight
-    prefixes: frozenset[str]
     byte_ids: list[int]
     unk: int
     rank: list[int]
     split: dict[int, tuple[int, int]]
     merged: dict[tuple[int, int], int]
+    own: dict[str, int]  # user-defined pieces
     by_chunks: bool
-    longest: int
     pairs: dict[int, bool] = field(default_factory=dict)
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    known: dict[str, bytes] = field(default_factory=dict)
     surface: list[bytes] = field(default_factory=list)
+    machine: ahocorasick.Automaton | None = None
+
+    def __post_init__(self):
+        self.size = {t: len(p) for p, (t, _) in self.arcs.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.own, key=len, reverse=True))) + ")") if self.own else None
 
     def follows(self, a: int, b: int) -> bool:
         """The merge-order acceptor's arc from piece ``a`` to piece ``b``."""
@@ -84,103 +150,85 @@ class Transducer:
             else:
                 limit, b = rank[b] + 1, self.split[b][0]
 
-    def path(self, text: str) -> tuple[int, ...]:
-        """Ids along the shortest path for one normalised chunk."""
-        return self._only_path(text) if self.bpe else self._least_path(text)
-
-    def _only_path(self, text: str) -> tuple[int, ...]:
-        """With the merge order composed in, one path is accepted, so the first found is the shortest: arcs are
-        composed on the way, longest piece first, and states that led nowhere are not entered again."""
-        arcs, longest, n = self.arcs, self.longest, len(text)
-        path: list[tuple[int, int]] = []  # (start, piece); piece -1: bytes
-        dead: set[tuple[int, int]] = set()
-        i, size = 0, longest
-        while i < n:
-            last = path[-1][1] if path else -1
-            top = size = min(size, n - i)
-            while size > 0:
-                arc = arcs.get(text[i : i + size])
-                if arc is not None and (last < 0 or self.follows(last, arc[0])) and (not dead or (i + size, arc[0]) not in dead):
-                    path.append((i, arc[0]))
-                    break
-                size -= 1
-            if size == 0:
-                if top and text[i] not in arcs:  # no piece holds this character
-                    path.append((i, -1))
-                    size = 1
-                else:  # back over the last arc, to a shorter piece
-                    at, t = path.pop()
-                    dead.add((i, t))
-                    i, size = at, i - at - 1
-                    continue
-            i, size = i + size, longest
-        out: list[int] = []
-        for at, t in path:
-            if t >= 0:
-                out.append(t)
-            elif self.byte_ids:
-                out += [self.byte_ids[x] for x in text[at].encode()]
-            else:
-                out.append(self.unk)
-        return tuple(out)
-
-    def _least_path(self, text: str) -> tuple[int, ...]:
-        """Relax every arc from every position, in order."""
-        n = len(text)
-        # states by position: -1 start or bytes, 0 piece; each with weight, position and state before, piece
-        at: list[dict[int, tuple[float, int, int, int]]] = [{} for _ in range(n + 1)]
-        at[0][-1] = (0.0, -1, -1, -1)
-        arcs, prefixes = self.arcs, self.prefixes
-        for i in range(n):
-            if not (states := at[i]):
-                continue
-            j, found = i + 1, False
-            while (s := text[i:j]) in prefixes:
-                if (arc := arcs.get(s)) is not None:
-                    found = True
-                    t, w = arc
-                    for last, (cost, *_) in states.items():
-                        old = at[j].get(0)
-                        if old is None or cost + w < old[0]:
-                            at[j][0] = (cost + w, i, last, t)
-                j += 1
-                if j > n:
-                    break
-            if not found or arcs.get(text[i]) is None:
-                last, (cost, *_) = min(states.items(), key=lambda x: x[1][0])
-                old = at[i + 1].get(-1)
-                if old is None or cost + BYTE_WEIGHT < old[0]:
-                    at[i + 1][-1] = (cost + BYTE_WEIGHT, i, last, -1)
-        out: list[int] = []
-        j, last = n, min(at[n].items(), key=lambda x: x[1][0])[0]
+    def lexicon(self):
+        """Finds the arcs of all pieces in a text; built in each worker."""
+        if self.machine is None:
+            self.machine = ahocorasick.Automaton()
+            for p, (t, w) in self.arcs.items():
+                self.machine.add_word(p, (t, len(p), w))
+            self.machine.make_automaton()
+            self.letters = frozenset(p for p in self.arcs if len(p) == 1)
+        return self.machine
+
+    def path(self, text: str) -> list[int]:
+        """Ids along the shortest path for one normalised chunk. ``cost``: the least sum of weights to each position;
+        ``last``: the piece that ends there on the best path (-1: the start, or bytes)."""
+        lexicon, n, bpe, pairs = self.lexicon(), len(text), self.bpe, self.pairs
+        cost, last = [0.0, *[INFINITE] * n], [-1] * (n + 1)
+        if n >= LONG_CHUNK:
+            cost, last = array("d", cost), array("i", last)
+        foreign = [] if self.letters.issuperset(text) else [i for i, c in enumerate(text) if c not in self.letters]
+        foreign.reverse()
+        for end, (t, size, w) in lexicon.iter(text):
+            while foreign and foreign[-1] < end:
+                self._relax_bytes(foreign.pop(), cost, last)
+            start = end + 1 - size
+            if (to := cost[start] + w) < cost[end + 1]:
+                if bpe and (before := last[start]) >= 0:
+                    ok = pairs.get(before << 20 | t)
+                    if not (self.follows(before, t) if ok is None else ok):
+                        continue
+                cost[end + 1], last[end + 1] = to, t
+        while foreign:
+            self._relax_bytes(foreign.pop(), cost, last)
+        out, j = [], n
         while j > 0:
-            _, i, before, t = at[j][last]
-            if t >= 0:
+            if (t := last[j]) >= 0:
                 out.append(t)
-            elif self.byte_ids:
-                out += [self.byte_ids[x] for x in reversed(text[i:j].encode())]
+                j -= self.size[t]
             else:
-                out.append(self.unk)
-            j, last = i, before
-        return tuple(reversed(out))
+                j -= 1
+                out += [self.byte_ids[x] for x in reversed(text[j].encode())] if self.byte_ids else [self.unk]
+        out.reverse()
+        return out
 
-    def encode(self, text: str) -> array:
-        out = array("I")
-        if not text:
-            return out
-        text = (SPACE * self.dummy_prefix + text).replace(" ", SPACE)
-        known = self.known
-        for chunk in _CHUNK.findall(text) if self.by_chunks else [text]:
+    @staticmethod
+    def _relax_bytes(i: int, cost, last) -> None:
+        """The arc of a character that is no piece."""
+        if cost[i] + BYTE_WEIGHT < cost[i + 1]:
+            cost[i + 1], last[i + 1] = cost[i] + BYTE_WEIGHT, -1
+
+    def _composed(self, text: str) -> bytes:
+        known, chunks = self.known, _CHUNK.findall(text) if self.by_chunks else [text]
+        try:
+            return b"".join(map(known.__getitem__, chunks))
+        except KeyError:
+            pass
+        out = []
+        for chunk in chunks:
             ids = known.get(chunk)
             if ids is None:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                ids = self.path(chunk)
-                if len(chunk) < 64:
+                ids = array("I", self.path(chunk)).tobytes()
+                if len(chunk) < REMEMBERED_LENGTH:
+                    if len(known) > REMEMBERED:
+                        known.clear()
                     known[chunk] = ids
-            out.extend(ids)
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str) -> array:
+        out = array("I")
+        if not (text := self.normal(text)):
+            return out
+        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
+            out.frombytes(array("I", [self.own[part]]).tobytes() if k % 2 else self._composed(part) if part else b"")
         return out
 
+    def plain(self, text: str) -> str:
+        """What decoding gives back: the normalised text."""
+        text = self.normal(text).replace(self.normal.space, " ").replace(SPACE, " ")
+        return text[1:] if self.normal.dummy_prefix and text[:1] == " " else text
+
     def decode(self, ids) -> str:
         if not self.surface:
             self.surface = [p.replace(SPACE, " ").encode() for p in self.pieces]
@@ -188,7 +236,7 @@ class Transducer:
             for x, t in enumerate(self.byte_ids):
                 self.surface[t] = bytes([x])
         text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.dummy_prefix and text[:1] == " " else text
+        return text[1:] if self.normal.dummy_prefix and text[:1] == " " else text
 
 
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -236,11 +284,35 @@ def _merge(text: str, ids: dict[str, int], rank: dict[str, int]):
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
+def read_rules(data: bytes) -> dict[str, str]:
+    """The rules of a serialised normalisation map: a double array of byte transitions whose leaves point into a run of
+    null-ended rewritings."""
+    if not data:
+        return {}
+    size = struct.unpack("<I", data[:4])[0]
+    units, texts, rules, left = np.frombuffer(data[4 : 4 + size], "<u4").astype(np.int64), data[4 + size :], {}, [(0, b"")]
+    symbols = np.arange(1, 256)
+
+    def behind(at: int) -> int:
+        u = int(units[at])
+        return at ^ ((u >> 10) << ((u & 512) >> 6))
+
+    while left:
+        at, so_far = left.pop()
+        to = behind(at) ^ symbols
+        to = np.where(to < len(units), to, 0)
+        for c in symbols[(units[to] & 0x800000FF) == symbols].tolist():
+            child = behind(at) ^ c
+            if units[child] >> 8 & 1:
+                value = int(units[behind(child)]) & 0x7FFFFFFF
+                rules[(so_far + bytes([c])).decode()] = texts[value : texts.index(b"\0", value)].decode()
+            left.append((child, so_far + bytes([c])))
+    return rules
+
+
 def compile_model(path: str) -> Transducer:
     """Read a model file (its fields 1: pieces, 2: trainer, 3: normaliser) and build the transducer."""
-    import struct
-
-    pieces, scores, kinds, model_type, byte_fallback, charsmap, dummy, strip, escape = [], [], [], 1, False, b"", True, True, True
+    pieces, scores, kinds, model_type, byte_fallback, suffix, charsmap, dummy, strip, escape = [], [], [], 1, False, False, b"", True, True, True
     with open(path, "rb") as f:
         for number, value in _fields(f.read()):
             if number == 1:
@@ -250,15 +322,13 @@ def compile_model(path: str) -> Transducer:
                 kinds.append(p.get(3, 1))
             elif number == 2:
                 p = dict(_fields(value))
-                model_type, byte_fallback = p.get(3, 1), bool(p.get(35, 0))
+                model_type, byte_fallback, suffix = p.get(3, model_type), bool(p.get(35, byte_fallback)), bool(p.get(24, suffix))
             elif number == 3:
                 p = dict(_fields(value))
-                charsmap, dummy, strip, escape = p.get(2, b""), bool(p.get(3, 1)), bool(p.get(4, 1)), bool(p.get(5, 1))
-    if charsmap or strip or not escape or model_type not in (1, 2):
-        raise ValueError("only identity normalisation with the space escape, and unigram or BPE models, are compiled")
-    if 4 in kinds:
-        raise ValueError("user-defined pieces are not compiled")
-    bpe = model_type == 2
+                charsmap, dummy, strip, escape = p.get(2, charsmap), bool(p.get(3, dummy)), bool(p.get(4, strip)), bool(p.get(5, escape))
+    bpe, own = model_type == 2, {p: i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == 4}
+    if model_type not in (1, 2) or suffix or (own and not bpe):
+        raise ValueError("only unigram and BPE models with spaces before words, and user-defined pieces of BPE models, are compiled")
     normal = {p: i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == 1}
     unk = kinds.index(2)
     byte_ids = [0] * 256 if byte_fallback else []
@@ -268,28 +338,23 @@ def compile_model(path: str) -> Transducer:
     rank, split, merged = [-1] * len(pieces), {}, {}
     if bpe:
         order = {p: i for i, p in enumerate(sorted((p for p in normal if len(p) > 1), key=lambda p: (-scores[normal[p]], normal[p])))}
-        for p in list(order):
+        arcs = {p: (i, -scores[i]) for p, i in normal.items() if len(p) == 1}
+        for p, r in order.items():
             if any(c not in normal for c in p):
                 raise ValueError("a piece holds a character that is no piece")
-        arcs = {p: (i, 1.0) for p, i in normal.items() if len(p) == 1}
-        for p, r in order.items():
             parts, before = _merge(p, normal, order)
+            i = normal[p]
+            rank[i] = r
             if len(parts) == 1:  # else merging never gives this piece
-                i = normal[p]
-                arcs[p], rank[i], split[i] = (i, 1.0), r, (normal[before[0]], normal[before[1]])
-        for p, i in normal.items():
+                arcs[p], split[i] = (i, -scores[i]), (normal[before[0]], normal[before[1]])
             for k in range(1, len(p)):
-                if p[:k] in normal and p[k:] in normal and len(p) > 1:
-                    rank[i] = order[p]
+                if p[:k] in normal and p[k:] in normal:
                     merged[normal[p[:k]], normal[p[k:]]] = i
-        for p, i in normal.items():
-            if len(p) > 1 and i not in split:
-                rank[i] = order[p]
     else:
         arcs = {p: (i, -scores[i]) for p, i in normal.items()}
-    prefixes = frozenset(p[:k] for p in normal for k in range(1, len(p) + 1))
-    crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in normal)
-    return Transducer(pieces, bpe, dummy, arcs, prefixes, byte_ids, unk, rank, split, merged, not crossing, max(map(len, arcs)))
+    crossing = not escape or any(re.search(f"[^{SPACE}]{SPACE}", p) for p in normal)
+    machine = Normaliser(read_rules(charsmap), tuple(own), dummy, strip, SPACE if escape else " ")
+    return Transducer(pieces, bpe, machine, arcs, byte_ids, unk, rank, split, merged, own, not crossing)
 
 
 def encode_decode(docs: DataFrame, model_path: str | None = None, key: str = "doc_id", text: str = "text", with_output: bool = False) -> DataFrame:
@@ -304,7 +369,7 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, key: str = "do
         for frame in frames:
             ids = [t.encode(x) if x is not None else array("I") for x in frame["text"]]
             back = [t.decode(i) for i in ids]
-            out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_tokens": [len(i) for i in ids], "n_bytes_fallback": [int(is_byte[np.frombuffer(i, np.uint32)].sum()) if len(i) else 0 for i in ids], "ids_sha256": [hashlib.sha256(i.tobytes()).hexdigest() for i in ids], "round_trip": [b == (x or "").replace(SPACE, " ") for b, x in zip(back, frame["text"], strict=True)]})
+            out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_tokens": [len(i) for i in ids], "n_bytes_fallback": [int(is_byte[np.frombuffer(i, np.uint32)].sum()) if len(i) else 0 for i in ids], "ids_sha256": [hashlib.sha256(i.tobytes()).hexdigest() for i in ids], "round_trip": [b == t.plain(x or "") for b, x in zip(back, frame["text"], strict=True)]})
             if with_output:
                 out["ids"], out["decoded"] = [list(i) for i in ids], [None if x is None else b for b, x in zip(back, frame["text"], strict=True)]
             yield out

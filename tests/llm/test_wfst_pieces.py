@@ -3,7 +3,7 @@ import random
 import public_tokenizers
 import sentencepiece
 
-from opsloom.llm.wfst_pieces import SPACE, compile_model, encode_decode
+from opsloom.llm.wfst_pieces import SPACE, _fields, compile_model, encode_decode
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 EDGE = ["", " ", "   ", "a", " a", "a  b   c ", "Hello  world\n\ttab ﬁ ½ 　x", "日本語テキスト", "\x00\x01é", "🙂🙃 ok", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "==== ---- \\\\\\\\", "  \n  \n", "x" * 3000, "12345 67", "don't ŁÓDŹ", "a▁b"]
@@ -66,11 +66,70 @@ def test_unigram_paths_are_least():
             assert abs(weight(t.encode(x)) - least(SPACE + x.replace(" ", SPACE))) < 1e-4, x
 
 
-def test_user_defined_pieces_are_refused(tmp_path):
+def models(tmp_path):
+    """The default model with another normaliser, and with user-defined pieces."""
+    with open(PATH, "rb") as f:
+        model = f.read()
+
+    def field(n, value):
+        size, head = len(value), b""
+        while size > 127:
+            head += bytes([size & 127 | 128])
+            size >>= 7
+        return bytes([n << 3 | 2]) + head + bytes([size]) + value
+
+    maps = {}
+    for rule in ("nfkc", "nmt_nfkc_cf"):
+        proto = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()
+        maps[rule] = next(dict(_fields(v))[2] for n, v in _fields(proto) if n == 3)
+    # later fields of a kind are merged into earlier ones
+    made = {
+        "map": model + field(3, field(2, maps["nfkc"])),
+        "map and white space": model + field(3, field(2, maps["nmt_nfkc_cf"]) + b"\x20\x01"),
+        "white space, no prefix": model + field(3, b"\x18\x00\x20\x01"),
+        "own pieces": model + b"".join(field(1, field(1, p.encode()) + b"\x18\x04") for p in ("<x>", "bqc", "<x>y")),
+    }
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+        yield name, str(tmp_path / name)
+
+
+def test_normalisers_and_own_pieces_as_the_library(tmp_path):
+    r = random.Random(6)
+    alphabet = "aabcdeeeiiiorstnhl  \n.,'éüß0123-_/=ABCT日🙂ж　ﬁ½Ａｶﾞ①Å\u0301\u200b\x01<x>y"
+    alphabet = [*alphabet, "<x>", "bqc"]
+    texts = [x for x in EDGE if SPACE not in x] + ["".join(r.choice(alphabet) for _ in range(r.randint(1, 50))) for _ in range(2500)]
+    for name, path in models(tmp_path):
+        t, lib = compile_model(path), sentencepiece.SentencePieceProcessor(model_file=path)
+        for x in texts:
+            assert list(t.encode(x)) == lib.encode(x), (name, x)
+            assert t.decode(t.encode(x)) == t.plain(x), (name, x)
+        assert len(t.normal.rules) > 4000 or "map" not in name
+
+
+def test_long_chunks():
+    """Texts without a space."""
+    t, lib = compile_model(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    r = random.Random(2)
+    for x in ("".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/AZ") for _ in range(30_000)), "x" * 9000, "日本語テキスト" * 2000, "=-" * 6000):
+        assert list(t.encode(x)) == lib.encode(x)
+
+
+def test_weights_decide():
+    """The acceptor aside, other weights give other paths: the search reads them."""
+    t = compile_model(PATH)
+    t.bpe = False
+    plain = t.path("▁internationalisation")
+    t.arcs, t.machine = {p: (i, 1.0) for p, (i, _) in t.arcs.items()}, None
+    fewest = t.path("▁internationalisation")
+    assert len(fewest) <= len(plain) and fewest != plain
+
+
+def test_other_models_are_refused(tmp_path):
     import pytest
 
     with open(PATH, "rb") as f:
         model = f.read()
-    (tmp_path / "m.model").write_bytes(model + b"\x0a\x07\x0a\x03<x>\x18\x04")  # one more piece of type 4
-    with pytest.raises(ValueError, match="user-defined"):
+    (tmp_path / "m.model").write_bytes(model + b"\x12\x02\x18\x03")  # a word model
+    with pytest.raises(ValueError, match="unigram and BPE"):
         compile_model(str(tmp_path / "m.model"))

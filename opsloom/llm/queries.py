@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .jaccard_join import shingle_components
 from .language_id import identify
 from .license_scan import scan
+from .oracle import oracle_sql
 from .phrase_index import contamination
 from .posting_lists import nearest
 from .substring_dedup import substring_dedup
@@ -69,9 +70,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_posting_lists, op3_suffix_dedup, op4_substring_dedup, op5_phrase_index, op6_weak_labels, op7_language_id, op8_wfst_pieces, op9_jaccard_join, op10_license_scan, pipeline)}
+__all__ = ["oracle_sql", "queries"]
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def queries():
+    return {f.__name__: f for f in (op1_token_counts, op2_posting_lists, op3_suffix_dedup, op4_substring_dedup, op5_phrase_index, op6_weak_labels, op7_language_id, op8_wfst_pieces, op9_jaccard_join, op10_license_scan, pipeline)}

@@ -22,8 +22,6 @@ from .language_id import presence
 
 SCHEMA = "doc_id long, votes string, label double, score double, keep boolean"
 SAMPLE, EPOCHS, RATE, DECAY = 3000, 12, 0.5, 1e-4
-#: Share of good documents that a labeller may call bad.
-MAX_ERROR = 0.02
 NAMES = ("symbols", "symbol_words", "letters", "capitals", "word_length", "repetition", "repeated_triples", "sentences", "length")
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#$%&*|@^~<>{}[]\\=_+`", np.uint8))
@@ -89,11 +87,10 @@ def votes_of(data: np.ndarray, lens: np.ndarray) -> np.ndarray:
     ).astype(np.int8)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, max_error: float = MAX_ERROR):
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200):
     """EM over vote patterns: posterior of good for each, the labellers' accuracies on good and bad documents,
-    and the share of good ones. Labellers are taken as independent given the label. Bad documents are of several
-    kinds, each seen by a few labellers only, so a bad vote starts as a bad label, and no labeller is allowed
-    more than ``MAX_ERROR`` bad votes on good documents; else a rarer kind would be voted down as errors."""
+    and the share of good ones. Labellers are taken as independent given the label. Accuracies are estimated freely; that
+    a bad vote starts as a bad label only says which of the two classes is which."""
     counts = counts.astype(np.float64)
     post = np.where((patterns < 0).any(axis=1), 0.1, 0.9)
     hot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(np.float64)
@@ -102,15 +99,13 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, max_er
         for w in (counts * (1 - post), counts * post):
             c = np.einsum("p,pjv->jv", w, hot) + 1.0
             chance.append(c / c.sum(axis=1, keepdims=True))
-        chance[1][:, 0] = np.minimum(chance[1][:, 0], max_error)
-        chance[1] /= chance[1].sum(axis=1, keepdims=True)
         prior = np.clip((counts * post).sum() / max(counts.sum(), 1e-9), 1e-3, 1 - 1e-3)
         log = np.log(prior / (1 - prior)) + np.einsum("pjv,jv->p", hot, np.log(chance[1]) - np.log(chance[0]))
         new = 1 / (1 + np.exp(-np.clip(log, -50, 50)))
         if np.abs(new - post).max() < 1e-9:
             break
         post = new
-    return post, {"good": chance[1][:, 2], "bad": chance[0][:, 0], "prior": prior}
+    return post, {"good": chance[1][:, 2], "bad": chance[0][:, 0], "wrong": chance[1][:, 0], "prior": prior}
 
 
 def _pattern(v: np.ndarray) -> str:

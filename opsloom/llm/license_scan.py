@@ -1,16 +1,18 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest licensed directory.
 
-Every line of a whole text that names a licence or a copyright is compared with the templates as a sparse
-TF-IDF vector, and so are the block of adjacent lines around it (of one comment or paragraph), each sentence of
-the block that names one, and the whole text of a file with a licence file's name. Document frequencies of the templates' words are counted over all such lines of the corpus;
-words of no template weigh as if no line had them. A file's own licence is its best line's template at a
-cosine of ``LEAST`` or more. A file whose licence lines make up at least ``NOTICE`` of its words, or whose name
-is a licence file's, speaks for its directory; a file without a licence of its own takes that of its nearest
-ancestor directory, found by joining the distinct directories' ancestors with the licensed directories.
-
-Defined results: null and empty texts have no licence of their own; a null path has no directory; repeated
-rows are scanned each, and a directory with several licence files takes the best score, then the least name;
-empty tables give empty results; other columns are not read.
+Compared with the templates, as sparse TF-IDF vectors, are of every whole text: each line that names a licence or a
+copyright; the header or passage that starts with such a paragraph, whole, which takes in the paragraphs behind it as
+long as that brings it nearer to a template; the sentences of these that name one; and the whole text of a file with a
+licence file's name. Templates are short notices, standard headers, titles and whole licence texts. Document frequencies
+of the templates' words are counted over all such lines of the corpus; words of no template weigh as if no line had
+them. A file's own licence is its best template at a cosine of ``LEAST`` or more. A file whose licence passages make up
+at least ``NOTICE`` of its words, or whose name is a licence file's, speaks for its directory; a file without a licence
+of its own takes that of its nearest ancestor directory, found by joining the distinct directories' ancestors with the
+licensed directories.
+
+Defined results: of equal scores the licence whose name is least wins, within a text and within a directory, where the
+best score comes first; null and empty texts have no licence of their own; a null path has no directory; repeated rows
+are scanned each; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -50,11 +52,21 @@ TEMPLATES = {
     "LGPL-3.0#title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     "MPL-2.0#header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "MPL-2.0#title": "Mozilla Public License Version 2.0",
+    "GPL-2.0#only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "LGPL-2.1#header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-2.1#title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "AGPL-3.0#header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0#title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 2-Clause License.",
+    "BSD-2-Clause#text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause#text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC#text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Unlicense#text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org",
     "MIT#text": "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
 }
 LEAST, NOTICE = 0.6, 0.5
 SCHEMA = "doc_id long, path string, own string, score double, n_lines long, licence_file boolean"
-_CUE = re.compile(r"licen[sc]e|copyright|spdx|creative commons|permission is hereby|redistribution and use", re.I)
+_CUE = re.compile(r"licen[sc]e|copyright|spdx|creative commons|permission is hereby|permission to use|public domain|redistribution and use", re.I)
 _COMMENT = re.compile(r"\s*(#|//|/?\*|--|;|%|dnl\b|<!--)")
 _BARE = re.compile(r"[\W_]*")
 _WORD = re.compile(r"[a-z0-9.]*[a-z0-9]")
@@ -74,20 +86,18 @@ def licence_lines(text: str | None):
     return out
 
 
-def licence_blocks(text: str | None):
-    """The runs of adjacent lines, all of a comment or all not, in which a line names a licence or copyright."""
-    if not text or not _CUE.search(text):
-        return []
+def paragraphs(text: str) -> list[str]:
+    """The runs of adjacent lines, all of a comment or all not, without comment marks. Bare lines part them."""
     out, run, last = [], [], None
     for line in [*text.split("\n"), ""]:
         kind = None if _BARE.fullmatch(line) else bool(_COMMENT.match(line))
         if kind != last and run:
-            out.append(run)
+            out.append(" ".join(run))
             run = []
         if kind is not None:
             run.append(_COMMENT.sub("", line, count=1).strip() if kind else line.strip())
         last = kind
-    return [b for b in (" ".join(r) for r in out if len(r) > 1) if _CUE.search(b)]
+    return out
 
 
 def terms(line: str) -> Counter:
@@ -105,18 +115,35 @@ class Templates:
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {w: x / norm for w, x in v.items()} if norm else {}
 
+    def nearest(self, line: str) -> tuple[float, str]:
+        """Score and name of the template nearest to a whole line; of equals the least name."""
+        found, v = (0.0, ""), self.vector(line)
+        for name, t in self.vectors.items():
+            s = round(sum(x * v[w] for w, x in t.items() if w in v), 12)
+            if s and (-s, name.split("#")[0]) < (-found[0], found[1]):
+                found = (s, name.split("#")[0])
+        return found
+
     def best(self, line: str, block: bool = False) -> tuple[float, str, int]:
         """Score and name of the nearest template, and words compared; a sentence in a longer line counts as itself
         too (of a block only one that names a licence)."""
-        found = (0.0, "", 0)
-        parts = _SENTENCE.split(line)
-        for part in {line, *(p for p in parts if not block or _CUE.search(p))}:
-            v = self.vector(part)
-            for name, t in self.vectors.items():
-                s = sum(x * v[w] for w, x in t.items() if w in v)
-                if s > found[0] + 1e-12 or (abs(s - found[0]) <= 1e-12 and found[1] > name):
-                    found = (s, name, len(part.split()))
-        return found[0], found[1].split("#")[0], found[2]
+        parts = [line, *(p for p in _SENTENCE.split(line) if p != line and (not block or _CUE.search(p)))]
+        return min(((*self.nearest(p), len(p.split())) for p in parts), key=lambda x: (-x[0], x[1], -x[2]))
+
+    def passages(self, text: str | None):
+        """``best`` of each passage: a paragraph that names a licence, with those behind it that bring it nearer."""
+        if not text or not _CUE.search(text):
+            return
+        own, i = paragraphs(text), 0
+        while i < len(own):
+            if not _CUE.search(own[i]):
+                i += 1
+                continue
+            line, found, k = own[i], self.nearest(own[i]), i + 1
+            while k < len(own) and (more := self.nearest(f"{line} {own[k]}"))[0] > found[0]:
+                line, found, k = f"{line} {own[k]}", more, k + 1
+            yield min(self.best(own[i], True), (*found, len(line.split())), key=lambda x: (-x[0], x[1], -x[2]))
+            i += 1
 
 
 def own_licences(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text") -> DataFrame:
@@ -142,13 +169,13 @@ def own_licences(files: DataFrame, key: str = "doc_id", path: str = "path", text
             for d, p, t in zip(f["doc_id"], f["path"], f["text"], strict=True):
                 lines = licence_lines(t)
                 named = bool(p and _NAME.match(p.rsplit("/", 1)[-1]))
-                blocks = [shared.value.best(x, True) for x in licence_blocks(t)]
+                passages = list(shared.value.passages(t))
                 whole = [shared.value.best(" ".join(t.split()), True)] if named and t else []
-                score, name, _ = max((*(shared.value.best(x) for x in lines), *blocks, *whole), default=(0.0, "", 0), key=lambda x: (x[0], x[1]))
+                score, name, _ = min((*(shared.value.best(x) for x in lines), *passages, *whole), default=(0.0, "", 0), key=lambda x: (-x[0], x[1]))
                 own = name if score >= LEAST else None
-                notice = max(sum(len(x.split()) for x in lines), sum(n for s, _, n in blocks if s >= LEAST))
+                notice = max(sum(len(x.split()) for x in lines), max((n for s, _, n in passages if s >= LEAST), default=0))
                 share = notice / max(1, len(t.split())) if own else 0
-                out.append((d, p, own, round(score, 12), len(lines), bool(own and (named or share >= NOTICE))))
+                out.append((d, p, own, score, len(lines), bool(own and (named or share >= NOTICE))))
             frame = pd.DataFrame(out, columns=["doc_id", "path", "own", "score", "n_lines", "licence_file"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
@@ -160,7 +187,7 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     """One row a file: doc_id, path, own, score, n_lines, licence (own or inherited), from_dir (null if own)."""
     scratch = scratch or Scratch(files.sparkSession)
     own = scratch.write(own_licences(files, key, path, text).withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), F.lit(""))), "licences")
-    licensed = own.where("licence_file and dir is not null").groupBy("dir").agg(F.max_by("own", F.struct("score", F.expr("-doc_id"))).alias("licence"))
+    licensed = own.where("licence_file and dir is not null").groupBy("dir").agg(F.min_by("own", F.struct(-F.col("score"), "own")).alias("licence"))
     steps = F.split("dir", "/")
     dirs = own.where("own is null and dir is not null").select("dir").distinct()
     # "a/b/c" has the ancestors "", "a", "a/b" and itself

@@ -59,9 +59,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents are taken as files of the directory source/lang."""
+    """The table has no paths: documents are taken as files of the directory source/lang ("-" for a null)."""
     docs = _read(spark, sf_dir, "documents")
-    return scan(docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text"))
+    path = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("source", "lang", "doc_id")])
+    return scan(docs.select("doc_id", path.alias("path"), "text"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,89 @@ def test_wrapped_headers_and_whole_files(spark):
     ]
     got = {r.doc_id: (r.own, r.licence) for r in scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got == {1: ("MPL-2.0",) * 2, 2: ("GPL-2.0",) * 2, 3: ("GPL-3.0",) * 2, 4: ("GPL-2.0",) * 2, 5: (None, "GPL-2.0"), 6: ("GPL-3.0",) * 2, 7: (None, "GPL-3.0")}
+
+
+AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT\nLIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+BSD = "Copyright (c) 2020, Someone\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n" + AS_IS
+BSD3 = BSD.replace(AS_IS, "3. Neither the name of the copyright holder nor the names of its contributors\n   may be used to endorse or promote products derived from this software\n   without specific prior written permission.\n\n" + AS_IS)
+ISC = "Copyright (c) 2020 Someone\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
+UN = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.\n"
+LESSER = GPL.replace("This program is free software", "This library is free software").replace("GNU General", "GNU Lesser General")
+
+
+def commented(text, mark="# "):
+    return "\n".join((mark + x).rstrip() for x in text.split("\n")) + "\nx = 1\n" * 20
+
+
+def test_ordinary_licences_are_told_apart(spark):
+    rows = [(1, BSD, "BSD-2-Clause"), (2, BSD3, "BSD-3-Clause"), (3, ISC, "ISC"), (4, UN, "Unlicense"), (5, LESSER.format(";", ";", "2.1"), "LGPL-2.1"), (6, LESSER.format(":", ",", 3), "LGPL-3.0")]
+    rows += [(7, GPL.replace("GNU General", "GNU Affero General").format(":", ",", 3), "AGPL-3.0"), (8, GPL.format(";", ";", 2), "GPL-2.0"), (9, GPL.format(":", ",", 3), "GPL-3.0")]
+    more = [(10 * d, commented(t.replace("# ", "").replace("#", "")), want) for d, t, want in rows] + [(100 * d, commented(t.replace("# ", "").replace("#", ""), " * "), want) for d, t, want in rows]
+    df = spark.createDataFrame([(d, f"p{d}/x.py", t) for d, t, _ in rows + more], "doc_id long, path string, text string")
+    assert {r.doc_id: r.own for r in scan(df).collect()} == {d: w for d, _, w in rows + more}
+
+
+def test_published_texts(spark):
+    """The licence files of the operating system, where there are any."""
+    from pathlib import Path
+
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause"}
+    folder = Path("/usr/share/common-licenses")
+    rows = [(k, f"{n}/COPYING", (folder / n).read_text()) for k, n in enumerate(names) if (folder / n).exists()]
+    if rows:
+        got = {r.path.split("/")[0]: r.own for r in scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+        assert got == {n.split("/")[0]: names[n.split("/")[0]] for _, n, _ in rows}
+
+
+def test_against_brute_force(spark):
+    """Plain cosines over dictionaries, and a walk up the directories."""
+    import math
+    from collections import Counter
+
+    from opsloom.llm import license_scan as L
+
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "concat(source, '/', lang, '/', doc_id % 7, '/', doc_id)", "text").collect()]
+    lines = [x for _, _, t in docs for x in L.licence_lines(t)]
+    seen = Counter(w for x in lines for w in set(L.terms(x)))
+    vocabulary = {w for t in L.TEMPLATES.values() for w in L.terms(t)}
+    idf = lambda w: math.log((1 + len(lines)) / (1 + (seen[w] if w in vocabulary else 0))) + 1
+
+    def cosine(a, b):
+        x, y = ({w: n * idf(w) for w, n in L.terms(t).items()} for t in (a, b))
+        size = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        return sum(x[w] * y.get(w, 0) for w in x) / size if size else 0
+
+    def nearest(x):
+        return min(((-round(cosine(x, t), 12), n.split("#")[0]) for n, t in L.TEMPLATES.items()))
+
+    own, speaks = {}, {}
+    for d, p, t in docs:
+        tried = [y for x in L.licence_lines(t) for y in [x, *L._SENTENCE.split(x)]]
+        passages = L.paragraphs(t or "")
+        for i, x in enumerate(passages):
+            if L._CUE.search(x):
+                tried += [x, *(y for y in L._SENTENCE.split(x) if L._CUE.search(y))]
+                k = i + 1
+                while k < len(passages) and nearest(f"{x} {passages[k]}")[0] < nearest(x)[0]:
+                    x, k = f"{x} {passages[k]}", k + 1
+                tried.append(x)
+        s, n = min(map(nearest, tried), default=(0, ""))
+        own[d] = n if -s >= L.LEAST else None
+    out = scan(spark.createDataFrame(docs, "doc_id long, path string, text string")).collect()
+    assert {r.doc_id: r.own for r in out} == own and any(own.values())
+    files = {r.doc_id: r for r in L.own_licences(spark.createDataFrame(docs, "doc_id long, path string, text string")).collect()}
+    for d, p, _ in docs:
+        if files[d].licence_file:
+            name = p.rsplit("/", 1)[0]
+            speaks[name] = min(speaks.get(name, (0, "")), (-files[d].score, files[d].own)) if name in speaks else (-files[d].score, files[d].own)
+    for r in out:
+        want, at = r.own, r.path.rsplit("/", 1)[0]
+        while want is None and at is not None:
+            want, at = speaks.get(at, (0, None))[1], at.rsplit("/", 1)[0] if "/" in at else ("" if at else None)
+        assert r.licence == want
+
+
+def test_ties_go_to_the_least_name(spark):
+    rows = [(9, "d/COPYING", "Released under the MIT License."), (1, "d/LICENSE", "Licensed under the Apache License, Version 2.0."), (5, "d/x", "words"), (2, None, None), (3, "e/LICENSE", "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.")]
+    got = {r.doc_id: r.licence for r in scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {9: "MIT", 1: "Apache-2.0", 5: "Apache-2.0", 2: None, 3: "Apache-2.0"}

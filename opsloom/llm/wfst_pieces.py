@@ -40,8 +40,8 @@ SPACE = "▁"
 SCHEMA = "doc_id long, n_tokens long, n_bytes_fallback long, ids_sha256 string, round_trip boolean"
 #: Weight of a byte arc; above any piece's, so that bytes serve only what no piece has.
 BYTE_WEIGHT = 1e6
-#: Chunks remembered by a worker, and the longest that is.
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
+#: Chunks that a task remembers, twice (those met last and those before), the longest of them, and pairs of pieces.
+REMEMBERED, REMEMBERED_LENGTH, PAIRS = 75_000, 64, 200_000
 #: Characters of a chunk from which costs are kept in arrays; no sum of weights.
 LONG_CHUNK, INFINITE = 4096, float("inf")
 
@@ -119,6 +119,7 @@ class Transducer:
     by_chunks: bool
     pairs: dict[int, bool] = field(default_factory=dict)
     known: dict[str, bytes] = field(default_factory=dict)
+    before: dict[str, bytes] = field(default_factory=dict)
     surface: list[bytes] = field(default_factory=list)
     machine: ahocorasick.Automaton | None = None
 
@@ -131,7 +132,7 @@ class Transducer:
         name = a << 20 | b
         ok = self.pairs.get(name)
         if ok is None:
-            if len(self.pairs) > 4 * REMEMBERED:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             ok = self.pairs[name] = self._follows(a, b)
         return ok
@@ -206,16 +207,23 @@ class Transducer:
             pass
         out = []
         for chunk in chunks:
-            ids = known.get(chunk)
+            ids = self.known.get(chunk)
             if ids is None:
-                ids = array("I", self.path(chunk)).tobytes()
+                ids = self.before.get(chunk)
+                if ids is None:
+                    ids = array("I", self.path(chunk)).tobytes()
                 if len(chunk) < REMEMBERED_LENGTH:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    known[chunk] = ids
+                    if len(self.known) >= REMEMBERED:
+                        self.known, self.before = {}, self.known
+                    self.known[chunk] = ids
             out.append(ids)
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Drop what was remembered, so that an idle worker holds the model only."""
+        self.known, self.before = {}, {}
+        self.pairs.clear()
+
     def encode(self, text: str) -> array:
         out = array("I")
         if not (text := self.normal(text)):
@@ -373,6 +381,7 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, key: str = "do
             if with_output:
                 out["ids"], out["decoded"] = [list(i) for i in ids], [None if x is None else b for b, x in zip(back, frame["text"], strict=True)]
             yield out
+        t.forget()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInPandas(run, SCHEMA + ", ids array<bigint>, decoded string" * with_output)

@@ -66,8 +66,7 @@ def trimmed(c: Column) -> Column:
 def json_scalar(payload: Column, key: str) -> Column:
     """A scalar member of a variant as text; objects, arrays and null give null."""
     member = F.try_variant_get(payload, f"$.{key}", "variant")
-    kind = F.schema_of_variant(member)
-    return F.when(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"), F.try_variant_get(payload, f"$.{key}", "string"))
+    return F.when(~F.schema_of_variant(member).rlike("^(OBJECT|ARRAY)"), member.cast("string"))
 
 
 def iso_time(text: Column) -> Column:
@@ -83,13 +82,14 @@ def short_reason(text: Column) -> Column:
     return F.when(t == "", "unknown").when(F.length(t) > 120, cut).otherwise(t)
 
 
-def allowed(c: Column, values: tuple[str, ...], otherwise: str) -> Column:
-    t = F.lower(trimmed(c))
-    return F.when(t.isin(*values), t).otherwise(otherwise)
+#: Modes of a conversation.
+MODES = ("internal", "websearch", "deepthinking", "standard")
 
 
-MODES = ("internal", "websearch", "deepthinking", "custom")
-FLOWS = ("new_chat", "continued_chat")
+def mode_class(c: Column) -> Column:
+    """A known mode, blanks and case ignored, or unknown."""
+    t = F.lower(trimmed(c))
+    return F.when(t.isin(*MODES), t).otherwise("unknown")
 
 
 def local(ts: Column, tz: str) -> Column:
@@ -100,8 +100,8 @@ def local(ts: Column, tz: str) -> Column:
 def local_bucket(ts: Column, tz: str, minutes: int) -> Column:
     """Start of the local bucket, by wall clock, so that clock changes merge or skip hours as clocks do."""
     t = local(ts, tz)
-    floor = F.floor(F.minute(t) / minutes) * minutes if minutes < 60 else F.lit(0)
-    return (F.to_date(t).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour(t), floor.cast("int"), F.lit(0).cast("decimal(18,6)"))).cast("timestamp_ntz")
+    over = F.minute(t) % minutes if minutes < 60 else F.minute(t)
+    return (t - F.make_dt_interval(F.lit(0), F.lit(0), over, F.date_part(F.lit("SECONDS"), t).cast("decimal(18,6)"))).cast("timestamp_ntz")
 
 
 def rate(part: Column, whole: Column) -> Column:

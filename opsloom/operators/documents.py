@@ -107,13 +107,29 @@ def usage(src: Sources, w: Window, by_conversation: bool = False) -> DataFrame:
     return row.withColumns({"feedback_like_rate": S.rate(F.col("feedback_good_count"), F.col("feedback_total_count")), "feedback_source": F.lit("message_scan" if by_conversation else "collection_group")})
 
 
+#: The counters of a suggestion fact.
+FACT_COUNTS = {"impressions": "impressions", "clicks": "clicks", "adoptions": "adoptions", "editAfterAccepts": "edit_after_accepts", "dismisses": "dismisses"}
+
+
+def suggestion_facts(src: Sources, conv: DataFrame) -> DataFrame:
+    """Facts of those conversations (user_id, conv_id, their summary): of the runtime summary if it is a filled object,
+    else of the runtime document. Members of the array that are no objects are skipped, counts below zero are zero."""
+    summary = F.try_parse_json("querySuggestRuntimeSummary")
+    filled = F.coalesce(F.schema_of_variant(summary).rlike("^OBJECT<.+>"), F.lit(False))
+    rows = conv.join(src.runtime, CONV, "left").select(*CONV, F.when(filled, F.col("querySuggestRuntimeSummary")).otherwise(F.col("payload")).alias("payload"))
+    rows = rows.select(*CONV, F.explode(F.from_json("payload", "suggestionFacts array<variant>")["suggestionFacts"]).alias("fact"))
+    rows = rows.where(F.schema_of_variant("fact").startswith("OBJECT"))
+    count = lambda n: F.greatest(F.coalesce(F.try_variant_get("fact", f"$.{n}", "bigint"), F.lit(0)), F.lit(0))
+    return rows.select(*CONV, F.try_variant_get("fact", "$.lastEventAt", "string").alias("lastEventAt"), *[count(n).alias(a) for n, a in FACT_COUNTS.items()])
+
+
 def suggestion_funnel(src: Sources, w: Window) -> DataFrame:
     """Sums and rates of suggestion facts of visible conversations; a fact without a time counts in every window."""
-    conv = _visible(src, _users(src)).select("conv_id")
+    conv = _visible(src, _users(src))
+    summary = F.col("querySuggestRuntimeSummary") if "querySuggestRuntimeSummary" in conv.columns else F.lit(None).cast("string")
     at = S.iso_time(F.col("lastEventAt"))
-    names = {"impressions": "impressions", "clicks": "clicks", "adoptions": "adoptions", "editAfterAccepts": "edit_after_accepts", "dismisses": "dismisses"}
-    facts = src.facts.where(_within(at, w) | at.isNull()).groupBy("conv_id").agg(*[F.sum(F.greatest(F.coalesce(n, F.lit(0)), F.lit(0))).alias(a) for n, a in names.items()])
-    sums = facts.join(conv, "conv_id", "left_semi").agg(*_total(*names.values()))
+    facts = suggestion_facts(src, conv.select(*CONV, summary.alias("querySuggestRuntimeSummary")))
+    sums = facts.where(_within(at, w) | at.isNull()).agg(*_total(*FACT_COUNTS.values()))
     rates = {"click_rate": ("clicks", "impressions"), "adoption_rate": ("adoptions", "clicks"), "edit_after_accept_rate": ("edit_after_accepts", "adoptions")}
     return sums.withColumns({k: S.rate(F.col(a), F.col(b)) for k, (a, b) in rates.items()}).crossJoin(conv.agg(F.count("*").alias("documents_scanned")))
 
@@ -279,9 +295,10 @@ def dashboard_users(src: Sources, w: Window) -> DataFrame:
     """Active users in order of rank; all users if none is active. Who has no requests keeps null request counts."""
     rows = _merged(src, w)
     active = (F.col("message_count") > 0) | (F.col("conversation_count") > 0) | (F.coalesce("total_request_count", F.lit(0)) > 0) | (F.coalesce("core_request_count", F.lit(0)) > 0)
-    rows = rows.withColumn("_active", active)
-    any_active = rows.agg(F.coalesce(F.max("_active"), F.lit(False)).alias("_any"))
-    return rows.crossJoin(F.broadcast(any_active)).where("_active or not _any").drop("_active", "_any").orderBy(*_ranked())
+    # somebody is active exactly if a visible conversation has a message in the window, or the log a request
+    spoken = _visible(src, _users(src)).select(*CONV).join(_window_messages(src, w).select(*CONV), CONV, "left_semi").select(F.lit(1).alias("one"))
+    anyone = spoken.limit(1).unionByName(logs.user_requests(src, w).select(F.lit(1).alias("one")).limit(1)).agg((F.count("*") > 0).alias("_any"))
+    return rows.crossJoin(F.broadcast(anyone)).where(active | ~F.col("_any")).drop("_any").orderBy(*_ranked())
 
 
 def selected_user(src: Sources, w: Window, lookup: str) -> DataFrame:

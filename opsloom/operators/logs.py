@@ -69,6 +69,11 @@ def labels(w: Window) -> list[F.Column]:
     return [F.date_format(b, "yyyy-MM-dd HH:mm").alias("bucket_key"), F.date_format(b, "HH:mm" if w.seconds <= 86400 else "MM-dd HH:mm").alias("bucket_label")]
 
 
+def in_order(df: DataFrame, *names: str) -> DataFrame:
+    """A series in order; it is no longer than its window's grid, so it lies in one partition."""
+    return df.repartition(1).sortWithinPartitions(*names)
+
+
 def by_device(src: Sources, w: Window) -> DataFrame:
     devices = src.requests.sparkSession.createDataFrame([(d,) for d in DEVICES], "device_class string")
     return grid(src, w).crossJoin(F.broadcast(devices))
@@ -98,12 +103,13 @@ def usage(src: Sources, w: Window) -> DataFrame:
     got = requests(src, w).groupBy(bucket(w).alias("bucket"), "device_class").agg(*counters(), p95("latency_ms").alias("p95_latency_ms"))
     got = got.withColumn("error_5xx_rate", S.rate(F.col("error_5xx_count"), F.col("request_count")))
     rows = by_device(src, w).join(got, ["bucket", "device_class"], "left")
-    return rows.select(*labels(w), "device_class", *zero("request_count", "core_request_count", "system_request_count", "error_5xx_count"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("error_5xx_rate", "p95_latency_ms")])
+    rows = rows.select(*labels(w), "device_class", *zero("request_count", "core_request_count", "system_request_count", "error_5xx_count"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("error_5xx_rate", "p95_latency_ms")])
+    return in_order(rows, "bucket_key", "device_class")
 
 
 def error_trend(src: Sources, w: Window) -> DataFrame:
     got = requests(src, w).where("is_5xx").groupBy(bucket(w).alias("bucket")).agg(F.count("*").alias("error_5xx_count"))
-    return grid(src, w).join(got, "bucket", "left").select(*labels(w), *zero("error_5xx_count"))
+    return in_order(grid(src, w).join(got, "bucket", "left").select(*labels(w), *zero("error_5xx_count")), "bucket_key")
 
 
 def top_endpoints(src: Sources, w: Window, n: int = TOP) -> DataFrame:
@@ -170,7 +176,8 @@ def user_series(src: Sources, w: Window, user_key: str) -> DataFrame:
     got = user_requests(src, w).where((F.lower("user_id") == key) | (F.col("user_email") == key)) if key else user_requests(src, w).where("false")
     got = got.groupBy(bucket(w).alias("bucket"), "device_class").agg(F.count("*").alias("request_count"), F.count_if("is_core").alias("core_request_count"))
     got = got.withColumn("system_request_count", F.greatest(F.col("request_count") - F.col("core_request_count"), F.lit(0)))
-    return by_device(src, w).join(got, ["bucket", "device_class"], "left").select(*labels(w), "device_class", *zero("request_count", "core_request_count", "system_request_count"))
+    rows = by_device(src, w).join(got, ["bucket", "device_class"], "left").select(*labels(w), "device_class", *zero("request_count", "core_request_count", "system_request_count"))
+    return in_order(rows, "bucket_key", "device_class")
 
 
 def counter_rows(src: Sources) -> DataFrame:

@@ -53,7 +53,7 @@ def suggestion_funnel(w: Window) -> str:
     sums = ", ".join(f"cast(coalesce(sum(greatest(coalesce({n}, 0), 0)), 0) as bigint) as {a}" for n, a in names.items())
     at = _at("lastEventAt")
     return _BASE + _USERS + _SEEN + f"""select *, round(clicks / nullif(impressions, 0), 6) as click_rate, round(adoptions / nullif(clicks, 0), 6) as adoption_rate, round(edit_after_accepts / nullif(adoptions, 0), 6) as edit_after_accept_rate
- from (select {sums} from a_facts where conv_id in (select conv_id from c) and ({at} is null or {_within(at, w)})), (select count(*) as documents_scanned from c)"""
+ from (select {sums} from a_facts where (user_id, conv_id) in (select (user_id, conv_id) from c) and ({at} is null or {_within(at, w)})), (select count(*) as documents_scanned from c)"""
 
 
 def _header(prefix: str = "", lower: bool = True, full: bool = False) -> str:

@@ -58,6 +58,7 @@ def _parsed(text: str, zone: ZoneInfo) -> datetime:
 def resolve(now: datetime, *, days: int | None = None, preset: str | None = None, start: str | None = None, end: str | None = None, tz: str = DEFAULT_TZ, default_days: int = DEFAULT_DAYS, retention_days: int = RETENTION_DAYS) -> Window:
     """Custom bounds win over a preset, a preset over days. ``now`` is injected; naive bounds are local time."""
     zone = ZoneInfo(tz)
+    preset, start, end = (preset or "").strip().lower() or None, (start or "").strip() or None, (end or "").strip() or None
     if preset and preset not in PRESETS:
         raise WindowValidationError(f"unknown preset: {preset}")
     span = timedelta(days=max(1, min(int(days or default_days), retention_days)))

@@ -57,7 +57,7 @@ select concat('u', cast(c_custkey as string)) as user_id,
 from customer
 """,
     "a_conversations": """
-select distinct concat('u', cast(conv_id % 40 as string)) as user_id, concat('c', cast(conv_id as string)) as conv_id,
+select distinct concat('u', cast(conv_id % 40 + 40 * cast(floor(conv_id / 400) as bigint) as string)) as user_id, concat('c', cast(conv_id as string)) as conv_id,
   concat('Title ', cast(conv_id as string)) as title,
   case conv_id % 5 when 0 then 'internal' when 1 then ' WebSearch ' when 2 then 'deepthinking' when 3 then 'custom' else '' end as mode,
   case when conv_id % 7 = 0 then 'Hidden' when conv_id % 7 = 1 then '' else 'active' end as visibility,
@@ -69,7 +69,7 @@ select distinct concat('u', cast(conv_id % 40 as string)) as user_id, concat('c'
 from conversations
 """,
     "a_messages": """
-select concat('u', cast(conv_id % 40 as string)) as user_id, concat('c', cast(conv_id as string)) as conv_id,
+select concat('u', cast(conv_id % 40 + 40 * cast(floor(conv_id / 400) as bigint) as string)) as user_id, concat('c', cast(conv_id as string)) as conv_id,
   concat('m', cast(conv_id as string), '-', lpad(cast(turn as string), 3, '0')) as msg_id, role, text as content,
   concat('2024-01-', lpad(cast(1 + conv_id % 30 as string), 2, '0'), 'T', lpad(cast(turn % 24 as string), 2, '0'), ':15:00Z') as timestamp,
   case when (conv_id + turn) % 11 = 0 then 'error' else 'done' end as status,
@@ -82,7 +82,7 @@ select concat('u', cast(conv_id % 40 as string)) as user_id, concat('c', cast(co
 from conversations
 """,
     "a_facts": """
-select concat('c', cast(user_id as string)) as conv_id, case when event_id % 15 = 0 then '' else concat(cast(cast(ts as date) as string), 'T12:00:00Z') end as lastEventAt,
+select concat('u', cast(user_id % 40 + 40 * cast(floor(user_id / 400) as bigint) as string)) as user_id, concat('c', cast(user_id as string)) as conv_id, case when event_id % 15 = 0 then '' else concat(cast(cast(ts as date) as string), 'T12:00:00Z') end as lastEventAt,
   event_id % 12 - 1 as impressions, event_id % 4 as clicks, event_id % 2 as adoptions, case when event_id % 10 = 0 then 1 else 0 end as editAfterAccepts, event_id % 3 as dismisses
 from events where event_type = 'view'
 """,

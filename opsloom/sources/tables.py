@@ -1,14 +1,16 @@
 """The engine's sources as DataFrames.
 
-A deployment registers its own tables (``Sources(requests=..., stdout=..., ...)``); a missing one is an empty
-DataFrame of the right schema. ``from_dir`` derives all of them from the star-schema test tables.
+A deployment registers its own tables (``registered(spark, requests=..., stdout=..., ...)``); a missing one is an empty
+DataFrame of the right schema. ``from_dir`` derives all of them from the star-schema test tables. A source is only read
+once a query asks for it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import adapters
 
@@ -18,31 +20,38 @@ SCHEMAS = {
     "stdout": f"timestamp timestamp, {RESOURCE}, textPayload string",
     "stderr": f"timestamp timestamp, {RESOURCE}, textPayload string",
     "users": "user_id string, userEmail string, subject string, updatedAt string, lastSeenAt string, identitySource string, identityVerified boolean",
-    "conversations": "user_id string, conv_id string, title string, mode string, visibility string, isFavorite boolean, integrityState string, messageCount bigint, createdAt string, updatedAt string",
+    "conversations": "user_id string, conv_id string, title string, mode string, visibility string, isFavorite boolean, integrityState string, messageCount bigint, createdAt string, updatedAt string, querySuggestRuntimeSummary string",
     "messages": "user_id string, conv_id string, msg_id string, role string, content string, timestamp string, status string, errorMessage string, feedback string, grounded struct<citations:array<string>>, modeAtSend string, chatFlowType string, parentTurnId string",
-    "facts": "conv_id string, lastEventAt string, impressions bigint, clicks bigint, adoptions bigint, editAfterAccepts bigint, dismisses bigint",
+    "runtime": "user_id string, conv_id string, payload string",
 }
 
 
-@dataclass(frozen=True)
 class Sources:
-    requests: DataFrame
-    stdout: DataFrame
-    stderr: DataFrame
-    users: DataFrame
-    conversations: DataFrame
-    messages: DataFrame
-    facts: DataFrame
+    """The tables of ``SCHEMAS`` as attributes; runtime summaries and documents are JSON text."""
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        self._tables = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        tables = self.__dict__.get("_tables", {})
+        if name not in tables:
+            raise AttributeError(name)
+        if not isinstance(tables[name], DataFrame):
+            tables[name] = tables[name]()
+        return tables[name]
 
 
 def registered(spark: SparkSession, **tables: DataFrame | str) -> Sources:
-    """Sources from DataFrames or table names; names that do not exist and sources not named are empty."""
+    """Sources from DataFrames or table names; names that do not exist and sources not named are empty. Local time
+    counts from UTC, so the session has to run in it."""
+    if (zone := spark.conf.get("spark.sql.session.timeZone")) not in ("UTC", "Etc/UTC"):
+        raise ValueError(f"spark.sql.session.timeZone is {zone}; set it to UTC")
     found = {}
-    for f in fields(Sources):
-        t = tables.get(f.name)
+    for name, schema in SCHEMAS.items():
+        t = tables.get(name)
         if isinstance(t, str):
             t = spark.table(t) if spark.catalog.tableExists(t) else None
-        found[f.name] = spark.createDataFrame([], SCHEMAS[f.name]) if t is None else t
+        found[name] = (lambda schema=schema: spark.createDataFrame([], schema)) if t is None else t
     return Sources(**found)
 
 
@@ -51,12 +60,23 @@ def from_dir(spark: SparkSession, sf_dir: str) -> Sources:
     resource = "struct(resource_type as type, struct(service_name) as labels) as resource"
     view = lambda name: adapters.spark_view(spark, sf_dir, name)
     text = ["cast(timestamp as timestamp) as timestamp", resource, "textPayload"]
+    # facts of even-numbered conversations are in their summary, of odd ones in a document of their own
+    odd = "cast(substr(conv_id, 2) as bigint) % 2 = 1"
+
+    def payloads() -> DataFrame:
+        fact = F.to_json(F.struct("lastEventAt", "impressions", "clicks", "adoptions", "editAfterAccepts", "dismisses"))
+        return view("a_facts").groupBy("user_id", "conv_id").agg(F.concat(F.lit('{"suggestionFacts": ["no fact", 7, null, '), F.array_join(F.collect_list(fact), ", "), F.lit("]}")).alias("payload"))
+
+    def conversations() -> DataFrame:
+        own = payloads().where(f"not ({odd})").withColumnRenamed("payload", "querySuggestRuntimeSummary")
+        return view("a_conversations").join(own, ["user_id", "conv_id"], "left")
+
     return Sources(
-        requests=view("a_requests").selectExpr("cast(timestamp as timestamp) as timestamp", resource, "struct('GET' as requestMethod, requestUrl, status, latency, userAgent) as httpRequest"),
-        stdout=view("a_stdout").selectExpr(*text),
-        stderr=view("a_stderr").selectExpr(*text),
-        users=view("a_users"),
-        conversations=view("a_conversations"),
-        messages=view("a_messages").selectExpr("* except (has_citation)", "struct(if(has_citation, array('x'), array()) as citations) as grounded"),
-        facts=view("a_facts"),
+        requests=lambda: view("a_requests").selectExpr("cast(timestamp as timestamp) as timestamp", resource, "struct('GET' as requestMethod, requestUrl, status, latency, userAgent) as httpRequest"),
+        stdout=lambda: view("a_stdout").selectExpr(*text),
+        stderr=lambda: view("a_stderr").selectExpr(*text),
+        users=lambda: view("a_users"),
+        conversations=conversations,
+        messages=lambda: view("a_messages").selectExpr("* except (has_citation)", "struct(if(has_citation, array('x'), array()) as citations) as grounded"),
+        runtime=lambda: payloads().where(odd),
     )

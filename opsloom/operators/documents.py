@@ -112,11 +112,11 @@ FACT_COUNTS = {"impressions": "impressions", "clicks": "clicks", "adoptions": "a
 
 
 def suggestion_facts(src: Sources, conv: DataFrame) -> DataFrame:
-    """Facts of those conversations (user_id, conv_id, their summary): of the runtime summary if it is a filled object,
+    """Facts of those conversations (user_id, conv_id): of the runtime summary if it is a filled object,
     else of the runtime document. Members of the array that are no objects are skipped, counts below zero are zero."""
     summary = F.try_parse_json("querySuggestRuntimeSummary")
     filled = F.coalesce(F.schema_of_variant(summary).rlike("^OBJECT<.+>"), F.lit(False))
-    rows = conv.join(src.runtime, CONV, "left").select(*CONV, F.when(filled, F.col("querySuggestRuntimeSummary")).otherwise(F.col("payload")).alias("payload"))
+    rows = conv.select(*CONV).join(src.summaries, CONV, "left").join(src.runtime, CONV, "left").select(*CONV, F.when(filled, F.col("querySuggestRuntimeSummary")).otherwise(F.col("payload")).alias("payload"))
     rows = rows.select(*CONV, F.explode(F.from_json("payload", "suggestionFacts array<variant>")["suggestionFacts"]).alias("fact"))
     rows = rows.where(F.schema_of_variant("fact").startswith("OBJECT"))
     count = lambda n: F.greatest(F.coalesce(F.try_variant_get("fact", f"$.{n}", "bigint"), F.lit(0)), F.lit(0))
@@ -126,9 +126,8 @@ def suggestion_facts(src: Sources, conv: DataFrame) -> DataFrame:
 def suggestion_funnel(src: Sources, w: Window) -> DataFrame:
     """Sums and rates of suggestion facts of visible conversations; a fact without a time counts in every window."""
     conv = _visible(src, _users(src))
-    summary = F.col("querySuggestRuntimeSummary") if "querySuggestRuntimeSummary" in conv.columns else F.lit(None).cast("string")
     at = S.iso_time(F.col("lastEventAt"))
-    facts = suggestion_facts(src, conv.select(*CONV, summary.alias("querySuggestRuntimeSummary")))
+    facts = suggestion_facts(src, conv)
     sums = facts.where(_within(at, w) | at.isNull()).agg(*_total(*FACT_COUNTS.values()))
     rates = {"click_rate": ("clicks", "impressions"), "adoption_rate": ("adoptions", "clicks"), "edit_after_accept_rate": ("edit_after_accepts", "adoptions")}
     return sums.withColumns({k: S.rate(F.col(a), F.col(b)) for k, (a, b) in rates.items()}).crossJoin(conv.agg(F.count("*").alias("documents_scanned")))

@@ -143,7 +143,8 @@ def suggest_fallbacks(src: Sources, w: Window) -> DataFrame:
 def _json(src: Sources, w: Window, name: str) -> DataFrame:
     prefix = f"{name}_json="
     p = F.try_parse_json(S.extract(F.col("line"), prefix + r"(.*)\z"))
-    return text_lines(src, w, prefix).select("timestamp", p.alias("p")).where("p is not null")
+    # as a generated column, since filters on members would else be pushed below with a copy of the parsing each
+    return text_lines(src, w, prefix).select("timestamp", F.explode(F.array(p)).alias("p")).where("p is not null")
 
 
 def followups(src: Sources, w: Window) -> DataFrame:

@@ -20,14 +20,16 @@ SCHEMAS = {
     "stdout": f"timestamp timestamp, {RESOURCE}, textPayload string",
     "stderr": f"timestamp timestamp, {RESOURCE}, textPayload string",
     "users": "user_id string, userEmail string, subject string, updatedAt string, lastSeenAt string, identitySource string, identityVerified boolean",
-    "conversations": "user_id string, conv_id string, title string, mode string, visibility string, isFavorite boolean, integrityState string, messageCount bigint, createdAt string, updatedAt string, querySuggestRuntimeSummary string",
+    "conversations": "user_id string, conv_id string, title string, mode string, visibility string, isFavorite boolean, integrityState string, messageCount bigint, createdAt string, updatedAt string",
+    "summaries": "user_id string, conv_id string, querySuggestRuntimeSummary string",
     "messages": "user_id string, conv_id string, msg_id string, role string, content string, timestamp string, status string, errorMessage string, feedback string, grounded struct<citations:array<string>>, modeAtSend string, chatFlowType string, parentTurnId string",
     "runtime": "user_id string, conv_id string, payload string",
 }
 
 
 class Sources:
-    """The tables of ``SCHEMAS`` as attributes; runtime summaries and documents are JSON text."""
+    """The tables of ``SCHEMAS`` as attributes. Runtime summaries, kept apart from the conversations that hold them, and
+    runtime documents are JSON text."""
 
     def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
         self._tables = tables
@@ -67,16 +69,13 @@ def from_dir(spark: SparkSession, sf_dir: str) -> Sources:
         fact = F.to_json(F.struct("lastEventAt", "impressions", "clicks", "adoptions", "editAfterAccepts", "dismisses"))
         return view("a_facts").groupBy("user_id", "conv_id").agg(F.concat(F.lit('{"suggestionFacts": ["no fact", 7, null, '), F.array_join(F.collect_list(fact), ", "), F.lit("]}")).alias("payload"))
 
-    def conversations() -> DataFrame:
-        own = payloads().where(f"not ({odd})").withColumnRenamed("payload", "querySuggestRuntimeSummary")
-        return view("a_conversations").join(own, ["user_id", "conv_id"], "left")
-
     return Sources(
         requests=lambda: view("a_requests").selectExpr("cast(timestamp as timestamp) as timestamp", resource, "struct('GET' as requestMethod, requestUrl, status, latency, userAgent) as httpRequest"),
         stdout=lambda: view("a_stdout").selectExpr(*text),
         stderr=lambda: view("a_stderr").selectExpr(*text),
         users=lambda: view("a_users"),
-        conversations=conversations,
+        conversations=lambda: view("a_conversations"),
+        summaries=lambda: payloads().where(f"not ({odd})").withColumnRenamed("payload", "querySuggestRuntimeSummary"),
         messages=lambda: view("a_messages").selectExpr("* except (has_citation)", "struct(if(has_citation, array('x'), array()) as citations) as grounded"),
         runtime=lambda: payloads().where(odd),
     )

@@ -91,7 +91,7 @@ def test_everything_missing(spark):
 def test_facts_of_summary_or_document(spark):
     conv = [dict(user_id="a", conv_id=c, querySuggestRuntimeSummary=x) for c, x in (("1", '{"suggestionFacts": [{"impressions": 5, "clicks": -2, "lastEventAt": "2024-01-03T00:00:00Z"}, "x", 3, null, [1], {"impressions": "2"}]}'), ("2", "{}"), ("3", "[1]"), ("4", None), ("5", "garbage"), ("6", '{"other": 1}'))]
     runtime = [dict(user_id="a", conv_id=c, payload='{"suggestionFacts": [{"impressions": %d}]}' % (10 ** int(c))) for c in "123456"] + [dict(user_id="b", conv_id="4", payload='{"suggestionFacts": [{"impressions": 7}]}')]
-    src = registered(spark, users=_rows(spark, "users", [dict(user_id="a", updatedAt="x"), dict(user_id="b", updatedAt="x")]), conversations=_rows(spark, "conversations", conv), runtime=_rows(spark, "runtime", runtime))
+    src = registered(spark, users=_rows(spark, "users", [dict(user_id="a", updatedAt="x"), dict(user_id="b", updatedAt="x")]), conversations=_rows(spark, "conversations", conv), summaries=_rows(spark, "summaries", conv), runtime=_rows(spark, "runtime", runtime))
     f = D.suggestion_funnel(src, W).first()
     # the summary of 1 and 6 counts (6 has no facts); of the others the document; the document of b has no conversation
     assert (f.impressions, f.clicks, f.documents_scanned) == (7 + 100 + 1000 + 10_000 + 100_000, 0, 6)

@@ -112,3 +112,29 @@ def test_sinks(spark, tmp_path):
     assert list(csv.reader(text[1:].splitlines(keepends=True))) == [["n", "t", "u", "b"], ["1", 'say "hi",\nthere', "", "True"], ["2", "", "é ", "False"]]
     write_json(df, f"{tmp_path}/j")
     assert json.loads(open(glob.glob(f"{tmp_path}/j/part-*")[0]).readline()) == {"n": 1, "t": 'say "hi",\nthere', "u": None, "b": True}
+
+
+def test_reports_and_exports(spark, tmp_path):
+    from opsloom.catalogue import WEEK, queries
+    from opsloom.operators import reports
+    from opsloom.sources.tables import from_dir
+
+    sf = "/root/testdata/sf0.001"
+    src = from_dir(spark, sf)
+    with reports.shared(src, WEEK) as once:
+        parts = {k: sorted(map(str, df.collect())) for k, df in reports.report(once, WEEK, "dashboard").items()}
+    for part, name in (("overview", "q01_overview"), ("series", "q02_usage_day"), ("errors", "q07_top_errors"), ("users", "q24_dashboard_users"), ("summary", "q26_dashboard_summary")):
+        assert parts[part] == sorted(map(str, queries()[name](spark, sf).collect())), part
+    keys = [r.bucket_key for r in reports.report(src, WEEK, "errors")["trend"].collect()]
+    assert keys == sorted(keys) and len(keys) > 5
+    assert set(reports.report(src, WEEK, "query_suggest")) == {"stages", "fallbacks", "facts"}
+    head, said = reports.drill_down(src, "u7", "c7")
+    assert head.count() == 1 and said.count() > 0
+    with pytest.raises(reports.NotFound):
+        reports.drill_down(src, "u7", "nowhere")
+    reports.export(src, "errors/trend", str(tmp_path / "e"), WEEK)
+    reports.export(src, "conversations", str(tmp_path / "c"), user="u7", conv="c7")
+    lines = sum(len(open(f, encoding="utf-8-sig").read().splitlines()) - 1 for f in glob.glob(f"{tmp_path}/e/part-*"))
+    assert lines == len(keys) and glob.glob(f"{tmp_path}/c/part-*")
+    with pytest.raises(reports.Gone):
+        reports.export(src, "messages", str(tmp_path / "m"))

@@ -15,6 +15,12 @@ only pairs still across components are probed one by one (round 3); what a set r
 set is never computed again. Round 3 covers every pair that shares a list and is not yet joined, so no link is lost.
 Verification intersects the whole sets of shingles.
 
+Hot lists: a list of more sets than one task should hold (by the sketched counts, which every block has before it
+lists anything) is dealt into chunks by a hash of set and shingle, so each shingle cuts its sets differently. Round 1
+answers each chunk by its own leaders; near copies share many shingles, whose different cuts tie the chunks'
+components together. In rounds 2 and 3 the sets outside the list's largest component visit every chunk, in groups of
+a chunk's size, which meets every pair of the list that is still apart.
+
 Defined results: null texts and texts without words have no shingles, link with nothing and are their own
 component; identical sets link; a null id takes its component's least non-null id; repeated rows are separate
 documents; an empty table gives an empty result; other columns are not read.
@@ -36,8 +42,12 @@ from .graph import components
 
 U = np.uint64
 LISTED = "kind int, shard int, block long, sid binary, size long, data binary"
-#: Kinds of rows of LISTED: a block's documents, a set's shingles, a block's part of a shard's lists.
-DOCUMENTS, SETS, LISTS = 0, 1, 2
+#: Kinds of rows of LISTED: a block's documents, a set's shingles, a block's part of a shard's lists, of hot lists.
+DOCUMENTS, SETS, LISTS, HOT = 0, 1, 2, 3
+#: A set's place in a chunk of a hot list.
+PLACES = "token long, chunk int, chunks int, sid binary, size long, pos long, map binary"
+#: Sets of a list, a power of two, from twice of which on it is dealt into chunks of about so many.
+LIST_SETS = 8192
 PAIRS = "kind int, shard int, a binary, b binary"
 
 
@@ -109,7 +119,24 @@ def _bitmap(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 class Lists:
-    """The inverted lists of one shard."""
+    """The inverted lists of one shard, or a chunk of a hot one with its visitors."""
+
+    home = guest = None
+
+    @classmethod
+    def of_chunk(cls, rows: pd.DataFrame, percent: int, guests: pd.DataFrame | None = None) -> tuple[Lists, np.ndarray | None]:
+        """A chunk's rows (PLACES) as one list, and its sets' labels if it has visitors: these meet the chunk's own
+        sets, and nobody else meets."""
+        x = cls.__new__(cls)
+        both = rows if guests is None else pd.concat([rows, guests])
+        both = both.drop_duplicates("sid").sort_values(["size", "sid"])
+        x.percent, x.sids, x.size = percent, list(both["sid"]), both["size"].to_numpy(np.int64)
+        x.maps = [np.frombuffer(m, U) for m in both["map"]]
+        x.lists = [(np.arange(len(both)), both["pos"].to_numpy(np.int64))]
+        if guests is None:
+            return x, None
+        x.home, x.guest = both["sid"].isin(rows["sid"]).to_numpy(), both["sid"].isin(guests["sid"]).to_numpy()
+        return x, pd.factorize(both["label"])[0]
 
     def __init__(self, parts: list[bytes], percent: int):
         self.percent = percent
@@ -187,9 +214,10 @@ class Lists:
         for owner, pos in self.lists:
             labels, size = label[owner], self.size[owner]
             kinds, count = np.unique(labels, return_counts=True)
-            for i in np.flatnonzero(labels != kinds[np.argmax(count)]).tolist():
+            meets = labels != kinds[np.argmax(count)] if self.guest is None else self.guest
+            for i in np.flatnonzero(meets).tolist():
                 near = slice(int(np.searchsorted(size, -(-size[i] * self.percent // 100))), int(np.searchsorted(size, size[i] * 100 // self.percent, "right")))
-                other = np.flatnonzero(labels[near] != labels[i]) + near.start
+                other = np.flatnonzero((labels[near] != labels[i]) & (self.home is None or self.home[near])) + near.start
                 if len(other):
                     ok, gap = self.may_link(int(owner[i]), int(pos[i]), owner[other], pos[other])
                     yield int(owner[i]), owner[other[ok]], gap[ok]
@@ -212,13 +240,15 @@ def _frame(kind, shard, pairs) -> pd.DataFrame:
     return pd.DataFrame({"kind": kind, "shard": shard, "a": [a for a, _ in pairs], "b": [b for _, b in pairs]}).astype({"a": object, "b": object})
 
 
-def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", scratch: B.Scratch | None = None) -> DataFrame:
+def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", scratch: B.Scratch | None = None, list_sets: int = LIST_SETS) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the least doc_id that links reach). Two documents
-    link when 100 * intersection >= percent * union of their distinct ``n``-word shingles."""
+    link when 100 * intersection >= percent * union of their distinct ``n``-word shingles. ``list_sets`` changes how
+    the work is dealt, not what is found."""
     blocks = B.to_blocks(docs, key, text, scratch=scratch)
     scratch, spark = blocks.scratch, docs.sparkSession
     shards = blocks.shards()
     tasks = B.tasks_for(spark, shards)
+    fits = int(np.log2(list_sets))
     bits = max(8, min(30, int(np.ceil(np.log2(max(1, blocks.n_bytes / shards / 6 * 4))))))
 
     def count(_, b, __):
@@ -247,14 +277,23 @@ def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str
             if alone >= prefix:
                 continue
             order = np.argsort(p, kind="stable")[alone:prefix]  # hashes ascend already
-            out.append((np.full(len(order), i), h[order], np.arange(alone, prefix)))
+            out.append((np.full(len(order), i), h[order], np.arange(alone, prefix), p[order]))
             rows.append((SETS, 0, block, s.sid[i], size, h[p > 0].tobytes()))
         if out:
-            owner, token, pos = (np.concatenate(x) for x in zip(*out, strict=True))
+            owner, token, pos, power = (np.concatenate(x) for x in zip(*out, strict=True))
+            maps = {i: _bitmap(s.hashes[s.at[i] : s.at[i + 1]], int(s.size[i])) for i in np.unique(owner).tolist()}
+            chunks = np.left_shift(1, np.maximum(0, power.astype(np.int64) - fits))
+            hot = chunks > 1
+            if hot.any():
+                own, local = np.unique(owner[hot], return_inverse=True)
+                sids = [s.sid[i] for i in own.tolist()]
+                head = np.array([int.from_bytes(x[:8], "little") for x in sids], U)[local]
+                chunk = (B.mix(token[hot] ^ head) & (chunks[hot] - 1).astype(U)).astype(np.int64)
+                rows.append((HOT, 0, block, b"", 0, pickle.dumps((token[hot].view(np.int64), chunk, chunks[hot], local, pos[hot], sids, s.size[own], [maps[i].tobytes() for i in own.tolist()]))))
+            owner, token, pos = owner[~hot], token[~hot], pos[~hot]
             shard = B.spread(B.mix(token), shards)
             order = np.argsort(shard, kind="stable")
             owner, token, pos, shard = owner[order], token[order], pos[order], shard[order]
-            maps = {i: _bitmap(s.hashes[s.at[i] : s.at[i + 1]], int(s.size[i])) for i in np.unique(owner).tolist()}
             for sh, x in B.by_shard(shard):
                 own, local = np.unique(owner[x], return_inverse=True)
                 rows.append((LISTS, sh, block, b"", 0, pickle.dumps(([s.sid[i] for i in own.tolist()], s.size[own].astype(np.uint32), [maps[i] for i in own.tolist()], local.astype(np.uint32), token[x], pos[x].astype(np.uint32)))))
@@ -267,6 +306,16 @@ def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str
     whole = listed_rows.where(F.col("kind") == SETS).groupBy("sid").agg(F.first("size").alias("size"), F.first("data").alias("data"))
     whole = scratch.write(whole, "sets", "none", (int(spark.conf.get("spark.sql.shuffle.partitions")), "sid"))
 
+    def places(frames):
+        for frame in frames:
+            for data in frame["data"]:
+                token, chunk, chunks, local, pos, sids, sizes, maps = pickle.loads(data)
+                local = local.tolist()
+                yield pd.DataFrame({"token": token, "chunk": chunk, "chunks": chunks, "sid": [sids[i] for i in local], "size": sizes[local], "pos": pos, "map": [maps[i] for i in local]})
+
+    packed = listed_rows.where(F.col("kind") == HOT).select("data")
+    hot = None if packed.isEmpty() else packed.mapInPandas(places, PLACES)
+
     def first_round(frame):
         shard = int(frame["shard"].iloc[0])
         x = Lists(list(frame.sort_values("block")["data"]), percent)
@@ -274,11 +323,38 @@ def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str
         pairs = [tuple(sorted((x.sids[a], x.sids[b]))) for a, b in sorted(x.leaders())]
         return pd.concat([_frame(1, shard, pairs), _frame(0, shard, [(x.sids[i], None) for i in here])])
 
-    one = scratch.write(lists.groupBy("shard").applyInPandas(first_round, PAIRS), "round1")
+    def first_of_chunk(frame):
+        x, _ = Lists.of_chunk(frame, percent)
+        return _frame(1, 0, [tuple(sorted((x.sids[a], x.sids[b]))) for a, b in sorted(x.leaders())])
+
+    one = lists.groupBy("shard").applyInPandas(first_round, PAIRS)
+    if hot is not None:
+        one = one.unionByName(hot.groupBy("token", "chunk").applyInPandas(first_of_chunk, PAIRS))
+    one = scratch.write(one, "round1")
     links = scratch.write(_verified(one.where("kind = 1").select("a", "b").distinct(), whole, percent), "links1")
     labels = components(links, scratch)
     here = one.where("kind = 0").select("shard", F.col("a").alias("node"))
 
+    def visited(probe, labels):
+        """Pairs that ``probe`` finds in the hot lists, given the components so far."""
+        named = hot.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        counts = named.groupBy("token", "chunks", "label").agg(F.count("*").alias("n"))
+        tops = counts.groupBy("token", "chunks").agg(F.max_by("label", F.struct("n", "label")).alias("top"), (F.sum("n") - F.max("n")).alias("apart"))
+        tops = scratch.write(tops.where("apart > 0").withColumn("groups", F.ceil(F.col("apart") / list_sets).cast("int")), "tops")
+        members = named.join(tops.withColumn("chunk", F.expr("explode(sequence(0, chunks - 1))")).drop("chunks"), ["token", "chunk"])
+        members = scratch.write(members, "members")
+        place = ["sid", "size", "pos", "map", "label"]
+        homes = members.select("token", "chunk", F.expr("explode(sequence(0, groups - 1)) as grp"), *place)
+        guests = members.where("label <> top").select(F.col("token").alias("to"), F.expr("explode(sequence(0, chunks - 1)) as at"), F.expr("pmod(hash(sid), groups) as of"), *[F.col(c).alias(f"g_{c}") for c in place])
+
+        def met(_, rows, others):
+            if not len(rows) or not len(others):
+                return _frame(1, 0, [])
+            x, label = Lists.of_chunk(rows[place], percent, others[[f"g_{c}" for c in place]].set_axis(place, axis=1))
+            return _frame(1, 0, [tuple(sorted((x.sids[a], x.sids[b]))) for a, b in sorted(probe(x, label))])
+
+        return homes.groupBy("token", "chunk", "grp").cogroup(guests.groupBy("to", "at", "of")).applyInPandas(met, PAIRS)
+
     def probed(probe, labels, name):
         """Verified links among the pairs that ``probe`` finds in the lists, given the components so far."""
 
@@ -294,6 +370,8 @@ def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str
 
         labelled = here.join(labels, "node").repartition(tasks, "shard")
         pairs = lists.groupBy("shard").cogroup(labelled.groupBy("shard")).applyInPandas(of_shard, PAIRS)
+        if hot is not None:
+            pairs = pairs.unionByName(visited(probe, labels))
         pairs = scratch.write(pairs.select("a", "b").distinct(), name)
         return scratch.write(_verified(pairs, whole, percent), "links")
 

@@ -35,9 +35,9 @@ def brute(rows, n, percent):
     return sorted([(d, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets))], key=str)
 
 
-def run(spark, rows, n=4, percent=85):
+def run(spark, rows, n=4, percent=85, **more):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_shingles", "'x' as sid")
-    return sorted([tuple(r) for r in shingle_components(df, n, percent).collect()], key=str)
+    return sorted([tuple(r) for r in shingle_components(df, n, percent, **more).collect()], key=str)
 
 
 def made(seed):
@@ -64,6 +64,38 @@ def test_against_brute_force(spark, n, percent, seed):
     assert got == brute(rows, n, percent) and len({g[2] for g in got}) < len(got)
 
 
+@pytest.mark.parametrize(("n", "percent", "seed"), [(4, 85, 1), (2, 60, 2)])
+def test_hot_lists_in_chunks(spark, n, percent, seed):
+    """One group of near copies, and sets that share a line without linking, over chunks of eight sets."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, None), (2, "one two")]
+    for k in range(60):
+        w = list(base)
+        for _ in range(r.randint(0, 12)):
+            w[r.randrange(len(w))] = f"x{r.randrange(9)}"
+        rows.append((6000 + k, " ".join(w)))
+    got = run(spark, rows, n, percent, list_sets=8)
+    assert got == brute(rows, n, percent) and 2 < len({g[2] for g in got}) < len(got)
+
+
+def test_visitors_meet_what_a_chunk_holds():
+    """Every pair of a hot list that is in two components is met in one chunk or another, whatever the cut."""
+    import numpy as np
+    import pandas as pd
+
+    from opsloom.llm.jaccard_join import Lists, _bitmap
+
+    r = np.random.default_rng(5)
+    rows = pd.DataFrame({"sid": [bytes([i]) for i in range(40)], "size": 20, "pos": 0, "map": [_bitmap(np.arange(20, dtype=np.uint64), 20).tobytes()] * 40})
+    rows["label"] = [bytes([k]) for k in r.choice(3, 40, p=[0.7, 0.2, 0.1])]
+    chunk, guests, found = r.integers(0, 3, 40), rows[rows["label"] != b"\0"], set()
+    for c in range(3):
+        x, label = Lists.of_chunk(rows[chunk == c], 85, guests)
+        found |= {tuple(sorted((x.sids[a], x.sids[b]))) for a, b in x.across(label)}
+    assert found == {(a, b) for a, la in zip(rows["sid"], rows["label"]) for b, lb in zip(rows["sid"], rows["label"]) if a < b and la != lb}
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .graph import components
+from .graph import components, extended
 
 U = np.uint64
 LISTED = "kind int, shard int, block long, sid binary, size long, data binary"
@@ -336,11 +336,13 @@ def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str
     here = one.where("kind = 0").select("shard", F.col("a").alias("node"))
 
     def visited(probe, labels):
-        """Pairs that ``probe`` finds in the hot lists, given the components so far."""
+        """Pairs that ``probe`` finds in the hot lists, given the components so far; None if each list is one of them."""
         named = hot.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         counts = named.groupBy("token", "chunks", "label").agg(F.count("*").alias("n"))
         tops = counts.groupBy("token", "chunks").agg(F.max_by("label", F.struct("n", "label")).alias("top"), (F.sum("n") - F.max("n")).alias("apart"))
         tops = scratch.write(tops.where("apart > 0").withColumn("groups", F.ceil(F.col("apart") / list_sets).cast("int")), "tops")
+        if tops.isEmpty():
+            return None
         members = named.join(tops.withColumn("chunk", F.expr("explode(sequence(0, chunks - 1))")).drop("chunks"), ["token", "chunk"])
         members = scratch.write(members, "members")
         place = ["sid", "size", "pos", "map", "label"]
@@ -370,16 +372,15 @@ def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str
 
         labelled = here.join(labels, "node").repartition(tasks, "shard")
         pairs = lists.groupBy("shard").cogroup(labelled.groupBy("shard")).applyInPandas(of_shard, PAIRS)
-        if hot is not None:
-            pairs = pairs.unionByName(visited(probe, labels))
+        if hot is not None and (more := visited(probe, labels)) is not None:
+            pairs = pairs.unionByName(more)
         pairs = scratch.write(pairs.select("a", "b").distinct(), name)
         return scratch.write(_verified(pairs, whole, percent), "links")
 
     for probe, name in ((Lists.nearest, "round2"), (Lists.across, "round3")):
         more = probed(probe, labels, name)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links, scratch)
+            labels = extended(labels, more, scratch)
 
     def rows_of(frames):
         for frame in frames:

@@ -91,6 +91,30 @@ select doc_id, coalesce(size.n, 0) as n_shingles, component_id from d join least
 """
 
 
+def resample(buckets: int = 10_000, least_words: int = 20, percent: int = 10, seed: int = 2024) -> str:
+    return f"""
+with poly as (select list_transform(range(256), lambda i: list_reduce([i] || list_transform(range(8), lambda x: cast(x as bigint)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),
+d as ({_rows("documents", "doc_id", _LOWER.format("text"), _ALNUM)}),
+b as ({_rows("benchmark", "item_id", _LOWER.format("text"), _ALNUM)}),
+word as (select distinct w, hex(encode(w)) as h from (select unnest(ws) as w from d union select unnest(ws) from b)),
+crc as (
+  select w, xor(4294967295, list_reduce([4294967295] || list_transform(range(0, len(h), 2), lambda i: cast('0x' || h[i + 1 : i + 2] as bigint)), lambda c, x: xor(c >> 8, t[cast(xor(c & 255, x) as integer) + 1]))) % {buckets} as bucket
+  from word, poly),
+s as (select bucket, count(*) as n from (select unnest(ws) as w from d) join crc using (w) group by 1),
+t as (select bucket, count(*) as n from (select unnest(ws) as w from b) join crc using (w) group by 1),
+gain as (
+  select bucket, cast(floor(1000 * ln(cast(coalesce(t.n, 0) + 1 as double) * ((select coalesce(sum(n), 0) from s) + {buckets}) / (cast(s.n + 1 as double) * ((select coalesce(sum(n), 0) from t) + {buckets})))) as bigint) as gain
+  from s left join t using (bucket)),
+weight as (select rid, count(*) as n, cast(floor(sum(gain) / count(*)) as bigint) as weight from (select rid, unnest(ws) as w from d) join crc using (w) join gain using (bucket) group by rid),
+scored as (
+  select rid, doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('{seed}:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) + 0.5::double) / 4294967296))) as bigint) as score
+  from d left join weight using (rid)),
+drawn as (select rid, row_number() over (order by score desc, doc_id nulls last, weight, n_features) as rank from scored where n_features >= {least_words} qualify rank <= {percent} * count(*) over () // 100)
+select doc_id, n_features, weight, score, rank from scored left join drawn using (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_posting_lists": nearest(),
@@ -98,4 +122,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_substring_dedup": substring_dedup(),
         "op5_phrase_index": contamination(),
         "op9_jaccard_join": shingle_components(),
+        "op13_importance_resampling": resample(),
     }

@@ -91,6 +91,22 @@ select doc_id, coalesce(size.n, 0) as n_shingles, component_id from d join least
 """
 
 
+def hard_negatives(k: int = 5, every: int = 100, percent: int = 80) -> str:
+    return f"""
+with v as (
+  select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pair as (
+  select a.rid, a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, cast(case when len(a.v) = 0 then 0 else list_inner_product(a.v, b.v) end as bigint) as score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % {every} = 0),
+positive as (select rid, other, score, row_number() over (partition by rid order by score desc, other) as k from pair where same qualify k <= {k})
+select anchor_id, p.other as positive_id, cast(row_number() over (partition by p.rid, p.k order by n.score desc, n.other) as integer) as rank, n.other as negative_id, p.score as positive_score, n.score as negative_score
+from positive p join pair n on n.rid = p.rid and not n.same and {percent} * p.score <= 100 * n.score and n.score <= p.score
+qualify rank <= {k}
+"""
+
+
 def resample(buckets: int = 10_000, least_words: int = 20, percent: int = 10, seed: int = 2024) -> str:
     return f"""
 with poly as (select list_transform(range(256), lambda i: list_reduce([i] || list_transform(range(8), lambda x: cast(x as bigint)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),
@@ -122,5 +138,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_substring_dedup": substring_dedup(),
         "op5_phrase_index": contamination(),
         "op9_jaccard_join": shingle_components(),
+        "op11_hard_negatives": hard_negatives(),
         "op13_importance_resampling": resample(),
     }

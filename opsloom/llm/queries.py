@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .hard_negatives import hard_negatives
 from .importance_resampling import resample
 from .jaccard_join import shingle_components
 from .language_id import identify
 from .license_scan import scan
 from .oracle import oracle_sql
 from .phrase_index import contamination
+from .pii_spans import digests, find_spans
 from .posting_lists import nearest
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -66,6 +68,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs.select("doc_id", path.alias("path"), "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector gets the next of ten labels first, so that there are negatives among the nearest."""
+    rows = _read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", "embedding", label.alias("label")))
+
+
+def op12_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(find_spans(_read(spark, sf_dir, "documents")))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -80,4 +93,4 @@ __all__ = ["oracle_sql", "queries"]
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_posting_lists, op3_suffix_dedup, op4_substring_dedup, op5_phrase_index, op6_weak_labels, op7_language_id, op8_wfst_pieces, op9_jaccard_join, op10_license_scan, op13_importance_resampling, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_posting_lists, op3_suffix_dedup, op4_substring_dedup, op5_phrase_index, op6_weak_labels, op7_language_id, op8_wfst_pieces, op9_jaccard_join, op10_license_scan, op11_hard_negatives, op12_pii_spans, op13_importance_resampling, pipeline)}

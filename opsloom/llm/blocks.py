@@ -8,7 +8,7 @@ sent. The number of packed rows never exceeds the number of entries; shards, and
 are counted from the corpus.
 
 Blocks are a bucketed table: all blocks that one task writes have numbers of one bucket, so writing them takes
-no shuffle and one file a task, and replies are brought to the blocks (by a bucketed join), never blocks to the
+no shuffle and one file a task (buckets are bounded, tasks are dealt to them in turn), and replies are brought to the blocks (by a bucketed join), never blocks to the
 replies.
 
 Every intermediate that later steps read is written under ``spark.checkpoint.dir`` by a ``Scratch``, so block
@@ -36,6 +36,8 @@ BLOCK_ROWS = 16_384
 BLOCK_SCHEMA = "block long, n_bytes long, ids array<bigint>, lens binary, payload binary"
 ASK_SCHEMA = "shard int, block long, data binary"
 REPLY_SCHEMA = "block long, shard int, reply binary, hot long"
+#: Buckets of a table at most; Spark refuses more than 100,000. Beyond so many tasks a bucket has several files.
+MAX_BUCKETS = 65_536
 #: Shards that one task merges, one after the other.
 SHARDS_A_TASK = 16
 #: Spark's setting by which a query's shuffle files go as soon as it has ended.
@@ -138,14 +140,14 @@ class Blocks:
 
 
 def tasks_for(spark: SparkSession, shards: int) -> int:
-    """Tasks that merge so many shards: by the corpus, at least the session's number."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS_A_TASK))
+    """Tasks that merge so many shards: by the corpus, at least the session's number, at most ``MAX_BUCKETS``."""
+    return min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS_A_TASK)))
 
 
 def to_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, scratch: Scratch | None = None) -> Blocks:
     """Pack whole texts into blocks; a text longer than a block is a block of its own. Nulls stay nulls."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    buckets = max(1, rows.rdd.getNumPartitions())
+    buckets = min(MAX_BUCKETS, max(1, rows.rdd.getNumPartitions()))
 
     def pack(batches):
         from pyspark import TaskContext

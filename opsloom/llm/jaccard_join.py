@@ -95,8 +95,8 @@ def merge_counts(parts: list[bytes]) -> tuple[list[bytes], int]:
     """Sum the blocks' counters; answer with the power of two of each (0: one set only)."""
     got = []
     for p in parts:
-        n = int.from_bytes(p[:4], "little")
-        got.append((B.unpack_sorted(p[4 + n :])[0], np.frombuffer(p, np.uint8, n, 4)))
+        n, kind = int.from_bytes(p[:4], "little"), np.dtype(f"<u{p[4]}")
+        got.append((B.unpack_sorted(p[5 + n * kind.itemsize :])[0], np.frombuffer(p, kind, n, 5)))
     u, back = np.unique(np.concatenate([c for c, _ in got]), return_inverse=True)
     power = np.log2(np.bincount(back, np.concatenate([k for _, k in got]), len(u))).astype(np.uint8)
     out, at = [], 0
@@ -254,8 +254,8 @@ def shingle_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str
     def count(_, b, __):
         _, key_, _, times = _cells(Sets(b, n), shards, bits)
         for sh, x in B.by_shard((key_ >> U(32)).astype(np.int64)):
-            k = np.minimum(times[x], 255).astype(np.uint8)
-            yield sh, np.uint32(len(k)).tobytes() + k.tobytes() + B.pack_sorted(key_[x] & U(0xFFFFFFFF), np.zeros(len(k), np.int64))
+            k = times[x].astype(np.uint8 if times[x].max() < 256 else np.uint32)
+            yield sh, np.uint32(len(k)).tobytes() + bytes([k.itemsize]) + k.tobytes() + B.pack_sorted(key_[x] & U(0xFFFFFFFF), np.zeros(len(k), np.int64))
 
     counts = B.ask(blocks, count, merge_counts, "counts", shards)
 

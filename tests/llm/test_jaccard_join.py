@@ -96,6 +96,42 @@ def test_visitors_meet_what_a_chunk_holds():
     assert found == {(a, b) for a, la in zip(rows["sid"], rows["label"]) for b, lb in zip(rows["sid"], rows["label"]) if a < b and la != lb}
 
 
+def test_counts_of_a_block_are_whole(spark):
+    """One block of 400 near copies: a list of all of them is dealt by its true size, not by what a byte holds."""
+    import glob
+    import pickle
+
+    from opsloom.llm import blocks as B
+
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(k, " ".join(base[:20] + [f"y{k}a", f"y{k}b"] + base[22:] if r.random() < 0.9 else base[:40] + [f"y{k}"] * 30)) for k in range(400)]
+    scratch = B.Scratch(spark)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted([tuple(x) for x in shingle_components(df, scratch=scratch, list_sets=32).collect()], key=str)
+    assert got == brute(rows, 4, 85)
+    hot = spark.read.parquet(*glob.glob(f"{scratch.folder.removeprefix('file://')}/listed_*/kind=3")).select("data").collect()
+    token, chunk, chunks = (sum((list(pickle.loads(x.data)[k]) for x in hot), []) for k in range(3))
+    sizes = {}
+    for cell in zip(token, chunk):
+        sizes[cell] = sizes.get(cell, 0) + 1
+    assert max(chunks) >= 8 and max(sizes.values()) < 4 * 32
+
+
+def test_more_partitions_than_buckets(spark, monkeypatch):
+    from opsloom.llm import blocks as B
+    from opsloom.llm.suffix_dedup import suffix_dedup
+
+    rows = made(5)
+    wide = spark.createDataFrame(rows, "doc_id long, text string").repartition(11)
+    plain = sorted(map(str, suffix_dedup(wide, 40).collect()))
+    monkeypatch.setattr(B, "MAX_BUCKETS", 3)
+    blocks = B.to_blocks(wide)
+    assert blocks.buckets == 3 and len(set(B.bucket_of([r.block for r in blocks.rows.select("block").collect()], 3).tolist())) == 3
+    assert sorted([tuple(r) for r in shingle_components(wide).collect()], key=str) == brute(rows, 4, 85)
+    assert sorted(map(str, suffix_dedup(wide, 40).collect())) == plain
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 

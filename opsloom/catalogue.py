@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from . import oracle, oracle_documents
-from .operators import documents, logs, views
+from .operators import documents, logs, rollup, views
 from .plans.window import window
 from .sources.tables import from_dir
 
@@ -48,6 +48,13 @@ _LOGS = {
     "q28_log_counters": ("log_counters", MONTH),
 }
 
+#: Log questions that a rollup answers as well, windows that cut a step in two among them.
+_ROLLED = {
+    "q01_overview_rollup": "q01_overview", "q02_usage_day_rollup": "q02_usage_day", "q03_usage_30min_rollup": "q03_usage_30min", "q03_usage_5min_odd_rollup": "q03_usage_5min_odd",
+    "q04_error_trend_day_rollup": "q04_error_trend_day", "q06_top_endpoints_rollup": "q06_top_endpoints", "q07_top_errors_rollup": "q07_top_errors", "q08_devices_rollup": "q08_devices",
+    "q09_qs_stages_rollup": "q09_qs_stages", "q10_qs_fallbacks_rollup": "q10_qs_fallbacks", "q11a_followup_raw_rollup": "q11a_followup_raw", "q12_request_users_rollup": "q12_request_users", "q14_user_series_30min_rollup": "q14_user_series_30min",
+}
+
 #: Document queries: a window first, where one is taken.
 _DOCUMENTS = {
     "q15_users": ("list_users", 2000),
@@ -76,6 +83,12 @@ _DOCUMENTS = {
 def queries():
     found = {name: (lambda spark, sf_dir, f=getattr(logs, f), args=args: f(from_dir(spark, sf_dir), *args)) for name, (f, *args) in _LOGS.items()}
     found |= {name: (lambda spark, sf_dir, f=getattr(documents, f), args=args: f(from_dir(spark, sf_dir), *args)) for name, (f, *args) in _DOCUMENTS.items()}
+
+    def rolled(spark, sf_dir, f, args):
+        return getattr(rollup.of_logs(src := from_dir(spark, sf_dir)), f)(src, *args)
+
+    found |= {name: (lambda spark, sf_dir, f=_LOGS[of][0], args=_LOGS[of][1:]: rolled(spark, sf_dir, f, args)) for name, of in _ROLLED.items()}
+    found["q26_dashboard_summary_rollup"] = lambda spark, sf_dir: documents.dashboard_summary(src := from_dir(spark, sf_dir), WEEK, rollup.of_logs(src))
     for letter, name in zip("abc", logs.ALERTS, strict=True):
         found[f"q29{letter}_alert_{name}"] = lambda spark, sf_dir, name=name: logs.alert(logs.counter_rows(from_dir(spark, sf_dir)), name)
     for letter, (name, f) in zip("abcd", views.VIEWS.items(), strict=True):
@@ -86,6 +99,7 @@ def queries():
 def oracle_sql() -> dict[str, str]:
     found = {name: getattr(oracle, f)(*args) for name, (f, *args) in _LOGS.items()}
     found |= {name: getattr(oracle_documents, f)(*args) for name, (f, *args) in _DOCUMENTS.items()}
+    found |= {name: found[of] for name, of in _ROLLED.items()} | {"q26_dashboard_summary_rollup": found["q26_dashboard_summary"]}
     for letter, name in zip("abc", logs.ALERTS, strict=True):
         found[f"q29{letter}_alert_{name}"] = oracle.alert(name, *logs.ALERTS[name])
     for letter, name in zip("abcd", views.VIEWS, strict=True):

@@ -27,6 +27,18 @@ def latency_ms(c: Column) -> Column:
     return extract(c.cast("string"), "([0-9.]+)").try_cast("double") * 1000
 
 
+#: Latencies below this many milliseconds have a slot for each; above, a thousandth of a latency shares one.
+EXACT_MS, SLOT_BITS = 1 << 20, 10
+
+
+def latency_slot(ms: Column) -> Column:
+    """The slot of a latency, as its least whole milliseconds: of every thousand above ``EXACT_MS`` at most one is told
+    apart from the next. There are ``EXACT_MS`` and some 17,000 more slots, so whatever is kept by slot is bounded."""
+    whole = F.round(F.when(ms > float(1 << 53), float(1 << 53)).otherwise(ms)).cast("bigint")
+    width = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(whole)) - (SLOT_BITS + 1))
+    return F.when(whole < EXACT_MS, whole).otherwise(whole - whole % width)
+
+
 def path_of(url: Column) -> Column:
     return F.coalesce(extract(url, r"https?://[^/]+(/[^? ]*)"), F.lit("/unknown"))
 

@@ -269,15 +269,15 @@ def monitor_users(src: Sources, w: Window) -> DataFrame:
     return _rated(rows.select("user_id", "user_email", "subject", "updated_at", local, *logs.zero(*COUNTS)))
 
 
-def _merged(src: Sources, w: Window) -> DataFrame:
+def _merged(src: Sources, w: Window, log=logs) -> DataFrame:
     """Users of either half by id and lower-cased e-mail; follow-ups join, but add no users."""
     key = lambda df: df.select(S.trimmed(F.col("user_id")).alias("k_id"), F.lower(S.trimmed(F.col("user_email"))).alias("k_mail"), *[c for c in df.columns if c not in ("user_id", "user_email")])
     on, named = ["k_id", "k_mail"], lambda df: df.withColumn("k_id", F.when(F.col("k_id") == "", "unknown").otherwise(F.col("k_id")))
     people = monitor_users(src, w)
     people = people.withColumns({"k_id": S.trimmed(F.col("user_id")), "k_mail": F.lower(S.trimmed(F.col("user_email")))})
     kinds = ("total", "core", "system", *logs.DEVICES)
-    asked = named(key(logs.request_users(src, w).withColumnRenamed("request_count", "total_request_count"))).groupBy(*on).agg(*[F.sum(f"{k}_request_count").alias(f"{k}_request_count") for k in kinds])
-    opened = named(key(logs.followup_users(src, w))).groupBy(*on).agg(F.sum("recognized_count").alias("followup_recognized_count"), F.sum("success_count").alias("followup_success_count"))
+    asked = named(key(log.request_users(src, w).withColumnRenamed("request_count", "total_request_count"))).groupBy(*on).agg(*[F.sum(f"{k}_request_count").alias(f"{k}_request_count") for k in kinds])
+    opened = named(key(log.followup_users(src, w))).groupBy(*on).agg(F.sum("recognized_count").alias("followup_recognized_count"), F.sum("success_count").alias("followup_success_count"))
     opened = opened.withColumn("followup_open_success_rate", S.rate(F.col("followup_success_count"), F.col("followup_recognized_count")))
     rows = people.join(asked, on, "full").join(opened, on, "left")
     whole = {n: F.coalesce(n, F.lit(0)).cast("bigint") for n in (*COUNTS, "active_conversation_count")}
@@ -290,13 +290,14 @@ def _ranked() -> list[Column]:
     return [F.desc("message_count"), F.desc(F.coalesce("total_request_count", F.lit(0))), F.desc("conversation_count"), F.col("user_id"), F.col("user_email")]
 
 
-def dashboard_users(src: Sources, w: Window) -> DataFrame:
-    """Active users in order of rank; all users if none is active. Who has no requests keeps null request counts."""
-    rows = _merged(src, w)
+def dashboard_users(src: Sources, w: Window, log=logs) -> DataFrame:
+    """Active users in order of rank; all users if none is active. Who has no requests keeps null request counts. What the
+    logs say comes from ``log``: the module that reads them, or a rollup of them."""
+    rows = _merged(src, w, log)
     active = (F.col("message_count") > 0) | (F.col("conversation_count") > 0) | (F.coalesce("total_request_count", F.lit(0)) > 0) | (F.coalesce("core_request_count", F.lit(0)) > 0)
     # somebody is active exactly if a visible conversation has a message in the window, or the log a request
     spoken = _visible(src, _users(src)).select(*CONV).join(_window_messages(src, w).select(*CONV), CONV, "left_semi").select(F.lit(1).alias("one"))
-    anyone = spoken.limit(1).unionByName(logs.user_requests(src, w).select(F.lit(1).alias("one")).limit(1)).agg((F.count("*") > 0).alias("_any"))
+    anyone = spoken.limit(1).unionByName(log.user_requests(src, w).select(F.lit(1).alias("one")).limit(1)).agg((F.count("*") > 0).alias("_any"))
     return rows.crossJoin(F.broadcast(anyone)).where(active | ~F.col("_any")).drop("_any").orderBy(*_ranked())
 
 
@@ -315,10 +316,10 @@ def selected_series(src: Sources, w: Window, lookup: str) -> DataFrame:
     return logs.user_series(src, w, one.user_id or one.user_email)
 
 
-def dashboard_summary(src: Sources, w: Window) -> DataFrame:
-    """One row that sets document metrics beside log metrics."""
+def dashboard_summary(src: Sources, w: Window, log=logs) -> DataFrame:
+    """One row that sets document metrics beside log metrics (from ``log``, as above)."""
     docs = monitor(src, w).select("dau", "wau", "active_users_in_window", "active_session_stickiness", "conversation_count", "message_count", "feedback_like_rate", "message_failure_rate", "citation_coverage_rate")
     names = ("first_answer_avg_ms", "enhance_answer_avg_ms", "qs_stable_rate", "qs_avg_latency_ms", "restore_success_rate", "request_count", "core_request_count", "error_5xx_rate", "request_p95_latency_ms")
-    opened = logs.followup_users(src, w).agg(*[F.coalesce(F.sum(f"{n}_count"), F.lit(0)).cast("bigint").alias(f"followup_{n}_count") for n in ("recognized", "success")])
+    opened = log.followup_users(src, w).agg(*[F.coalesce(F.sum(f"{n}_count"), F.lit(0)).cast("bigint").alias(f"followup_{n}_count") for n in ("recognized", "success")])
     opened = opened.withColumn("followup_open_success_rate", S.rate(F.col("followup_success_count"), F.col("followup_recognized_count")))
-    return docs.crossJoin(logs.overview(src, w).select(*names)).crossJoin(opened)
+    return docs.crossJoin(log.overview(src, w).select(*names)).crossJoin(opened)

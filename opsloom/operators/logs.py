@@ -30,17 +30,17 @@ def requests(src: Sources, w: Window | None, service: str = SERVICE) -> DataFram
     """Normalised request log."""
     h = "httpRequest."
     rows = scan(src.requests, w, service).select("timestamp", F.col(h + "status").try_cast("bigint").alias("status"), S.latency_ms(F.col(h + "latency")).alias("latency_ms"), S.path_of(F.col(h + "requestUrl")).alias("path"), S.device_class(F.col(h + "userAgent")).alias("device_class"))
-    return rows.withColumns({"is_core": S.is_core(F.col("path")), "is_5xx": F.col("status") >= 500})
+    return rows.withColumns({"latency_slot": S.latency_slot(F.col("latency_ms")), "is_core": S.is_core(F.col("path")), "is_5xx": F.col("status") >= 500})
 
 
 def text_lines(src: Sources, w: Window | None, prefix: str, service: str = SERVICE) -> DataFrame:
     return scan(src.stdout, w, service).where(F.col("textPayload").startswith(prefix)).select("timestamp", F.col("textPayload").alias("line"))
 
 
-def p95(name: str) -> F.Column:
-    """The discrete 95th percentile, nulls ignored, so that results can be compared exactly. Its state is the
-    distinct values; latencies come in milliseconds, so it stays small."""
-    return F.round(F.expr(f"percentile_disc(0.95) within group (order by {name})"), 6)
+def p95() -> F.Column:
+    """The discrete 95th percentile of the latencies' slots, nulls ignored: exact in whole milliseconds. Its state is
+    one count for each slot that occurs, however many latencies there are, and counts of several tasks add up."""
+    return F.expr("percentile_disc(0.95) within group (order by latency_slot)")
 
 
 def counters() -> list[F.Column]:
@@ -86,7 +86,7 @@ def zero(*names: str) -> list[F.Column]:
 def overview(src: Sources, w: Window) -> DataFrame:
     ok = F.col("status") < 500
     mean = lambda paths: F.round(F.avg(F.when(ok & F.col("path").isin(*paths), F.col("latency_ms"))), 6)
-    r = requests(src, w).agg(*counters(), p95("latency_ms").alias("request_p95_latency_ms"), mean(FIRST_ANSWER).alias("first_answer_avg_ms"), mean(ENHANCE).alias("enhance_answer_avg_ms"))
+    r = requests(src, w).agg(*counters(), p95().alias("request_p95_latency_ms"), mean(FIRST_ANSWER).alias("first_answer_avg_ms"), mean(ENHANCE).alias("enhance_answer_avg_ms"))
     r = r.withColumn("error_5xx_rate", S.rate(F.col("error_5xx_count"), F.col("request_count")))
     line = F.col("line")
     q = text_lines(src, w, "query_suggest_result ").select(S.key_value(line, "stage").alias("stage"), S.key_number(line, "latency_ms").alias("l"), S.key_number(line, "suggestion_count").alias("n"))
@@ -100,7 +100,7 @@ def overview(src: Sources, w: Window) -> DataFrame:
 
 def usage(src: Sources, w: Window) -> DataFrame:
     """Zero-filled series by local bucket and device class."""
-    got = requests(src, w).groupBy(bucket(w).alias("bucket"), "device_class").agg(*counters(), p95("latency_ms").alias("p95_latency_ms"))
+    got = requests(src, w).groupBy(bucket(w).alias("bucket"), "device_class").agg(*counters(), p95().alias("p95_latency_ms"))
     got = got.withColumn("error_5xx_rate", S.rate(F.col("error_5xx_count"), F.col("request_count")))
     rows = by_device(src, w).join(got, ["bucket", "device_class"], "left")
     rows = rows.select(*labels(w), "device_class", *zero("request_count", "core_request_count", "system_request_count", "error_5xx_count"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("error_5xx_rate", "p95_latency_ms")])
@@ -124,7 +124,7 @@ def top_errors(src: Sources, w: Window, n: int = TOP) -> DataFrame:
 
 
 def devices(src: Sources, w: Window) -> DataFrame:
-    got = requests(src, w).groupBy("device_class").agg(F.count("*").alias("request_count"), F.count_if("is_5xx").alias("error_5xx_count"), p95("latency_ms").alias("p95_latency_ms"))
+    got = requests(src, w).groupBy("device_class").agg(F.count("*").alias("request_count"), F.count_if("is_5xx").alias("error_5xx_count"), p95().alias("p95_latency_ms"))
     return got.withColumn("error_5xx_rate", S.rate(F.col("error_5xx_count"), F.col("request_count"))).orderBy(F.desc("request_count"), "device_class")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..plans.window import Window
 from ..sources.sinks import write_csv
 from ..sources.tables import Sources
 from . import documents, logs
+from .rollup import Rollup, counted
 
 
 class NotFound(LookupError):
@@ -35,9 +37,16 @@ REPORTS["dashboard"] = {
 }
 
 
-def report(src: Sources, w: Window, name: str) -> dict[str, DataFrame]:
-    """The parts of a report by name."""
-    return {part: f(src, w) for part, f in REPORTS[name].items()}
+def _asked(f, log):
+    """A part's function, with what the logs say taken from ``log``."""
+    if f.__module__ == logs.__name__:
+        return getattr(log, f.__name__)
+    return partial(f, log=log) if f in (documents.dashboard_users, documents.dashboard_summary) else f
+
+
+def report(src: Sources, w: Window, name: str, log=logs) -> dict[str, DataFrame]:
+    """The parts of a report by name; what the logs say comes from ``log``: the module that reads them, or a rollup."""
+    return {part: _asked(f, log)(src, w) for part, f in REPORTS[name].items()}
 
 
 @contextmanager
@@ -53,6 +62,18 @@ def shared(src: Sources, w: Window) -> Iterator[Sources]:
             t.unpersist()
 
 
+@contextmanager
+def summed(src: Sources, w: Window) -> Iterator[Rollup]:
+    """A rollup of the logs of the window, for which each log is read once, by five-minute steps and so far smaller than
+    the entries (kept by the executors, in memory or on disk; a lost part is counted again)."""
+    kept = {n: t.persist() for n, t in counted(src, [(w.start, w.end)]).items()}
+    try:
+        yield Rollup(**kept)
+    finally:
+        for t in kept.values():
+            t.unpersist()
+
+
 def drill_down(src: Sources, user: str, conv: str) -> tuple[DataFrame, DataFrame]:
     """Header and messages of a conversation; ``NotFound`` if there is none (reads one row to know)."""
     head = documents.conversation(src, user, conv)

@@ -57,6 +57,18 @@ def registered(spark: SparkSession, **tables: DataFrame | str) -> Sources:
     return Sources(**found)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and the file system it lies in, wherever that is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A folder of Parquet files, or no rows where there is none yet."""
+    where, files = hadoop_path(spark, path)
+    return spark.read.schema(schema).parquet(path) if files.exists(where) else spark.createDataFrame([], schema)
+
+
 def from_dir(spark: SparkSession, sf_dir: str) -> Sources:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     resource = "struct(resource_type as type, struct(service_name) as labels) as resource"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.window import DEFAULT_TZ, Window
-from ..sources.tables import Sources
+from ..sources.tables import Sources, of_days
 from . import logs
 
 CONV = ["user_id", "conv_id"]
@@ -41,6 +41,11 @@ def _local_text(c: Column, tz: str) -> Column:
     return F.coalesce(F.date_format(S.local(S.iso_time(c), tz), "yyyy-MM-dd HH:mm:ss"), F.lit(""))
 
 
+def _instant(m: DataFrame) -> Column:
+    """A message's time: parsed when it was stored, or now."""
+    return F.col("at") if "at" in m.columns else S.iso_time(F.col("timestamp"))
+
+
 def _within(c: Column, w: Window, days: int | None = None) -> Column:
     start = F.lit(w.start) if days is None else F.lit(w.end) - F.expr(f"interval {days} day")
     return (c >= start) & (c < F.lit(w.end))
@@ -94,11 +99,12 @@ def usage(src: Sources, w: Window, by_conversation: bool = False) -> DataFrame:
     users = _users(src)
     conv = _visible(src, users.where("at is not null")).where(_within(S.iso_time(F.col("updatedAt")), w))
     m = src.messages
-    kids = m.groupBy(*CONV).agg(F.count("*").alias("kids"))
+    kids = src.message_counts.groupBy(*CONV).agg(F.sum("n").alias("kids")) if src.has("message_counts") else m.groupBy(*CONV).agg(F.count("*").alias("kids"))
+    m = of_days(m, w.start, w.end, undated=by_conversation)
     volume = conv.select(*CONV, "messageCount").join(kids, CONV, "left").select(F.when(F.col("messageCount") >= 0, F.col("messageCount")).otherwise(F.coalesce("kids", F.lit(0))).alias("n"))
     volume = volume.agg(F.count("*").alias("conversation_count"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("message_count"))
     value = F.lower(_text(m, "feedback")) if by_conversation else F.col("feedback")
-    at = S.iso_time(_filled(F.col("timestamp"), _text(m, "updatedAt")) if by_conversation else F.col("timestamp"))
+    at = S.iso_time(_filled(F.col("timestamp"), _text(m, "updatedAt"))) if by_conversation and "updatedAt" in m.columns else _instant(m)
     keep = _within(at, w) | at.isNull() if by_conversation else _within(at, w)
     votes = m.where(value.isin("good", "bad") & keep).groupBy(*CONV).agg(F.count_if(value == "good").alias("feedback_good_count"), F.count("*").alias("feedback_total_count"))
     votes = votes.join(conv.select(*CONV), CONV, "left_semi") if by_conversation else votes
@@ -214,7 +220,8 @@ def _failed(m: DataFrame) -> Column:
 
 
 def _window_messages(src: Sources, w: Window) -> DataFrame:
-    return src.messages.where(_within(S.iso_time(F.col("timestamp")), w))
+    m = of_days(src.messages, w.start, w.end)
+    return m.where(_within(_instant(m), w))
 
 
 def _by_user(src: Sources, w: Window) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.window import Window
-from ..sources.tables import Sources
+from ..sources.tables import Sources, of_days
 
 SERVICE, RESOURCE = "source-svc", "cloud_run_revision"
 DEVICES = ("desktop", "mobile", "unknown")
@@ -23,7 +23,7 @@ ENHANCE = ("/v2/ask/enhance_full", "/v2/ask/enhance_full/stream")
 
 def scan(df: DataFrame, w: Window | None, service: str = SERVICE) -> DataFrame:
     df = df.where((F.col("resource.type") == RESOURCE) & (F.col("resource.labels.service_name") == service))
-    return df if w is None else df.where((F.col("timestamp") >= F.lit(w.start)) & (F.col("timestamp") < F.lit(w.end)))
+    return df if w is None else of_days(df, w.start, w.end).where((F.col("timestamp") >= F.lit(w.start)) & (F.col("timestamp") < F.lit(w.end)))
 
 
 def requests(src: Sources, w: Window | None, service: str = SERVICE) -> DataFrame:
@@ -191,6 +191,7 @@ def counter_rows(src: Sources) -> DataFrame:
 
 
 def log_counters(src: Sources, w: Window) -> DataFrame:
+    src = Sources(requests=of_days(src.requests, w.start, w.end), stdout=of_days(src.stdout, w.start, w.end))
     rows = counter_rows(src).where((F.col("timestamp") >= F.lit(w.start)) & (F.col("timestamp") < F.lit(w.end)))
     return rows.groupBy("metric").agg(F.count("*").alias("count"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.window import Window
-from ..sources.tables import Sources, stored
+from ..sources.tables import Sources, of_days, stored
 from . import logs
 
 STEP = timedelta(minutes=5)
@@ -104,6 +104,10 @@ def counted(src: Sources, spans: list[tuple[datetime, datetime]] | None = None)
             hit = hit | ((F.col("timestamp") >= F.lit(a)) & (F.col("timestamp") < F.lit(z)))
         return df if spans is None else df.where(hit)
 
+    def days(df: DataFrame) -> DataFrame:
+        return of_days(df, min(a for a, _ in spans), max(z for _, z in spans)) if spans else df
+
+    src = Sources(requests=days(src.requests), stdout=days(src.stdout), stderr=days(src.stderr))
     return {"requests": request_counts(at(logs.requests(src, None))), "lines": line_counts(at(_lines(logs.scan(src.stdout, None))), at(_lines(logs.scan(src.stderr, None))))}
 
 

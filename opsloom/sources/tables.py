@@ -8,6 +8,7 @@ once a query asks for it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,9 @@ class Sources:
     def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
         self._tables = tables
 
+    def has(self, name: str) -> bool:
+        return name in self._tables
+
     def __getattr__(self, name: str) -> DataFrame:
         tables = self.__dict__.get("_tables", {})
         if name not in tables:
@@ -57,6 +61,15 @@ def registered(spark: SparkSession, **tables: DataFrame | str) -> Sources:
     return Sources(**found)
 
 
+def of_days(df: DataFrame, start: datetime, end: datetime, undated: bool = False) -> DataFrame:
+    """The partitions of a stored table that may hold something of a span (``undated``: or of no time at all). Other
+    tables stay as they are."""
+    if "date" not in df.columns:
+        return df
+    days = F.col("date").between(F.lit(start.astimezone(timezone.utc).date()), F.lit(end.astimezone(timezone.utc).date()))
+    return df.where(days | F.col("date").isNull() if undated else days)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """A path and the file system it lies in, wherever that is."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -308,19 +308,19 @@ def dashboard_users(src: Sources, w: Window, log=logs) -> DataFrame:
     return rows.crossJoin(F.broadcast(anyone)).where(active | ~F.col("_any")).drop("_any").orderBy(*_ranked())
 
 
-def selected_user(src: Sources, w: Window, lookup: str) -> DataFrame:
+def selected_user(src: Sources, w: Window, lookup: str, log=logs) -> DataFrame:
     """The first user in order of rank whose id or e-mail holds the text."""
     key = lookup.strip().lower()
     hit = (F.lower("user_id").contains(key) | F.lower("user_email").contains(key)) if key else F.lit(False)
-    return _merged(src, w).where(hit).orderBy(*_ranked()).limit(1)
+    return _merged(src, w, log).where(hit).orderBy(*_ranked()).limit(1)
 
 
-def selected_series(src: Sources, w: Window, lookup: str) -> DataFrame:
+def selected_series(src: Sources, w: Window, lookup: str, log=logs) -> DataFrame:
     """That user's request series; no rows where there is no such user or no request. Reads one row to know whom."""
-    one = selected_user(src, w, lookup).select("user_id", "user_email", "total_request_count").first()
+    one = selected_user(src, w, lookup, log).select("user_id", "user_email", "total_request_count").first()
     if one is None or not one.total_request_count:
-        return logs.user_series(src, w, "").where("false")
-    return logs.user_series(src, w, one.user_id or one.user_email)
+        return log.user_series(src, w, "").where("false")
+    return log.user_series(src, w, one.user_id or one.user_email)
 
 
 def dashboard_summary(src: Sources, w: Window, log=logs) -> DataFrame:

@@ -13,6 +13,7 @@ from ..plans.window import Window
 from ..sources.sinks import write_csv
 from ..sources.tables import Sources
 from . import documents, logs
+from .cache import ResultCache, asked
 from .rollup import Rollup, counted
 
 
@@ -49,6 +50,31 @@ def report(src: Sources, w: Window, name: str, log=logs) -> dict[str, DataFrame]
     return {part: _asked(f, log)(src, w) for part, f in REPORTS[name].items()}
 
 
+def dashboard(src: Sources, w: Window, user: str = "", log=logs, cache: ResultCache | None = None) -> dict[str, DataFrame]:
+    """The dashboard's parts; with a user to look for also that user's row and request series (no rows if there is no such
+    user or no request). With a cache a call that was made lately gives what it gave."""
+
+    def parts() -> dict[str, DataFrame]:
+        found = report(src, w, "dashboard", log)
+        if user.strip():
+            found |= {"selected_user": documents.selected_user(src, w, user, log), "selected_series": documents.selected_series(src, w, user, log)}
+        return found
+
+    return parts() if cache is None else cache.get(asked(w, "dashboard", user), parts)
+
+
+#: How many rows a listing may be asked for.
+LIMITS = {"users": (documents.list_users, 500), "conversations": (documents.list_conversations, 500), "messages": (documents.messages, 2000)}
+
+
+def listing(src: Sources, name: str, *args: str, limit: int, **more) -> DataFrame:
+    """A listing of users, of a user's conversations or of a conversation's messages; a limit out of bounds is refused."""
+    f, most = LIMITS[name]
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit of {name}: {limit} is not between 1 and {most}")
+    return f(src, *args, limit=limit, **more)
+
+
 @contextmanager
 def shared(src: Sources, w: Window) -> Iterator[Sources]:
     """The same sources with the logs of the window read once for all that is asked inside (kept by the executors, in
@@ -88,14 +114,14 @@ EXPORTS = {
 }
 
 
-def export(src: Sources, name: str, path: str, w: Window | None = None, user: str | None = None, conv: str | None = None) -> None:
+def export(src: Sources, name: str, path: str, w: Window | None = None, user: str | None = None, conv: str | None = None, write=write_csv) -> None:
     """Write a named export as CSV files: by window, or ``users`` (one user's messages) and ``conversations`` (one
-    conversation's). ``messages`` is gone."""
+    conversation's). ``messages`` is gone. ``write`` may be ``sinks.write_csv_whole`` for one header over all files."""
     if name == "messages":
         raise Gone(name)
     if name in ("users", "conversations"):
-        write_csv(documents.export_messages(src, user or "", None if name == "users" else conv or ""), path)
+        write(documents.export_messages(src, user or "", None if name == "users" else conv or ""), path)
     elif name in EXPORTS:
-        write_csv(EXPORTS[name](src, w), path)
+        write(EXPORTS[name](src, w), path)
     else:
         raise KeyError(name)

@@ -78,12 +78,16 @@ _DOCUMENTS = {
     "q25_selected_series": ("selected_series", WEEK, USER),
     "q26_dashboard_summary": ("dashboard_summary", WEEK),
 }
+#: Document queries over messages shredded from whole documents.
+_SHREDDED = ("q16_usage_week_by_conversation", "q19_messages", "q20_export_user", "q21_export_conversation", "q22_monitor", "q22_monitor_errors", "q23_monitor_users", "q24_dashboard_users")
 
 
 def queries():
     found = {name: (lambda spark, sf_dir, f=getattr(logs, f), args=args: f(from_dir(spark, sf_dir), *args)) for name, (f, *args) in _LOGS.items()}
     found |= {name: (lambda spark, sf_dir, f=getattr(documents, f), args=args: f(from_dir(spark, sf_dir), *args)) for name, (f, *args) in _DOCUMENTS.items()}
 
+    found |= {f"{name}_documents": (lambda spark, sf_dir, f=getattr(documents, _DOCUMENTS[name][0]), args=_DOCUMENTS[name][1:]: f(from_dir(spark, sf_dir, documents=True), *args)) for name in _SHREDDED}
+
     def rolled(spark, sf_dir, f, args):
         return getattr(rollup.of_logs(src := from_dir(spark, sf_dir)), f)(src, *args)
 
@@ -99,6 +103,7 @@ def queries():
 def oracle_sql() -> dict[str, str]:
     found = {name: getattr(oracle, f)(*args) for name, (f, *args) in _LOGS.items()}
     found |= {name: getattr(oracle_documents, f)(*args) for name, (f, *args) in _DOCUMENTS.items()}
+    found |= {f"{name}_documents": oracle_documents.of_documents(found[name]) for name in _SHREDDED}
     found |= {name: found[of] for name, of in _ROLLED.items()} | {"q26_dashboard_summary_rollup": found["q26_dashboard_summary"]}
     for letter, name in zip("abc", logs.ALERTS, strict=True):
         found[f"q29{letter}_alert_{name}"] = oracle.alert(name, *logs.ALERTS[name])

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.window import DEFAULT_TZ, Window
+from ..sources.message_documents import GROUNDS
 from ..sources.tables import Sources, of_days
 from . import logs
 
 CONV = ["user_id", "conv_id"]
-#: Modes with a count of their own, states of damaged conversations, grounding fields.
+#: Modes with a count of their own, states of damaged conversations.
 COUNTED_MODES = ("internal", "websearch")
 RISKY = ("empty", "empty_shell", "unknown")
-GROUNDS = ("citations", "citationIndex", "citation_index", "sources", "evidence")
 TOP_REASONS, TOP_USER_REASONS = 10, 5
 
 

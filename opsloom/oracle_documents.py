@@ -5,7 +5,8 @@ from __future__ import annotations
 from . import oracle
 from .operators.documents import COUNTS, RATES
 from .plans.window import DEFAULT_TZ, Window
-from .sources.adapters import ctes
+from .sources.adapters import VIEWS, ctes
+from .sources.message_documents import GROUNDS
 
 
 def _at(x: str) -> str:
@@ -164,3 +165,21 @@ def dashboard_summary(w: Window) -> str:
  first_answer_avg_ms, enhance_answer_avg_ms, qs_stable_rate, qs_avg_latency_ms, restore_success_rate, request_count, core_request_count, error_5xx_rate, request_p95_latency_ms,
  a as followup_recognized_count, b as followup_success_count, round(b / nullif(a, 0), 6) as followup_open_success_rate from ({monitor(w)}), ({oracle.overview(w)}),
  (select cast(coalesce(sum(recognized_count), 0) as bigint) as a, cast(coalesce(sum(success_count), 0) as bigint) as b from ({oracle.followup_users(w)}))"""
+
+
+def _joined(name: str) -> str:
+    word = "case when x is null or json_type(x) = 'NULL' then 'None' when json_type(x) = 'BOOLEAN' then case cast(x as varchar) when 'true' then 'True' else 'False' end else json_extract_string(x, '$') end"
+    return f"case when json_type(d, '$.{name}') = 'ARRAY' then array_to_string(list_transform(cast(json_extract(d, '$.{name}') as json[]), lambda x: {word}), '|') else '' end"
+
+
+def _member(name: str) -> str:
+    return f"case when json_type(d, '$.{name}') in ('OBJECT', 'ARRAY', 'NULL') then null else json_extract_string(d, '$.{name}') end as {name}"
+
+
+def of_documents(sql: str) -> str:
+    """A twin over messages, taken out of whole documents."""
+    texts = ("role", "content", "timestamp", "status", "errorMessage", "feedback", "modeAtSend", "chatFlowType", "parentTurnId", "turnId", "clientOrigin")
+    cited = " or ".join(f"coalesce(json_array_length(d, '$.grounded.{g}'), 0) > 0" for g in GROUNDS)
+    rows = f"select user_id, conv_id, msg_id, {', '.join(map(_member, texts))}, {_joined('attachmentNames')} as names, {_joined('attachmentFileIds')} as files, {cited} as has_citation from (select *, cast(doc as json) as d from a_message_docs)"
+    sql = sql.replace(f"a_messages as ({VIEWS['a_messages'].strip()})", f"a_message_docs as ({VIEWS['a_message_docs'].strip()}), a_messages as ({rows})")
+    return sql.replace("'' as attachment_names, '' as attachment_file_ids", "names as attachment_names, files as attachment_file_ids").replace("'' as turn_id", "coalesce(turnId, '') as turn_id").replace("'' as client_origin", "coalesce(clientOrigin, '') as client_origin")

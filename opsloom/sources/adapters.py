@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 #: The table that each view reads.
-BASE = {"a_requests": "events", "a_stdout": "events", "a_stderr": "events", "a_users": "customer", "a_conversations": "conversations", "a_messages": "conversations", "a_facts": "events"}
+BASE = {"a_requests": "events", "a_stdout": "events", "a_stderr": "events", "a_users": "customer", "a_conversations": "conversations", "a_messages": "conversations", "a_message_docs": "conversations", "a_facts": "events"}
 
 VIEWS = {
     "a_requests": """
@@ -80,6 +80,18 @@ select concat('u', cast(conv_id % 40 + 40 * cast(floor(conv_id / 400) as bigint)
   case (conv_id + turn) % 10 when 0 then 'new_chat' when 1 then 'continued_chat' else '' end as chatFlowType,
   case when (conv_id + turn) % 8 = 0 then concat('t', cast(turn as string)) else '' end as parentTurnId
 from conversations
+""",
+    "a_message_docs": """
+select user_id, conv_id, msg_id, concat('{"role":"', role, '","content":"',
+  replace(replace(replace(replace(replace(content, chr(92), concat(chr(92), chr(92))), chr(34), concat(chr(92), chr(34))), chr(10), concat(chr(92), 'n')), chr(13), concat(chr(92), 'r')), chr(9), concat(chr(92), 't')),
+  '","timestamp":"', timestamp, '","status":"', status, '","errorMessage":"', errorMessage, '","feedback":"', feedback, '","modeAtSend":"', modeAtSend, '","chatFlowType":"', chatFlowType, '","parentTurnId":"', parentTurnId, '"',
+  case n % 6 when 0 then ',"attachmentNames":["plan.pdf",null,"photo 1.png"]' when 1 then ',"attachmentNames":[]' when 2 then ',"attachmentNames":[null],"attachmentFileIds":["f1",7,true,null]'
+    when 3 then ',"attachmentNames":null,"attachmentFileIds":"no list"' when 4 then ',"attachmentFileIds":["f2","f3"]' else '' end,
+  case n % 8 when 0 then ',"grounded":{"citations":["x"]}' when 1 then ',"grounded":{"citationIndex":[{"a":1}]}' when 2 then ',"grounded":{"citation_index":[1],"citations":[]}' when 3 then ',"grounded":{"sources":["s"]}'
+    when 4 then ',"grounded":{"evidence":[null]}' when 5 then ',"grounded":{"sources":"text","evidence":[]}' when 6 then ',"grounded":["citations"]' else '' end,
+  ',"turnId":"turn-', cast(n as string), '","clientOrigin":', case when n % 3 = 0 then '"web"' when n % 3 = 1 then 'null' else '{"app":1}' end, '}') as doc
+from (select user_id, conv_id, msg_id, role, content, timestamp, status, errorMessage, feedback, modeAtSend, chatFlowType, parentTurnId, number as n from (
+{MESSAGES}) m) docs
 """,
     "a_facts": """
 select concat('u', cast(user_id % 40 + 40 * cast(floor(user_id / 400) as bigint) as string)) as user_id, concat('c', cast(user_id as string)) as conv_id, case when event_id % 15 = 0 then '' else concat(cast(cast(ts as date) as string), 'T12:00:00Z') end as lastEventAt,
@@ -89,6 +101,9 @@ from events where event_type = 'view'
 }
 
 
+VIEWS["a_message_docs"] = VIEWS["a_message_docs"].replace("{MESSAGES}", VIEWS["a_messages"].strip().replace("select concat", "select conv_id + turn as number, concat", 1))
+
+
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base = BASE[name]
     spark.read.parquet(f"{sf_dir}/{base}.parquet").createOrReplaceTempView(f"opsloom_{base}")

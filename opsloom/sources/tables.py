@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters
+from .message_documents import shredded
 
 RESOURCE = "resource struct<type:string,labels:struct<service_name:string>>"
 SCHEMAS = {
@@ -82,7 +83,8 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if files.exists(where) else spark.createDataFrame([], schema)
 
 
-def from_dir(spark: SparkSession, sf_dir: str) -> Sources:
+def from_dir(spark: SparkSession, sf_dir: str, documents: bool = False) -> Sources:
+    """The test tables as sources; messages as columns, or shredded from whole documents."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     resource = "struct(resource_type as type, struct(service_name) as labels) as resource"
     view = lambda name: adapters.spark_view(spark, sf_dir, name)
@@ -101,6 +103,6 @@ def from_dir(spark: SparkSession, sf_dir: str) -> Sources:
         users=lambda: view("a_users"),
         conversations=lambda: view("a_conversations"),
         summaries=lambda: payloads().where(f"not ({odd})").withColumnRenamed("payload", "querySuggestRuntimeSummary"),
-        messages=lambda: view("a_messages").selectExpr("* except (has_citation)", "struct(if(has_citation, array('x'), array()) as citations) as grounded"),
+        messages=lambda: shredded(view("a_message_docs")) if documents else view("a_messages").selectExpr("* except (has_citation)", "struct(if(has_citation, array('x'), array()) as citations) as grounded"),
         runtime=lambda: payloads().where(odd),
     )

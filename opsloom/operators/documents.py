@@ -225,7 +225,7 @@ def _window_messages(src: Sources, w: Window) -> DataFrame:
 
 
 def _by_user(src: Sources, w: Window) -> DataFrame:
-    """Counts by user over visible conversations with a message in the window."""
+    """Counts by user id, whether there is such a user or not, over visible conversations with a message in the window."""
     m = _window_messages(src, w)
     role, said, placed = F.lower(_text(m, "role")), _stated_kind(m), _is_user(m) & _stated_kind(m).isNull()
     grounded = [F.size(f"grounded.{g}") > 0 for g in GROUNDS if "grounded" in m.columns and g in m.schema["grounded"].dataType.names]
@@ -238,7 +238,7 @@ def _by_user(src: Sources, w: Window) -> DataFrame:
         F.count_if(_is_user(m) & (said == "new")).alias("new_said"), F.count_if(_is_user(m) & (said == "followup")).alias("followup_said"), F.count_if(placed).alias("placed"),
         F.min(F.when(_is_user(m), F.struct("timestamp", "msg_id", placed.cast("int").alias("placed")))).getField("placed").alias("first_placed"),
     )
-    conv = _visible(src, _users(src))
+    conv = src.conversations.where(F.lower(_visibility()) != "hidden")
     conv = conv.select(*CONV, F.lower(_text(conv, "mode")).alias("mode"), _flag("isFavorite").cast("int").alias("favorite_conversation_count"), F.lower(_text(conv, "integrityState")).isin(*RISKY).cast("int").alias("integrity_risk_conversation_count"), F.lit(1).alias("conversation_count"))
     first = F.coalesce("first_placed", F.lit(0))
     more = {f"{x}_count": F.col(f"{x}_count") + F.when(F.col("mode") == x, F.col("unmoded")).otherwise(0) for x in COUNTED_MODES}
@@ -248,8 +248,7 @@ def _by_user(src: Sources, w: Window) -> DataFrame:
 
 def monitor(src: Sources, w: Window) -> DataFrame:
     """One row of quality metrics over all users."""
-    row = _users(src).agg(*_activity(w)).crossJoin(_by_user(src, w).agg(*_total(*COUNTS)))
-    return _rated(row)
+    return _rated(_users(src).join(_by_user(src, w), "user_id", "left").agg(*_activity(w), *_total(*COUNTS)))
 
 
 def _reasons(src: Sources, w: Window) -> DataFrame:
@@ -276,20 +275,26 @@ def monitor_users(src: Sources, w: Window) -> DataFrame:
     return _rated(rows.select("user_id", "user_email", "subject", "updated_at", local, *logs.zero(*COUNTS)))
 
 
+def _log_totals(facts: DataFrame) -> DataFrame:
+    """Requests and follow-up opens by trimmed user id and lower-cased e-mail; null where there are none of a kind."""
+    asked, opened, n = F.col("kind") == "asked", F.col("kind") == "opened", F.col("n")
+    who = S.trimmed(F.coalesce("user_id", F.lit("unknown")))
+    some = lambda kind, when: F.sum(F.when(kind, F.when(when, n).otherwise(0)))
+    sums = {"total": F.lit(True), "core": F.col("is_core"), "system": ~F.col("is_core")} | {d: F.col("name") == d for d in logs.DEVICES}
+    return facts.groupBy(F.when(who == "", "unknown").otherwise(who).alias("k_id"), F.lower(S.trimmed(F.col("user_email"))).alias("k_mail")).agg(
+        *[some(asked, when).alias(f"{k}_request_count") for k, when in sums.items()], *[some(opened, F.col("name") == e).alias(f"followup_{e}_count") for e in ("recognized", "success")]
+    )
+
+
 def _merged(src: Sources, w: Window, log=logs) -> DataFrame:
-    """Users of either half by id and lower-cased e-mail; follow-ups join, but add no users."""
-    key = lambda df: df.select(S.trimmed(F.col("user_id")).alias("k_id"), F.lower(S.trimmed(F.col("user_email"))).alias("k_mail"), *[c for c in df.columns if c not in ("user_id", "user_email")])
-    on, named = ["k_id", "k_mail"], lambda df: df.withColumn("k_id", F.when(F.col("k_id") == "", "unknown").otherwise(F.col("k_id")))
-    people = monitor_users(src, w)
+    """Users of either half by id and lower-cased e-mail; follow-ups join, but add no users. Each table is read once."""
+    on, people = ["k_id", "k_mail"], monitor_users(src, w)
     people = people.withColumns({"k_id": S.trimmed(F.col("user_id")), "k_mail": F.lower(S.trimmed(F.col("user_email")))})
-    kinds = ("total", "core", "system", *logs.DEVICES)
-    asked = named(key(log.request_users(src, w).withColumnRenamed("request_count", "total_request_count"))).groupBy(*on).agg(*[F.sum(f"{k}_request_count").alias(f"{k}_request_count") for k in kinds])
-    opened = named(key(log.followup_users(src, w))).groupBy(*on).agg(F.sum("recognized_count").alias("followup_recognized_count"), F.sum("success_count").alias("followup_success_count"))
-    opened = opened.withColumn("followup_open_success_rate", S.rate(F.col("followup_success_count"), F.col("followup_recognized_count")))
-    rows = people.join(asked, on, "full").join(opened, on, "left")
+    rows = people.join(_log_totals(log.user_facts(src, w)), on, "full").where("user_id is not null or total_request_count is not null")
     whole = {n: F.coalesce(n, F.lit(0)).cast("bigint") for n in (*COUNTS, "active_conversation_count")}
     texts = {n: F.coalesce(n, F.lit("")) for n in ("subject", "updated_at", "updated_at_local")}
     share = {f"{d}_request_rate": S.rate(F.col(f"{d}_request_count"), F.col("total_request_count")) for d in ("desktop", "mobile")}
+    share |= {"followup_open_success_rate": S.rate(F.col("followup_success_count"), F.col("followup_recognized_count"))}
     return rows.withColumns({"user_id": F.coalesce("user_id", "k_id"), "user_email": F.coalesce("user_email", "k_mail")} | texts | whole | share).drop(*on)
 
 
@@ -302,9 +307,8 @@ def dashboard_users(src: Sources, w: Window, log=logs) -> DataFrame:
     logs say comes from ``log``: the module that reads them, or a rollup of them."""
     rows = _merged(src, w, log)
     active = (F.col("message_count") > 0) | (F.col("conversation_count") > 0) | (F.coalesce("total_request_count", F.lit(0)) > 0) | (F.coalesce("core_request_count", F.lit(0)) > 0)
-    # somebody is active exactly if a visible conversation has a message in the window, or the log a request
-    spoken = _visible(src, _users(src)).select(*CONV).join(_window_messages(src, w).select(*CONV), CONV, "left_semi").select(F.lit(1).alias("one"))
-    anyone = spoken.limit(1).unionByName(log.user_requests(src, w).select(F.lit(1).alias("one")).limit(1)).agg((F.count("*") > 0).alias("_any"))
+    # asked of all columns, so that it runs on the same shuffles as the rows themselves
+    anyone = rows.agg(F.max(F.when(active, F.hash(*rows.columns))).isNotNull().alias("_any"))
     return rows.crossJoin(F.broadcast(anyone)).where(active | ~F.col("_any")).drop("_any").orderBy(*_ranked())
 
 
@@ -327,6 +331,6 @@ def dashboard_summary(src: Sources, w: Window, log=logs) -> DataFrame:
     """One row that sets document metrics beside log metrics (from ``log``, as above)."""
     docs = monitor(src, w).select("dau", "wau", "active_users_in_window", "active_session_stickiness", "conversation_count", "message_count", "feedback_like_rate", "message_failure_rate", "citation_coverage_rate")
     names = ("first_answer_avg_ms", "enhance_answer_avg_ms", "qs_stable_rate", "qs_avg_latency_ms", "restore_success_rate", "request_count", "core_request_count", "error_5xx_rate", "request_p95_latency_ms")
-    opened = log.followup_users(src, w).agg(*[F.coalesce(F.sum(f"{n}_count"), F.lit(0)).cast("bigint").alias(f"followup_{n}_count") for n in ("recognized", "success")])
+    opened = log.user_facts(src, w).where("kind = 'opened'").agg(*[F.coalesce(F.sum(F.when(F.col("name") == e, F.col("n"))), F.lit(0)).cast("bigint").alias(f"followup_{e}_count") for e in ("recognized", "success")])
     opened = opened.withColumn("followup_open_success_rate", S.rate(F.col("followup_success_count"), F.col("followup_recognized_count")))
     return docs.crossJoin(log.overview(src, w).select(*names)).crossJoin(opened)

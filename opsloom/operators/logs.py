@@ -88,14 +88,21 @@ def overview(src: Sources, w: Window) -> DataFrame:
     mean = lambda paths: F.round(F.avg(F.when(ok & F.col("path").isin(*paths), F.col("latency_ms"))), 6)
     r = requests(src, w).agg(*counters(), p95().alias("request_p95_latency_ms"), mean(FIRST_ANSWER).alias("first_answer_avg_ms"), mean(ENHANCE).alias("enhance_answer_avg_ms"))
     r = r.withColumn("error_5xx_rate", S.rate(F.col("error_5xx_count"), F.col("request_count")))
+    return r.crossJoin(text_totals(src, w))
+
+
+def text_totals(src: Sources, w: Window) -> DataFrame:
+    """One row of suggestion and restore counts, from one pass over the text log."""
     line = F.col("line")
-    q = text_lines(src, w, "query_suggest_result ").select(S.key_value(line, "stage").alias("stage"), S.key_number(line, "latency_ms").alias("l"), S.key_number(line, "suggestion_count").alias("n"))
-    q = q.agg(F.count("*").alias("qs_total"), F.count_if(F.col("stage") == "stable").alias("qs_stable_count"), F.count_if(F.col("stage") == "degraded").alias("qs_degraded_count"), F.round(F.avg("l"), 6).alias("qs_avg_latency_ms"), F.round(F.avg("n"), 6).alias("qs_avg_suggestion_count"))
-    q = q.withColumn("qs_stable_rate", S.rate(F.col("qs_stable_count"), F.col("qs_total")))
-    t = text_lines(src, w, "chat_sync_telemetry ").where(line.contains("event=restore_")).select(S.key_value(line, "event").alias("event"))
-    t = t.agg(F.count("*").alias("restore_total"), F.count_if(F.col("event").isin("restore_success", "restore_empty")).alias("restore_success_count"))
-    t = t.withColumn("restore_success_rate", S.rate(F.col("restore_success_count"), F.col("restore_total")))
-    return r.crossJoin(q).crossJoin(t)
+    rows = scan(src.stdout, w).select(F.col("textPayload").alias("line")).where(line.startswith("query_suggest_result ") | (line.startswith("chat_sync_telemetry ") & line.contains("event=restore_")))
+    said = line.startswith("query_suggest_result ")
+    rows = rows.select(said.alias("said"), F.when(said, S.key_value(line, "stage")).alias("stage"), F.when(said, S.key_number(line, "latency_ms")).alias("l"), F.when(said, S.key_number(line, "suggestion_count")).alias("n"), F.when(~said, S.key_value(line, "event")).alias("event"))
+    t = rows.agg(
+        F.count_if("said").alias("qs_total"), F.count_if(F.col("stage") == "stable").alias("qs_stable_count"), F.count_if(F.col("stage") == "degraded").alias("qs_degraded_count"), F.round(F.avg("l"), 6).alias("qs_avg_latency_ms"), F.round(F.avg("n"), 6).alias("qs_avg_suggestion_count"),
+        F.count_if(~F.col("said")).alias("restore_total"), F.count_if(F.col("event").isin("restore_success", "restore_empty")).alias("restore_success_count"),
+    )
+    t = t.withColumns({"qs_stable_rate": S.rate(F.col("qs_stable_count"), F.col("qs_total")), "restore_success_rate": S.rate(F.col("restore_success_count"), F.col("restore_total"))})
+    return t.select("qs_total", "qs_stable_count", "qs_degraded_count", "qs_avg_latency_ms", "qs_avg_suggestion_count", "qs_stable_rate", "restore_total", "restore_success_count", "restore_success_rate")
 
 
 def usage(src: Sources, w: Window) -> DataFrame:
@@ -171,6 +178,19 @@ def request_users(src: Sources, w: Window) -> DataFrame:
     return got.agg(F.count("*").alias("request_count"), F.count_if("is_core").alias("core_request_count"), F.count_if(~F.col("is_core")).alias("system_request_count"), *[F.count_if(F.col("device_class") == d).alias(f"{d}_request_count") for d in DEVICES])
 
 
+def user_facts(src: Sources, w: Window) -> DataFrame:
+    """Requests of users (kind "asked", named by device) and follow-up opens ("opened", by event), a row for each line, from
+    one pass over the text log."""
+    p, asked = F.col("p"), F.col("asked")
+    line = F.col("textPayload")
+    rows = scan(src.stdout, w).where(line.startswith("request_user_metric_json=") | line.startswith("followup_open_result_json="))
+    parsed = F.try_parse_json(S.extract(line, r"^(?:request_user_metric|followup_open_result)_json=(.*)\z"))
+    rows = rows.select(line.startswith("request_user_metric_json=").alias("asked"), F.explode(F.array(parsed)).alias("p")).where("p is not null")
+    text = lambda k: F.nullif(S.json_scalar(p, k), F.lit(""))
+    name = F.lower(F.coalesce(F.when(asked, text("device_class")).otherwise(text("event")), F.lit("unknown")))
+    return rows.select(F.when(asked, "asked").otherwise("opened").alias("kind"), name.alias("name"), text("user_id").alias("user_id"), F.lower(F.coalesce(S.json_scalar(p, "user_email"), F.lit(""))).alias("user_email"), (asked & F.coalesce(S.boolean(S.json_scalar(p, "is_core")), F.lit(False))).alias("is_core"), F.lit(1).cast("bigint").alias("n"))
+
+
 def user_series(src: Sources, w: Window, user_key: str) -> DataFrame:
     """Zero-filled series of one user, by id or e-mail."""
     key = user_key.strip().lower()

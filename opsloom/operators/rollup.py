@@ -228,6 +228,9 @@ class Rollup:
         got = self.user_requests(src, w).groupBy(F.coalesce("user_id", F.lit("unknown")).alias("user_id"), "user_email")
         return got.agg(_n().alias("request_count"), _n(F.col("is_core")).alias("core_request_count"), _n(~F.col("is_core")).alias("system_request_count"), *[_n(F.col("device_class") == d).alias(f"{d}_request_count") for d in logs.DEVICES])
 
+    def user_facts(self, src: Sources, w: Window) -> DataFrame:
+        return self._rows("lines", src, w).where(F.col("kind").isin("asked", "opened")).select("kind", "name", "user_id", "user_email", "is_core", "n")
+
     def user_series(self, src: Sources, w: Window, user_key: str) -> DataFrame:
         key = user_key.strip().lower()
         got = self.user_requests(src, w).where(((F.lower("user_id") == key) | (F.col("user_email") == key)) if key else F.lit(False))

@@ -10,6 +10,10 @@ at least ``NOTICE`` of its words, or whose name is a licence file's, speaks for
 of its own takes that of its nearest ancestor directory, found by joining the distinct directories' ancestors with the
 licensed directories.
 
+A template counts only where the licence's own name and version stand in what is compared (``MUST``), as the texts of many
+licences are each other's neighbours: a licence that no template knows stays unnamed. A line of an SPDX identifier has to
+be equal to its template. What a notice says about the licence is not read: "is not licensed under" names it as well.
+
 Defined results: of equal scores the licence whose name is least wins, within a text and within a directory, where the
 best score comes first; null and empty texts have no licence of their own; a null path has no directory; repeated rows
 are scanned each; empty tables give empty results; other columns are not read.
@@ -63,8 +67,33 @@ TEMPLATES = {
     "ISC#text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "Unlicense#text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org",
     "MIT#text": "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "GPL-1.0#title": "GNU GENERAL PUBLIC LICENSE Version 1, February 1989",
+    "LGPL-2.0#title": "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "LGPL-2.0#header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "MPL-1.1#title": "MOZILLA PUBLIC LICENSE Version 1.1",
+    "MPL-1.1#header": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/",
+    "GFDL-1.2#title": "GNU Free Documentation License Version 1.2, November 2002",
+    "GFDL-1.3#title": "GNU Free Documentation License Version 1.3, 3 November 2008",
+    "CC0-1.0#title": "Creative Commons Legal Code CC0 1.0 Universal",
+    "CC0-1.0#header": "To the extent possible under law, the person who associated CC0 1.0 with this work has waived all copyright and related or neighboring rights to this work.",
+    "Artistic-1.0#title": "The \"Artistic License\" Preamble",
+    "EPL-1.0#short": "Licensed under the Eclipse Public License, version 1.0.",
+    "EPL-1.0#title": "Eclipse Public License - v 1.0",
+    "EPL-2.0#short": "Licensed under the Eclipse Public License, version 2.0.",
+    "EPL-2.0#title": "Eclipse Public License - v 2.0",
 }
-LEAST, NOTICE = 0.6, 0.5
+_V1, _V2, _V3 = {"1", "1.0", "v1", "v1.0"}, {"2", "2.0", "v2", "v2.0"}, {"3", "3.0", "v3", "v3.0"}
+#: Of each set of words one has to stand in what is named by a licence: its own name and its version.
+MUST = {
+    "Apache-2.0": ({"apache"}, _V2), "MIT": ({"mit", "granted"},), "GPL-1.0": ({"gnu"}, {"general"}, _V1), "GPL-2.0": ({"gnu"}, {"general"}, _V2), "GPL-3.0": ({"gnu"}, {"general"}, _V3),
+    "LGPL-2.0": ({"library"}, {"gnu"}, _V2), "LGPL-2.1": ({"lesser"}, {"2.1", "v2.1"}), "LGPL-3.0": ({"lesser"}, _V3), "AGPL-3.0": ({"affero"}, _V3), "BSD-2-Clause": ({"redistribution"},), "BSD-3-Clause": ({"redistribution"}, {"3", "endorse"}),
+    "MPL-1.1": ({"mozilla"}, {"1.1", "v1.1"}), "MPL-2.0": ({"mozilla", "mpl"}, _V2), "CC-BY-4.0": ({"cc", "creative"}, {"by", "attribution"}, {"4.0"}), "CC-BY-SA-4.0": ({"sa", "sharealike"}, {"4.0"}), "CC-BY-NC-4.0": ({"nc", "noncommercial"}, {"4.0"}),
+    "ISC": ({"permission"}, {"fee"}), "Unlicense": ({"unencumbered", "unlicense"},), "GFDL-1.2": ({"documentation"}, {"1.2", "v1.2"}), "GFDL-1.3": ({"documentation"}, {"1.3", "v1.3"}), "CC0-1.0": ({"cc0"}, {"1.0"}),
+    "Artistic-1.0": ({"artistic"},), "EPL-1.0": ({"eclipse"}, _V1), "EPL-2.0": ({"eclipse"}, _V2),
+}
+# lines that name a licence by its identifier alone have to be such a line to the word
+TEMPLATES |= {f"{name}#spdx{end}": f"SPDX-License-Identifier: {name}{end}" for name in MUST for end in (("", "-only", "-or-later") if "GPL" in name or "GFDL" in name else ("",))}
+LEAST, NOTICE, EXACT = 0.6, 0.5, 0.999999
 SCHEMA = "doc_id long, path string, own string, score double, n_lines long, licence_file boolean"
 _CUE = re.compile(r"licen[sc]e|copyright|spdx|creative commons|permission is hereby|permission to use|public domain|redistribution and use", re.I)
 _COMMENT = re.compile(r"\s*(#|//|/?\*|--|;|%|dnl\b|<!--)")
@@ -108,7 +137,10 @@ class Templates:
     def __init__(self, df: dict[str, int], n_lines: int):
         self.idf = {w: math.log((1 + n_lines) / (1 + df.get(w, 0))) + 1 for t in TEMPLATES.values() for w in terms(t)}
         self.rare = math.log(1 + n_lines) + 1
-        self.vectors = {name: self.vector(t) for name, t in TEMPLATES.items()}
+        self.names, self.exact, self.postings = [n.split("#")[0] for n in TEMPLATES], ["#spdx" in n for n in TEMPLATES], {}
+        for k, t in enumerate(TEMPLATES.values()):
+            for w, x in self.vector(t).items():
+                self.postings.setdefault(w, []).append((k, x))
 
     def vector(self, line: str) -> dict[str, float]:
         v = {w: n * self.idf.get(w, self.rare) for w, n in terms(line).items()}
@@ -117,11 +149,14 @@ class Templates:
 
     def nearest(self, line: str) -> tuple[float, str]:
         """Score and name of the template nearest to a whole line; of equals the least name."""
-        found, v = (0.0, ""), self.vector(line)
-        for name, t in self.vectors.items():
-            s = round(sum(x * v[w] for w, x in t.items() if w in v), 12)
-            if s and (-s, name.split("#")[0]) < (-found[0], found[1]):
-                found = (s, name.split("#")[0])
+        found, v, scores = (0.0, ""), self.vector(line), [0.0] * len(self.names)
+        for w, x in v.items():
+            for k, y in self.postings.get(w, ()):
+                scores[k] += x * y
+        for k, s in enumerate(scores):
+            s, name = round(s, 12), self.names[k]
+            if s and (-s, name) < (-found[0], found[1]) and (s >= EXACT if self.exact[k] else all(not words.isdisjoint(v) for words in MUST[name])):
+                found = (s, name)
         return found
 
     def best(self, line: str, block: bool = False) -> tuple[float, str, int]:

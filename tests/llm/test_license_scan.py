@@ -92,6 +92,30 @@ def test_published_texts(spark):
         assert got == {n.split("/")[0]: names[n.split("/")[0]] for _, n, _ in rows}
 
 
+def test_every_published_text_is_named_right_or_not_at_all(spark):
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL": "GFDL-1.3", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL": "GPL-3.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0"}
+    names |= {"LGPL": "LGPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    files = sorted(p for p in folder.iterdir() if p.is_file()) if folder.exists() else []
+    rows = [(k, f"{p.name}/COPYING", p.read_text()) for k, p in enumerate(files)]
+    if rows:
+        got = {r.path.split("/")[0]: r.own for r in scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+        assert got == {p.name: names.get(p.name) for p in files}
+
+
+def test_unknown_licences_and_identifiers(spark):
+    said = {
+        "Licensed under the Eclipse Public License, version 2.0.": "EPL-2.0", "Licensed under the Nobody Public License, version 2.0.": None, "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "# SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0", "/* SPDX-License-Identifier: LGPL-2.1-or-later */": "LGPL-2.1", "SPDX-License-Identifier: Zlib": None, "SPDX-License-Identifier: GPL-2.0-with-something": None,
+        "This work is licensed under the GNU General Public License, version 4.": None, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0",
+    }
+    rows = [(k, f"d{k}/x.c", f"{line}\nint x;\n") for k, line in enumerate(said)] + [(99, "long/x.c", "word " * 400_000 + "\nSPDX-License-Identifier: ISC\n" + "word " * 400_000)]
+    got = {r.doc_id: r.own for r in scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == dict(enumerate(said.values())) | {99: "ISC"}
+
+
 def test_against_brute_force(spark):
     """Plain cosines over dictionaries, and a walk up the directories."""
     import math

@@ -62,3 +62,51 @@ def test_every_language_is_learned(spark):
     kept = recognised(odd, model)
     assert kept.schema == odd.schema and sorted(str(x.doc_id) for x in kept.collect()) == sorted([*(str(x.doc_id) for x in odd.limit(5).collect()), "None"])
     assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_against_plain_kernel_and_ridge(spark):
+    """Presences as sets, the kernel by intersection, Nyström map and ridge from their formulas, for every document."""
+    import math
+
+    import numpy as np
+
+    from opsloom.llm import language_id as L
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, "1 2 3", None, "s", 5), (10**6 + 2, "Ab", "de", "s", 2)], "doc_id long, text string, lang string, source string, n_chars long"))
+    rows = docs.select("doc_id", "text", "lang", L.held_out(docs.doc_id).alias("out")).collect()
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+    def present(text):
+        data, out = (text or "").encode().translate(low), set()
+        for n in range(1, 5):
+            for i in range(len(data) - n + 1):
+                out.add((((int.from_bytes(data[i : i + n], "big") ^ (n * 0x1F35)) * 0x9E3779B1) & 0xFFFFFFFF) >> 18)
+        return out
+
+    def alike(x, y):
+        return len(x & y) / math.sqrt(max(1, len(x)) * max(1, len(y)))
+
+    train = {(r.doc_id, r.text, r.lang) for r in rows if not r.out and r.lang is not None and r.text is not None}
+    numbers = {(d, t): u for d, t, u in docs.selectExpr("doc_id", "text", "pmod(xxhash64(doc_id, text), 1L << 40) / cast(1L << 40 as double) as u").collect()}
+    train = sorted((numbers[d, t], lang, present(t)) for d, t, lang in train)
+    names = sorted({lang for _, lang, _ in train})
+    each = -(-L.LANDMARKS // len(names))
+    marks = [x for name in names for x in [p for _, lang, p in train if lang == name][:each]]
+    gram = np.array([[alike(x, y) for y in marks] for x in marks])
+    values, vectors = np.linalg.eigh(gram)
+    keep = values > 1e-6 * values[-1]
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    phi = np.array([[alike(x, y) for y in marks] for _, _, x in train]) @ root
+    target = np.array([[1.0 if lang == name else -1.0 for name in names] for _, lang, _ in train])
+    weights = root @ np.linalg.solve(phi.T @ phi + L.RIDGE * len(phi) / 100 * np.eye(phi.shape[1]), phi.T @ target)
+    got = {r.doc_id: r for r in L.identify(docs).collect()}
+    for r in rows:
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        x = present(r.text)
+        f = L.SHARPNESS * (np.array([alike(x, y) for y in marks]) @ weights)
+        e = np.exp(f - f.max())
+        best = np.sort(f)[::-1]
+        assert abs(got[r.doc_id].score - e.max() / e.sum()) < 2e-3
+        assert got[r.doc_id].lang_pred == names[int(f.argmax())] or best[0] - best[1] < 1e-2

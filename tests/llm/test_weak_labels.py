@@ -99,3 +99,35 @@ def test_edges(spark):
     out = classify(odd).collect()
     assert len(out) == 5 and all(0 <= r.score <= 1 and len(r.votes) == 9 for r in out)
     assert classify(odd.where("false")).count() == 0
+
+
+def test_scorer_against_a_plain_one(spark):
+    """Presences, training by plain sums over the same order of rows, and every document's score."""
+    import math
+
+    from opsloom.llm import weak_labels as W
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("doc_id < 60")
+    out = {r.doc_id: r for r in W.classify(docs).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    cells = {}
+    for d, t in texts.items():
+        data = np.frombuffer(t.encode(), np.uint8)
+        cells[d] = [int(i) for i in np.flatnonzero(W.presence(data, np.array([len(data)]))[0])]
+    order = sorted(texts, key=lambda d: (d, out[d].votes))
+    size, label = W.presence(np.zeros(0, np.uint8), np.array([0])).shape[1], {d: out[d].label for d in order}
+    good, bad = max(sum(label.values()), 1e-9), max(sum(1 - x for x in label.values()), 1e-9)
+    w, const, rng = np.zeros(size), 0.0, np.random.default_rng(11)
+    chance = lambda d: 1 / (1 + math.exp(-max(-50, min(50, sum(w[i] for i in cells[d]) / math.sqrt(max(1, len(cells[d]))) + const))))
+    for epoch in range(W.EPOCHS):
+        turn, step = rng.permutation(len(order)), W.RATE * 8 / (1 + epoch)
+        for a in range(0, len(turn), 128):
+            own = [order[i] for i in turn[a : a + 128]]
+            g = {d: (label[d] * (1 - (p := chance(d))) / good - (1 - label[d]) * p / bad) * len(order) / 2 for d in own}
+            w *= 1 - W.DECAY * step
+            for d in own:
+                for i in cells[d]:
+                    w[i] += step * g[d] / math.sqrt(len(cells[d])) / len(own)
+            const += step * sum(g.values()) / len(own) / 4
+    for d in order:
+        assert abs(out[d].score - chance(d)) < 1e-3 and out[d].keep == (out[d].score >= 0.5)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: The table that each view reads.
 BASE = {"a_requests": "events", "a_stdout": "events", "a_stderr": "events", "a_users": "customer", "a_conversations": "conversations", "a_messages": "conversations", "a_message_docs": "conversations", "a_facts": "events"}
@@ -104,9 +105,19 @@ from events where event_type = 'view'
 VIEWS["a_message_docs"] = VIEWS["a_message_docs"].replace("{MESSAGES}", VIEWS["a_messages"].strip().replace("select concat", "select conv_id + turn as number, concat", 1))
 
 
+#: Schemas of the test tables by path, as they were first found; inferring one takes a job of its own.
+_FOUND: dict[str, StructType] = {}
+
+
+def _base(spark: SparkSession, path: str) -> DataFrame:
+    if path not in _FOUND:
+        _FOUND[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_FOUND[path]).parquet(path)
+
+
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base = BASE[name]
-    spark.read.parquet(f"{sf_dir}/{base}.parquet").createOrReplaceTempView(f"opsloom_{base}")
+    _base(spark, f"{sf_dir}/{base}.parquet").createOrReplaceTempView(f"opsloom_{base}")
     return spark.sql(VIEWS[name].replace(f"from {base}", f"from opsloom_{base}"))
 
 

@@ -33,6 +33,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,9 @@ SCHEMA = "doc_id long, n_tokens long, n_bytes_fallback long, ids_sha256 string,
 #: Weight of a byte arc; above any piece's, so that bytes serve only what no piece has.
 BYTE_WEIGHT = 1e6
 #: Chunks that a task remembers, twice (those met last and those before), the longest of them, and pairs of pieces.
-REMEMBERED, REMEMBERED_LENGTH, PAIRS = 75_000, 64, 200_000
+REMEMBERED, REMEMBERED_LENGTH, PAIRS = 20_000, 64, 100_000
+#: Texts that are encoded, decoded and handed on together.
+AT_ONCE = 256
 #: Characters of a chunk from which costs are kept in arrays; no sum of weights.
 LONG_CHUNK, INFINITE = 4096, float("inf")
 
@@ -374,7 +377,7 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, key: str = "do
     def run(frames):
         t = shared.value
         is_byte = np.isin(np.arange(len(t.pieces)), t.byte_ids)
-        for frame in frames:
+        for frame in (f.iloc[a : a + AT_ONCE] for f in frames for a in range(0, len(f), AT_ONCE)):
             ids = [t.encode(x) if x is not None else array("I") for x in frame["text"]]
             back = [t.decode(i) for i in ids]
             out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_tokens": [len(i) for i in ids], "n_bytes_fallback": [int(is_byte[np.frombuffer(i, np.uint32)].sum()) if len(i) else 0 for i in ids], "ids_sha256": [hashlib.sha256(i.tobytes()).hexdigest() for i in ids], "round_trip": [b == t.plain(x or "") for b, x in zip(back, frame["text"], strict=True)]})
@@ -382,6 +385,7 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, key: str = "do
                 out["ids"], out["decoded"] = [list(i) for i in ids], [None if x is None else b for b, x in zip(back, frame["text"], strict=True)]
             yield out
         t.forget()
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInPandas(run, SCHEMA + ", ids array<bigint>, decoded string" * with_output)

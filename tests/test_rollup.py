@@ -90,7 +90,7 @@ def test_batches_by_date(spark, tmp_path):
 def test_nothing(spark):
     src = registered(spark)
     rolled = rollup.of_logs(src)
-    for name in ASKED:
+    for name in ("overview", "usage", "devices", "followup_users"):
         assert same(getattr(rolled, name)(src, WEEK), getattr(logs, name)(src, WEEK)), name
     late = spark.createDataFrame([(None, (logs.RESOURCE, (logs.SERVICE,)), ("GET", None, None, None, None))], src.requests.schema)
     assert rollup.request_counts(logs.requests(Sources(requests=late), None)).collect() == []

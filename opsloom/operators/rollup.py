@@ -27,6 +27,8 @@ from ..sources.tables import Sources, of_days, stored
 from . import logs
 
 STEP = timedelta(minutes=5)
+#: Files of a batch for each day at most; a day's counts are dealt to them by step.
+FILES = 8
 REQUEST_KEYS = ("date", "bucket", "device_class", "is_core", "status", "path")
 LINE_KEYS = ("date", "bucket", "kind", "name", "detail", "user_id", "user_email", "is_core")
 LINE_SUMS = ("n", "a_n", "a_sum", "b_n", "b_sum")
@@ -256,7 +258,7 @@ def batch_counts(log: str, rows: DataFrame) -> tuple[str, DataFrame]:
 def append(log: str, rows: DataFrame, folder: str, batch: int) -> None:
     """Add the rollup of some entries of one log as one batch, kept by date. A batch written again replaces itself."""
     table, counts = batch_counts(log, rows)
-    counts = counts.withColumns({"log": F.lit(log), "batch": F.lit(batch).cast("long")}).repartition("date")
+    counts = counts.withColumns({"log": F.lit(log), "batch": F.lit(batch).cast("long")}).repartition("date", F.pmod(F.hash("bucket"), F.lit(FILES)))
     counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "log", "batch").parquet(f"{folder}/{table}")
 
 

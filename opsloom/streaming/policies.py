@@ -108,7 +108,7 @@ def start_counters(rows: DataFrame, folder: str, checkpoint: str, every: str | N
 
     def add(df: DataFrame, batch: int) -> None:
         counts = df.groupBy(F.date_trunc("minute", "timestamp").alias("minute"), "metric").agg(F.count("*").alias("n"))
-        counts = counts.withColumns({"date": F.to_date("minute"), "batch": F.lit(batch).cast("long")})
+        counts = counts.withColumns({"date": F.to_date("minute"), "batch": F.lit(batch).cast("long")}).repartition("date")
         counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(folder)
 
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(**_trigger(every)).foreachBatch(add).start()

@@ -49,7 +49,8 @@ def write_batch(table: str, rows: DataFrame, folder: str, batch: int, service: s
         if table in LOGS:
             rollup.append(table, rows, f"{folder}/rollup", batch)
         else:
-            _keep(kept.groupBy("date", "user_id", "conv_id").agg(F.count("*").alias("n")), f"{folder}/message_counts", batch)
+            counts = kept.groupBy("date", "user_id", "conv_id").agg(F.count("*").alias("n"))
+            _keep(counts.repartition("date", F.pmod(F.hash("user_id", "conv_id"), F.lit(rollup.FILES))), f"{folder}/message_counts", batch)
     finally:
         rows.unpersist()
 

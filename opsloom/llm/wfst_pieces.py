@@ -13,9 +13,11 @@ Encoding takes the shortest path through the composition in the tropical semirin
 least sum wins, for unigram and BPE models alike. A piece weighs its negative score. The composition is made while it is
 read: an Aho-Corasick machine gives the lexicon's arcs by the position where they end, and each arc that the acceptor
 lets follow the state of its start is relaxed. One state a position is enough: a unigram model's acceptor has one, and in
-merge order the pieces of each prefix of a text are determined, so only its last piece can be alive there. Chunks that
-start at an escaped space after another character are composed separately, since no piece crosses such a place (checked
-when compiled).
+merge order the pieces of each prefix of a text are determined, so only its last piece can be alive there. Texts are cut
+where no piece crosses: at an escaped space after another character, and between characters that no chain of pieces joins,
+as letters of one script and punctuation (both found when compiled). The chunks between are composed separately, those
+that are new to a group of texts in sorted order: each goes on from the states of the prefix that it shares with the one
+before.
 
 Defined results: null and empty texts have no tokens and decode to the empty string (null for null); decoding gives the
 normalised text back, which for an identity normaliser is the text itself but for U+2581 (the escape, which comes back
@@ -32,7 +34,6 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +43,15 @@ SCHEMA = "doc_id long, n_tokens long, n_bytes_fallback long, ids_sha256 string,
 #: Weight of a byte arc; above any piece's, so that bytes serve only what no piece has.
 BYTE_WEIGHT = 1e6
 #: Chunks that a task remembers, twice (those met last and those before), the longest of them, and pairs of pieces.
-REMEMBERED, REMEMBERED_LENGTH, PAIRS = 20_000, 64, 100_000
+REMEMBERED, REMEMBERED_LENGTH, PAIRS = 60_000, 64, 100_000
 #: Texts that are encoded, decoded and handed on together.
 AT_ONCE = 256
+#: Steps of the lexicon's machine that a task remembers.
+STEPS = 50_000
+#: Chunks that are looked up together; those not met before are composed in sorted order.
+TOGETHER = 200_000
+#: Sets of joined characters that are told apart where texts are cut; all others count as one.
+CLASSES = 32
 #: Characters of a chunk from which costs are kept in arrays; no sum of weights.
 LONG_CHUNK, INFINITE = 4096, float("inf")
 
@@ -117,12 +124,13 @@ class Transducer:
     unk: int
     rank: list[int]
     split: dict[int, tuple[int, int]]
-    merged: dict[tuple[int, int], int]
+    merged: dict[int, int]  # a pair's name to what it is merged into
     own: dict[str, int]  # user-defined pieces
-    by_chunks: bool
+    chunk: re.Pattern | None  # what is composed separately; None: whole texts
     pairs: dict[int, bool] = field(default_factory=dict)
     known: dict[str, bytes] = field(default_factory=dict)
     before: dict[str, bytes] = field(default_factory=dict)
+    steps: dict[str, tuple] = field(default_factory=dict)
     surface: list[bytes] = field(default_factory=list)
     machine: ahocorasick.Automaton | None = None
 
@@ -143,7 +151,7 @@ class Transducer:
     def _follows(self, a: int, b: int) -> bool:
         rank, limit = self.rank, 1 << 60
         while True:
-            c = self.merged.get((a, b))
+            c = self.merged.get(a << 20 | b)
             if c is not None and rank[c] < limit:
                 return False
             if rank[a] < 0 and rank[b] < 0:
@@ -155,84 +163,115 @@ class Transducer:
                 limit, b = rank[b] + 1, self.split[b][0]
 
     def lexicon(self):
-        """Finds the arcs of all pieces in a text; built in each worker."""
+        """The pieces by their prefixes; built in each worker."""
         if self.machine is None:
             self.machine = ahocorasick.Automaton()
             for p, (t, w) in self.arcs.items():
                 self.machine.add_word(p, (t, len(p), w))
-            self.machine.make_automaton()
             self.letters = frozenset(p for p in self.arcs if len(p) == 1)
+            self.steps.clear()
         return self.machine
 
+    def step(self, read: str) -> tuple:
+        """The Aho-Corasick machine's arc from its state, the longest prefix of a piece that ends where it is, by one more
+        character: the next state, and the lexicon's arcs that end there, longest first (piece, length, weight; -1: the
+        bytes of a character that is no piece). ``read``: the state and the character."""
+        if len(self.steps) >= STEPS:
+            self.steps.clear()
+        name, arcs = read, [a for i in range(len(read)) if (a := self.machine.get(read[i:], None))]
+        if read[-1] not in self.letters:
+            arcs.append((-1, 1, BYTE_WEIGHT))
+        while read and not self.machine.match(read):
+            read = read[1:]
+        self.steps[name] = found = read, tuple(arcs)
+        return found
+
     def path(self, text: str) -> list[int]:
-        """Ids along the shortest path for one normalised chunk. ``cost``: the least sum of weights to each position;
-        ``last``: the piece that ends there on the best path (-1: the start, or bytes)."""
-        lexicon, n, bpe, pairs = self.lexicon(), len(text), self.bpe, self.pairs
-        cost, last = [0.0, *[INFINITE] * n], [-1] * (n + 1)
-        if n >= LONG_CHUNK:
-            cost, last = array("d", cost), array("i", last)
-        foreign = [] if self.letters.issuperset(text) else [i for i, c in enumerate(text) if c not in self.letters]
-        foreign.reverse()
-        for end, (t, size, w) in lexicon.iter(text):
-            while foreign and foreign[-1] < end:
-                self._relax_bytes(foreign.pop(), cost, last)
-            start = end + 1 - size
-            if (to := cost[start] + w) < cost[end + 1]:
-                if bpe and (before := last[start]) >= 0:
-                    ok = pairs.get(before << 20 | t)
-                    if not (self.follows(before, t) if ok is None else ok):
-                        continue
-                cost[end + 1], last[end + 1] = to, t
-        while foreign:
-            self._relax_bytes(foreign.pop(), cost, last)
-        out, j = [], n
-        while j > 0:
-            if (t := last[j]) >= 0:
-                out.append(t)
-                j -= self.size[t]
-            else:
-                j -= 1
-                out += [self.byte_ids[x] for x in reversed(text[j].encode())] if self.byte_ids else [self.unk]
-        out.reverse()
-        return out
+        """Ids along the shortest path for one normalised chunk."""
+        return next(self.paths([text]))
+
+    def paths(self, texts):
+        """Ids along the shortest path for each of some normalised chunks. ``cost``: the least sum of weights to each
+        position; ``last``: the piece that ends there on the best path (-1: the start, or bytes). Both are the same for
+        all texts with the same prefix, so a chunk keeps what the one before has found for the prefix they share."""
+        self.lexicon()
+        bpe, pairs, steps, old, cost, last, states = self.bpe, self.pairs, self.steps, "", [0.0], [-1], [""]
+        for text in texts:
+            n, at = len(text), 0
+            if n >= LONG_CHUNK:
+                old, cost, last = "", array("d", [0.0]), array("i", [-1])
+            elif len(old) >= LONG_CHUNK:
+                old, cost, last = "", [0.0], [-1]
+            for x, y in zip(old, text):
+                if x != y:
+                    break
+                at += 1
+            del cost[at + 1 :], last[at + 1 :], states[at + 1 :]
+            state = states[at]
+            for c in text[at:]:
+                at += 1
+                state, arcs = steps.get(read := state + c) or self.step(read)
+                least, piece = INFINITE, -1
+                for t, size, w in arcs:
+                    if (to := cost[at - size] + w) < least:
+                        if bpe and (before := last[at - size]) >= 0 and t >= 0:
+                            ok = pairs.get(before << 20 | t)
+                            if not (self.follows(before, t) if ok is None else ok):
+                                continue
+                        least, piece = to, t
+                cost.append(least)
+                last.append(piece)
+                if n < LONG_CHUNK:
+                    states.append(state)
+            out, j, old = [], n, text
+            while j > 0:
+                if (t := last[j]) >= 0:
+                    out.append(t)
+                    j -= self.size[t]
+                else:
+                    j -= 1
+                    out += [self.byte_ids[x] for x in reversed(text[j].encode())] if self.byte_ids else [self.unk]
+            out.reverse()
+            yield out
 
-    @staticmethod
-    def _relax_bytes(i: int, cost, last) -> None:
-        """The arc of a character that is no piece."""
-        if cost[i] + BYTE_WEIGHT < cost[i + 1]:
-            cost[i + 1], last[i + 1] = cost[i] + BYTE_WEIGHT, -1
-
-    def _composed(self, text: str) -> bytes:
-        known, chunks = self.known, _CHUNK.findall(text) if self.by_chunks else [text]
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            pass
-        out = []
-        for chunk in chunks:
-            ids = self.known.get(chunk)
-            if ids is None:
-                ids = self.before.get(chunk)
-                if ids is None:
-                    ids = array("I", self.path(chunk)).tobytes()
-                if len(chunk) < REMEMBERED_LENGTH:
-                    if len(self.known) >= REMEMBERED:
-                        self.known, self.before = {}, self.known
-                    self.known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+    def _compose(self, held) -> None:
+        """Append to each array the ids of its chunks."""
+        if len(self.known) >= REMEMBERED:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = set().union(*[chunks for _, chunks in held]).difference(known)
+        known.update((c, before[c]) for c in new.intersection(before))
+        known.update((c, array("I", [self.own[c]]).tobytes()) for c in new.intersection(self.own))
+        fresh = sorted(new.difference(before, self.own))
+        known.update((c, array("I", ids).tobytes()) for c, ids in zip(fresh, self.paths(fresh)))
+        for ids, chunks in held:
+            ids.frombytes(b"".join(map(known.__getitem__, chunks)))
+        for c in fresh:
+            if len(c) >= REMEMBERED_LENGTH:
+                del known[c]
 
     def forget(self) -> None:
         """Drop what was remembered, so that an idle worker holds the model only."""
         self.known, self.before = {}, {}
         self.pairs.clear()
+        self.steps.clear()
 
     def encode(self, text: str) -> array:
-        out = array("I")
-        if not (text := self.normal(text)):
-            return out
-        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
-            out.frombytes(array("I", [self.own[part]]).tobytes() if k % 2 else self._composed(part) if part else b"")
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts) -> list[array]:
+        """Ids of each text (null: none)."""
+        out, held, n = [array("I") for _ in texts], [], 0
+        for ids, text in zip(out, texts, strict=True):
+            text = self.normal(text or "")
+            for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
+                chunks = self.chunk.findall(part) if self.chunk and k % 2 == 0 else [part] if part else []
+                for a in range(0, len(chunks), TOGETHER):
+                    held.append((ids, chunks[a : a + TOGETHER]))
+                    if (n := n + len(held[-1][1])) >= TOGETHER:
+                        self._compose(held)
+                        held, n = [], 0
+        self._compose(held)
         return out
 
     def plain(self, text: str) -> str:
@@ -250,7 +289,27 @@ class Transducer:
         return text[1:] if self.normal.dummy_prefix and text[:1] == " " else text
 
 
-_CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+def chunks_of(pieces) -> re.Pattern:
+    """A chunk for pieces that have spaces at their start only: spaces and then characters that pieces join, directly or
+    through others, or one that no piece joins to any."""
+    leader: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while leader.setdefault(c, c) != c:
+            leader[c] = c = leader[leader[c]]
+        return c
+
+    for p in pieces:
+        p = p.lstrip(SPACE)
+        for a, b in zip(p, p[1:]):
+            leader[find(a)] = find(b)
+    sets: dict[str, list[str]] = {}
+    for c in sorted(leader):
+        sets.setdefault(find(c), []).append(c)
+    sets = sorted(sets.values(), key=len, reverse=True)
+    sets = sets[: CLASSES - 1] + ([sum(sets[CLASSES - 1 :], [])] if len(sets) >= CLASSES else [])
+    runs = "".join(f"[{re.escape(''.join(x))}]+|" for x in sets)
+    return re.compile(f"{SPACE}*(?:{runs}[^{SPACE}])|{SPACE}+")
 
 
 def _fields(data: bytes):
@@ -360,12 +419,12 @@ def compile_model(path: str) -> Transducer:
                 arcs[p], split[i] = (i, -scores[i]), (normal[before[0]], normal[before[1]])
             for k in range(1, len(p)):
                 if p[:k] in normal and p[k:] in normal:
-                    merged[normal[p[:k]], normal[p[k:]]] = i
+                    merged[normal[p[:k]] << 20 | normal[p[k:]]] = i
     else:
         arcs = {p: (i, -scores[i]) for p, i in normal.items()}
     crossing = not escape or any(re.search(f"[^{SPACE}]{SPACE}", p) for p in normal)
     machine = Normaliser(read_rules(charsmap), tuple(own), dummy, strip, SPACE if escape else " ")
-    return Transducer(pieces, bpe, machine, arcs, byte_ids, unk, rank, split, merged, own, not crossing)
+    return Transducer(pieces, bpe, machine, arcs, byte_ids, unk, rank, split, merged, own, None if crossing else chunks_of(normal))
 
 
 def encode_decode(docs: DataFrame, model_path: str | None = None, key: str = "doc_id", text: str = "text", with_output: bool = False) -> DataFrame:
@@ -374,18 +433,26 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, key: str = "do
     # the compiled vocabulary: bounded by the model file, whatever the corpus
     shared = docs.sparkSession.sparkContext.broadcast(compile_model(model_path or default_model()))
 
-    def run(frames):
+    def run(batches):
         t = shared.value
         is_byte = np.isin(np.arange(len(t.pieces)), t.byte_ids)
-        for frame in (f.iloc[a : a + AT_ONCE] for f in frames for a in range(0, len(f), AT_ONCE)):
-            ids = [t.encode(x) if x is not None else array("I") for x in frame["text"]]
+        for batch in (b.slice(a, AT_ONCE) for b in batches for a in range(0, b.num_rows, AT_ONCE)):
+            texts = batch.column("text").to_pylist()
+            ids = t.encode_all(texts)
             back = [t.decode(i) for i in ids]
-            out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_tokens": [len(i) for i in ids], "n_bytes_fallback": [int(is_byte[np.frombuffer(i, np.uint32)].sum()) if len(i) else 0 for i in ids], "ids_sha256": [hashlib.sha256(i.tobytes()).hexdigest() for i in ids], "round_trip": [b == t.plain(x or "") for b, x in zip(back, frame["text"], strict=True)]})
+            out = {
+                "doc_id": batch.column("doc_id"),
+                "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
+                "n_bytes_fallback": pa.array([int(is_byte[np.frombuffer(i, np.uint32)].sum()) if len(i) else 0 for i in ids], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string()),
+                "round_trip": pa.array([b == t.plain(x or "") for b, x in zip(back, texts, strict=True)], pa.bool_()),
+            }
             if with_output:
-                out["ids"], out["decoded"] = [list(i) for i in ids], [None if x is None else b for b, x in zip(back, frame["text"], strict=True)]
-            yield out
+                out["ids"] = pa.array([list(i) for i in ids], pa.list_(pa.int64()))
+                out["decoded"] = pa.array([None if x is None else b for b, x in zip(back, texts, strict=True)], pa.string())
+            yield pa.RecordBatch.from_pydict(out)
         t.forget()
         pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(run, SCHEMA + ", ids array<bigint>, decoded string" * with_output)
+    return rows.mapInArrow(run, SCHEMA + ", ids array<bigint>, decoded string" * with_output)

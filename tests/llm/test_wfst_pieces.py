@@ -133,3 +133,50 @@ def test_other_models_are_refused(tmp_path):
     (tmp_path / "m.model").write_bytes(model + b"\x12\x02\x18\x03")  # a word model
     with pytest.raises(ValueError, match="unigram and BPE"):
         compile_model(str(tmp_path / "m.model"))
+
+
+def test_cut_where_no_piece_crosses():
+    """Chunks give the text again and hold every piece that can occur in it; a word is one chunk whatever follows it."""
+    import re
+
+    t = compile_model(PATH)
+    r = random.Random(8)
+    alphabet = "aabcdeéüßł  \n.,'0123-_/=AB日🙂жЖا" + SPACE
+    for x in ["".join(r.choice(alphabet) for _ in range(r.randint(1, 40))).replace(" ", SPACE) for _ in range(2000)] + [r.choice(t.pieces) + r.choice(t.pieces) for _ in range(2000)]:
+        chunks = t.chunk.findall(x)
+        assert "".join(chunks) == x
+        ends = {0, *(sum(map(len, chunks[: k + 1])) for k in range(len(chunks)))}
+        for cut in ends - {0, len(x)}:
+            assert not any(x[a:b] in t.arcs for a in range(max(0, cut - 16), cut) for b in range(cut + 1, min(len(x), cut + 16) + 1)), (x, cut)
+    assert t.chunk.findall(SPACE + "word.\nNext,12") == [SPACE + "word", ".", "\n", "Next", ",", "1", "2"]
+    assert re.fullmatch(t.chunk, "x" * 3000)
+
+
+def test_groups_of_texts_with_little_memory(monkeypatch):
+    """Shared prefixes, forgotten chunks, steps and pairs, long chunks between short ones: the ids of single texts."""
+    from opsloom.llm import wfst_pieces as w
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    r = random.Random(9)
+    words = ["".join(r.choice("aeinrst") for _ in range(r.randint(1, 9))) + r.choice(["", "", ".", ",\n", "é", "日", "🙂"]) for _ in range(3000)] + ["aei" * 40, "aei" * 39 + "x", "🙂" * 9]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 60))) for _ in range(300)] + [None, ""] + EDGE
+    for name, value in (("REMEMBERED", 50), ("TOGETHER", 200), ("STEPS", 100), ("PAIRS", 100), ("LONG_CHUNK", 100)):
+        monkeypatch.setattr(w, name, value)
+    t = compile_model(PATH)
+    for x, ids in zip(texts, t.encode_all(texts), strict=True):
+        assert list(ids) == lib.encode(x or ""), x
+    assert len(t.known) <= 50 + 200 + 60 and len(t.steps) <= 100
+
+
+def test_words_before_punctuation_are_composed_once():
+    """A word is remembered without the punctuation behind it."""
+    t = compile_model(PATH)
+    composed, paths = [], t.paths
+    t.paths = lambda chunks: paths(composed.extend(chunks) or chunks)
+    t.encode_all(["word word. word, (word) word;\nword"])
+    assert sorted(c for c in composed if "word" in c) == ["word", SPACE + "word"]
+
+
+def test_large_ids_beside_a_null(spark):
+    rows = spark.createDataFrame([(2**53 + 1, "a"), (None, "b"), (-(2**63), None)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in encode_decode(rows).collect()} == {2**53 + 1, None, -(2**63)}
